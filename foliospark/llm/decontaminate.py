@@ -4,8 +4,10 @@ A text's words are hashed, every ``GRAM`` neighbouring words make a k-gram hash,
 and of every ``SPAN - GRAM + 1`` neighbouring k-grams the smallest is kept with its
 position. Two texts that share ``SPAN`` words in a row keep the same k-gram
 there, so joining kept hashes finds every such place. Each hit is then extended:
-the document's words along the item's are compared, and runs of equal words that
-are long enough are contaminated. Items shorter than ``SPAN`` words are looked
+the words around the document's k-gram are compared with the item's, and runs of
+equal words that are long enough are contaminated. All ``SPAN`` words around a kept
+k-gram lie within ``SPAN - GRAM`` words of it, so a k-gram travels with these
+neighbours and not with its whole document. Items shorter than ``SPAN`` words are looked
 up by the hash of all their words.
 """
 
@@ -83,13 +85,23 @@ def fingerprints(bench: DataFrame, key: str, text: str) -> tuple[DataFrame, list
     return stored(rows.select(F.shiftright("k", LOW).alias("gram"), "item_id", "item_words", F.col("k").bitwiseAND((1 << LOW) - 1).cast("int").alias("at")), "fingerprints"), lengths
 
 
+def _position(k: Column) -> Column:
+    return k.bitwiseAND((1 << LOW) - 1).cast("int")
+
+
+def _near(position: Column) -> tuple[Column, Column]:
+    """The first word, and the words, of a k-gram's neighbourhood."""
+    first = F.greatest(position - (SPAN - GRAM), F.lit(0))
+    return first, F.slice("words", first + 1, F.lit(2 * SPAN - GRAM))
+
+
 def _runs() -> Column:
-    """Runs of equal words between the document and the item, laid so that the hit's k-grams meet: [start, end) in the document."""
-    begin = F.greatest(F.col("pos") - F.col("at"), F.lit(0))
-    skip = begin - (F.col("pos") - F.col("at"))
-    length = F.greatest(F.least(F.col("n_words") - begin, F.size("item_words") - skip), F.lit(0))
-    own = F.slice("words", begin + 1, length)
-    other = F.slice("item_words", skip + 1, length)
+    """Runs of equal words between ``near`` and the item, laid so that the hit's k-grams meet: [start, end) in the document."""
+    first, shift = F.greatest(F.col("pos") - (SPAN - GRAM), F.lit(0)), F.col("pos") - F.col("at")
+    begin = F.greatest(first, shift)
+    length = F.greatest(F.least(first + F.size("near"), shift + F.size("item_words")) - begin, F.lit(0))
+    own = F.slice("near", begin - first + 1, length)
+    other = F.slice("item_words", begin - shift + 1, length)
     equal = F.zip_with(own, other, lambda a, b: F.translate(a, UPPER, LOWER) == b)
     breaks = F.filter(F.transform(equal, lambda e, i: F.when(~e, i)), lambda i: i.isNotNull())
     bounds = F.concat(F.array(F.lit(-1)), breaks, F.array(length))
@@ -117,16 +129,10 @@ def scan(docs: DataFrame, key: str, text: str, bench: DataFrame, bench_key: str,
     grams, lengths = fingerprints(bench, bench_key, bench_text)
     rows = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).withColumn("__row", F.monotonically_increasing_id())
     rows = with_kept(with_words(rows, "__text")).withColumn("n_words", F.size("words"))
-    kept = [F.col("kept"), *[_chain("w1", n) for n in lengths]]
-    rows = rows.withColumn("kept", F.concat(*kept, F.array(F.lit(MARK).cast("long")))).select("__row", "__key", "n_words", "words", "kept")
-    spark = docs.sparkSession
-    marks = spark.range(1).select(F.lit(MARK >> LOW).cast("long").alias("gram"), F.lit(None).cast(grams.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast("array<string>").alias("item_words"), F.lit(None).cast("int").alias("at"))
-    small = grams.limit(broadcast_rows + 1).count() <= broadcast_rows
-    if small:
-        # explode_outer, as for explode Spark would put a filter on all that makes ``kept`` next to the scan
-        exploded = rows.select("__row", "__key", "n_words", "words", F.explode_outer("kept").alias("k"))
-        exploded = exploded.select("__row", "__key", "n_words", "words", F.shiftright("k", LOW).alias("gram"), F.col("k").bitwiseAND((1 << LOW) - 1).cast("int").alias("pos"))
-        found = exploded.join(F.broadcast(grams.unionByName(marks)), "gram")
+    kept = [F.col("kept"), *[_chain("w1", n) for n in lengths], F.array(F.lit(MARK).cast("long"))]
+    rows = rows.withColumn("kept", F.concat(*kept)).select("__row", "__key", "n_words", "words", "kept")
+    if grams.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        found = _found_by_broadcast(rows, grams)
     else:
         found = _found_by_shuffle(rows, grams)
     marked = F.col("item_words").isNull()
@@ -138,12 +144,26 @@ def scan(docs: DataFrame, key: str, text: str, bench: DataFrame, bench_key: str,
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
+FOUND = ("__row", "__key", "n_words", "pos", "near", "item_id", "item_words", "at")
+
+
+def _found_by_broadcast(rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """Documents' kept k-grams that are in the table, and one row without an item for each document."""
+    whole = [F.lit(MARK >> LOW).cast("long").alias("gram"), *(F.lit(None).cast(grams.schema[c].dataType).alias(c) for c in ("item_id", "item_words", "at"))]
+    table = grams.unionByName(rows.sparkSession.range(1).select(*whole))
+    placed = F.transform("kept", lambda k: F.struct(k.alias("k"), _near(_position(k))[1].alias("near")))
+    # explode_outer, as for explode Spark would put a filter on all that makes ``kept`` next to the scan
+    exploded = rows.select("__row", "__key", "n_words", F.explode_outer(placed).alias("x"))
+    exploded = exploded.select("__row", "__key", "n_words", F.shiftright("x.k", LOW).alias("gram"), _position(F.col("x.k")).alias("pos"), F.col("x.near").alias("near"))
+    return exploded.join(F.broadcast(table), "gram").select(*FOUND)
+
+
 def _found_by_shuffle(rows: DataFrame, grams: DataFrame) -> DataFrame:
-    """The same rows as the broadcast join gives, for a table of k-grams that must not be broadcast."""
+    """The same rows for a table of k-grams that must not be broadcast: k-grams are shuffled without their neighbours,
+    which the hits then get from the documents."""
     docs = stored(rows.withColumn("kept", F.slice("kept", F.lit(1), F.size("kept") - 1)), "documents")
-    grams = grams.withColumn("__gram_row", F.monotonically_increasing_id())
-    exploded = docs.select("__row", F.explode_outer("kept").alias("k")).select("__row", F.shiftright("k", LOW).alias("gram"), F.col("k").bitwiseAND((1 << LOW) - 1).cast("int").alias("pos"))
-    places = exploded.join(grams.select("gram", "item_id", "item_words", "at"), "gram").select("__row", "pos", "item_id", "item_words", "at")
-    own = docs.select("__row", "__key", "n_words", "words")
-    none = own.select("__row", "__key", "n_words", "words", F.lit(0).alias("pos"), F.lit(None).cast(grams.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast("array<string>").alias("item_words"), F.lit(None).cast("int").alias("at"))
-    return own.join(places, "__row").select(none.columns).unionByName(none)
+    exploded = docs.select("__row", F.explode_outer("kept").alias("k")).select("__row", F.shiftright("k", LOW).alias("gram"), _position(F.col("k")).alias("pos"))
+    places = exploded.join(grams, "gram").select("__row", "pos", "item_id", "item_words", "at")
+    hits = docs.join(places, "__row").withColumn("near", _near(F.col("pos"))[1]).select(*FOUND)
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in hits.schema if f.name not in docs.columns}
+    return hits.unionByName(docs.select(*[none.get(c, F.col(c)) for c in FOUND]))
