@@ -36,8 +36,10 @@ class Profiles:
     min_margin: float = 0.002
 
     def compressors(self, level: int) -> dict[str, zstandard.ZstdCompressor]:
+        """Their tables are as large as a block and a dictionary need, not as large as the level allows."""
         out = {}
-        params = zstandard.ZstdCompressionParameters.from_level(level, min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+        most = max(map(len, self.samples.values()), default=0)
+        params = zstandard.ZstdCompressionParameters.from_level(level, source_size=self.block, dict_size=most, min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
         for lang, sample in self.samples.items():
             words = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             words.precompute_compress(compression_params=params)

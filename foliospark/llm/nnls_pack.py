@@ -158,7 +158,7 @@ class Packer:
         return rows
 
 
-def pack(df: DataFrame, key: str, text: str, tokenizer: str, limit: int = 2048, grain: int = 64, depth: int = 3, end_id: int = 1, block_chars: int = 4_000_000) -> DataFrame:
+def pack(df: DataFrame, key: str, text: str, tokenizer: str, limit: int = 2048, grain: int = 64, depth: int = 3, end_id: int = 1, block_chars: int = 2_000_000) -> DataFrame:
     """One row for each piece of a document: ``key``, start, length, CRC-32 of its ids, its document's ids,
     sequence and offset there. ``limit`` and ``grain`` are powers of two.
 
@@ -171,21 +171,21 @@ def pack(df: DataFrame, key: str, text: str, tokenizer: str, limit: int = 2048,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(limit, grain, depth, TaskContext.get().partitionId() << 40)
-        coder = tokens.encoder(tokenizer)
         end, kind = np.array([end_id], "<u4"), None
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*packer.take(), strict=True)) or [()] * 7
             return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], schema.names)
 
-        for batch in batches:
-            kind = batch.column("__key").type
-            keys, texts = batch.column("__key").to_pylist(), batch.column("__text")
-            for a, b in slices([len(t.as_buffer()) if t.is_valid else 0 for t in texts], block_chars):
-                flat, bounds = coder.encode([texts[i].as_py() or "" for i in range(a, b)])
-                flat = flat.astype("<u4")
-                packer.add([(keys[a + i], np.concatenate([flat[s:e], end])) for i, (s, e) in enumerate(zip(bounds, bounds[1:], strict=False))])
-                yield out()
+        with tokens.encoder(tokenizer) as coder:
+            for batch in batches:
+                kind = batch.column("__key").type
+                keys, texts = batch.column("__key").to_pylist(), batch.column("__text")
+                for a, b in slices([len(t.as_buffer()) if t.is_valid else 0 for t in texts], block_chars):
+                    flat, bounds = coder.encode([texts[i].as_py() or "" for i in range(a, b)])
+                    flat = flat.astype("<u4")
+                    packer.add([(keys[a + i], np.concatenate([flat[s:e], end])) for i, (s, e) in enumerate(zip(bounds, bounds[1:], strict=False))])
+                    yield out()
         packer.finish()
         if kind is not None:
             yield out()

@@ -189,7 +189,7 @@ def content_share(n: int, features: np.ndarray, n_words: np.ndarray, place: np.n
     return content / np.maximum(total, 1)
 
 
-def judge(df: DataFrame, key: str, text: str, min_words: int = 10, max_repeat_percent: int = 20, min_content: float = 0.3, block_chars: int = 2_000_000) -> DataFrame:
+def judge(df: DataFrame, key: str, text: str, min_words: int = 10, max_repeat_percent: int = 20, min_content: float = 0.3, block_chars: int = 1_000_000) -> DataFrame:
     """For each row: ``key``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_share.
 
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat_percent`` of them in repeated windows.

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -32,7 +33,7 @@ def _byte_letters() -> dict[int, str]:
 class _Words(dict):
     """From word to its place in ``ends``; a new word is encoded when it is first looked up."""
 
-    def __init__(self, ids_of: Callable[[str], list[int]]):
+    def __init__(self, ids_of: Callable[[str], Sequence[int]]):
         self.ids_of, self.ids, self.ends = ids_of, array("I"), array("q", [0])
 
     def __missing__(self, word: bytes) -> int:
@@ -48,31 +49,32 @@ class Encoder:
     ``max_words`` bounds the table; it starts anew beyond that.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.max_words, self.bytes = self.tokenizer.model, max_words, _byte_letters()
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Gives the table's memory back."""
         self.words = _Words(self._ids)
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _ids(self, word: str) -> list[int]:
+    def _ids(self, word: str) -> Sequence[int]:
         low = word.lower()
         if "<|" in word or len(low) != len(word) or not PLAIN.fullmatch(low):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
+        out = array("I")
         for piece in PIECES.findall(low):
             ids = self.pieces.get(piece)
             if ids is None:
                 letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
-                ids = self.pieces[piece] = [t.id for t in self.model.tokenize(letters)]
-            out += ids
+                ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            out.frombytes(ids)
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words) > self.max_words:
-            self._clear()
+            self.clear()
         split = [text.encode("utf-8", "surrogatepass").split() for text in texts]
         counts = np.fromiter(map(len, split), np.int64, len(texts))
         which = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, counts.sum())
@@ -87,8 +89,13 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker for ``path``; its table serves all tasks of the worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """This Python worker's encoder for ``path``. The tokenizer stays loaded for the next task, the table does not:
+    an idle worker would hold its memory while others work."""
+    own = _encoders.get(path) or Encoder(path)
+    _encoders[path] = own
+    try:
+        yield own
+    finally:
+        own.clear()
