@@ -31,6 +31,8 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 #: What an opening tag ends, and the elements beyond which it does not look.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|[^<]+|<", re.S)
+#: A tag with a quote that is never closed ends at the next ``>``.
+LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(>|\Z)")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 # --- features, fixed values -------------------------------------------------------------------------------------------
@@ -74,6 +76,8 @@ def parse(source: str) -> Page:
     nodes, pieces, stack, block = [Node("#root", -1)], [], [0], 0
     at, n = 0, len(source)
     while at < n and (m := TOKEN.match(source, at)):
+        if m[0] == "<":
+            m = LOOSE.match(source, at) or m
         at = m.end()
         if m[2] is None:
             if m[0][0] != "<" or m[0] == "<":

@@ -60,7 +60,7 @@ def emails(text: str) -> list[Span]:
 def base_spans(text: str) -> list[Span]:
     """E-mail, IP, card and phone spans, kind by kind, each from left to right and without overlaps in its kind."""
     out = emails(text)
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split(".")))]
     for m in CARD.finditer(text):
         if len(m[0]) >= 16:
             digits = re.sub("[ -]", "", m[0])

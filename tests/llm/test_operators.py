@@ -156,6 +156,13 @@ def test_main_text_of_pages(spark):
     assert all(r["text"] == article(pages[r["page_id"]]) and r["n_chars"] == len(r["text"]) for r in queries.op4(spark, SF).collect())
 
 
+def test_tags_with_open_quotes():
+    fitted, line = html_extract.model(), "The council met on Tuesday to discuss it all."
+    assert html_extract.main_text(f'<article><h1>Title</h1><p>{line} <a href="x', fitted) == f"Title\n{line}"
+    assert html_extract.main_text(f"<article><h1>Title</h1><p title=don't>{line}</p></article>", fitted) == f"Title\n{line}"
+    assert html_extract.main_text(f"<article><h1>Title</h1><p>{line} 1 < 2</p></article>", fitted) == f"Title\n{line} 1 < 2"
+
+
 def test_personal_data_against_patterns(spark):
     def base(t):
         out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
@@ -170,6 +177,8 @@ def test_personal_data_against_patterns(spark):
     texts = ["".join(random.choice("a@.1 2-+()4") for _ in range(60)) for _ in range(400)]
     texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert all(pii.base_spans(t) == base(t) for t in texts)
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}.1.2.03 1{zeros}.1.2.3") == [("ip", 0, 5007)]
     spans = pii.learned_spans(['the token = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567" is here'])[0]
     assert [k for k, _, _ in spans] == ["secret"]
 
