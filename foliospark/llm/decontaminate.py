@@ -4,11 +4,11 @@ A text's words are hashed, every ``GRAM`` neighbouring words make a k-gram hash,
 and of every ``SPAN - GRAM + 1`` neighbouring k-grams the smallest is kept with its
 position. Two texts that share ``SPAN`` words in a row keep the same k-gram
 there, so joining kept hashes finds every such place. Each hit is then extended:
-the words around the document's k-gram are compared with the item's, and runs of
-equal words that are long enough are contaminated. All ``SPAN`` words around a kept
+the words around the document's k-gram are compared with those around the item's, and
+runs of equal words that are long enough are contaminated. All ``SPAN`` words around a kept
 k-gram lie within ``SPAN - GRAM`` words of it, so a k-gram travels with these
-neighbours and not with its whole document. Items shorter than ``SPAN`` words are looked
-up by the hash of all their words.
+neighbours and not with its whole document or item. Items shorter than ``SPAN`` words are
+looked up by the hash of all their words.
 """
 
 from __future__ import annotations
@@ -70,8 +70,10 @@ def _chain(words: str, n: int) -> Column:
 
 
 def fingerprints(bench: DataFrame, key: str, text: str) -> tuple[DataFrame, list[int]]:
-    """The items' kept k-grams (gram, item_id, item_words, at), written as a table, and the lengths of short items.
+    """The items' kept k-grams, written as a table, and the lengths of short items.
 
+    A row has ``gram``, ``item_id``, the neighbourhood ``item_words``, the place ``at`` of the k-gram in it and ``need``,
+    the equal words that make a hit. So a row's size is bounded, however long its item is.
     Items without words, or null, give none. Items with the same id are taken together.
     """
     items = with_words(bench.select(F.col(f"`{key}`").alias("item_id"), F.col(f"`{text}`").alias("__t")).distinct(), "__t").filter(F.size("words") > 0)
@@ -80,9 +82,11 @@ def fingerprints(bench: DataFrame, key: str, text: str) -> tuple[DataFrame, list
     lengths = sorted(r["n"] for r in items.filter(F.col("n") < SPAN).select("n").distinct().collect())  # 12 at most
     parts = [long.select("item_id", "words", F.col("kept"))]
     parts += [items.filter(F.col("n") == n).withColumn("kept", _chain("w1", n)).select("item_id", "words", "kept") for n in lengths]
-    rows = reduce(DataFrame.unionByName, parts).withColumn("words", F.transform("words", lambda w: F.translate(w, UPPER, LOWER)))
-    rows = rows.select("item_id", F.col("words").alias("item_words"), F.explode_outer("kept").alias("k")).filter("k IS NOT NULL")
-    return stored(rows.select(F.shiftright("k", LOW).alias("gram"), "item_id", "item_words", F.col("k").bitwiseAND((1 << LOW) - 1).cast("int").alias("at")), "fingerprints"), lengths
+    rows = reduce(DataFrame.unionByName, parts).withColumn("need", F.least(F.lit(SPAN), F.size("words")))
+    rows = rows.withColumn("words", F.transform("words", lambda w: F.translate(w, UPPER, LOWER)))
+    rows = rows.select("item_id", "words", "need", F.explode_outer("kept").alias("k")).filter("k IS NOT NULL")
+    first, near = _near(_position(F.col("k")))
+    return stored(rows.select(F.shiftright("k", LOW).alias("gram"), "item_id", near.alias("item_words"), (_position(F.col("k")) - first).alias("at"), "need"), "fingerprints"), lengths
 
 
 def _position(k: Column) -> Column:
@@ -96,7 +100,7 @@ def _near(position: Column) -> tuple[Column, Column]:
 
 
 def _runs() -> Column:
-    """Runs of equal words between ``near`` and the item, laid so that the hit's k-grams meet: [start, end) in the document."""
+    """Runs of equal words between both neighbourhoods, laid so that the hit's k-grams meet: [start, end) in the document."""
     first, shift = F.greatest(F.col("pos") - (SPAN - GRAM), F.lit(0)), F.col("pos") - F.col("at")
     begin = F.greatest(first, shift)
     length = F.greatest(F.least(first + F.size("near"), shift + F.size("item_words")) - begin, F.lit(0))
@@ -106,7 +110,7 @@ def _runs() -> Column:
     breaks = F.filter(F.transform(equal, lambda e, i: F.when(~e, i)), lambda i: i.isNotNull())
     bounds = F.concat(F.array(F.lit(-1)), breaks, F.array(length))
     gaps = F.zip_with(F.slice(bounds, F.lit(1), F.size(bounds) - 1), F.slice(bounds, F.lit(2), F.size(bounds) - 1), lambda a, b: F.struct((begin + a + 1).alias("s"), (begin + b).alias("e")))
-    return F.filter(gaps, lambda g: g["e"] - g["s"] >= F.least(F.lit(SPAN), F.size("item_words")))
+    return F.filter(gaps, lambda g: g["e"] - g["s"] >= F.col("need"))
 
 
 def _covered(spans: Column) -> Column:
@@ -144,12 +148,12 @@ def scan(docs: DataFrame, key: str, text: str, bench: DataFrame, bench_key: str,
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
-FOUND = ("__row", "__key", "n_words", "pos", "near", "item_id", "item_words", "at")
+FOUND = ("__row", "__key", "n_words", "pos", "near", "item_id", "item_words", "at", "need")
 
 
 def _found_by_broadcast(rows: DataFrame, grams: DataFrame) -> DataFrame:
     """Documents' kept k-grams that are in the table, and one row without an item for each document."""
-    whole = [F.lit(MARK >> LOW).cast("long").alias("gram"), *(F.lit(None).cast(grams.schema[c].dataType).alias(c) for c in ("item_id", "item_words", "at"))]
+    whole = [F.lit(MARK >> LOW).cast("long").alias("gram"), *(F.lit(None).cast(grams.schema[c].dataType).alias(c) for c in ("item_id", "item_words", "at", "need"))]
     table = grams.unionByName(rows.sparkSession.range(1).select(*whole))
     placed = F.transform("kept", lambda k: F.struct(k.alias("k"), _near(_position(k))[1].alias("near")))
     # explode_outer, as for explode Spark would put a filter on all that makes ``kept`` next to the scan
@@ -163,7 +167,7 @@ def _found_by_shuffle(rows: DataFrame, grams: DataFrame) -> DataFrame:
     which the hits then get from the documents."""
     docs = stored(rows.withColumn("kept", F.slice("kept", F.lit(1), F.size("kept") - 1)), "documents")
     exploded = docs.select("__row", F.explode_outer("kept").alias("k")).select("__row", F.shiftright("k", LOW).alias("gram"), _position(F.col("k")).alias("pos"))
-    places = exploded.join(grams, "gram").select("__row", "pos", "item_id", "item_words", "at")
+    places = exploded.join(grams, "gram").select("__row", "pos", "item_id", "item_words", "at", "need")
     hits = docs.join(places, "__row").withColumn("near", _near(F.col("pos"))[1]).select(*FOUND)
     none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in hits.schema if f.name not in docs.columns}
     return hits.unionByName(docs.select(*[none.get(c, F.col(c)) for c in FOUND]))

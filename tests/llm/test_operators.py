@@ -229,3 +229,27 @@ def test_both_ways_of_decontamination_agree(spark):
     short = bench.union(bench.limit(4).select(F.col("item_id") + 1000, F.expr("substring_index(text, ' ', 4)")))
     a, b = (sorted(map(tuple, decontaminate.scan(docs, "doc_id", "text", short, "item_id", "text", broadcast_rows=n).collect())) for n in (300_000, 0))
     assert a == b
+
+
+def test_decontamination_against_all_windows(spark):
+    rng = random.Random(1)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    docs = [(i, text(rng.randint(0, 60))) for i in range(80)]
+    items = [(i, text(rng.choice([3, 7, 12, 13, 14, 40]))) for i in range(25)]
+    items += [(100 + i, " ".join(d.split()[5 : 5 + rng.randint(13, 40)])) for i, d in docs[:30]] + [(200, text(400))]
+    want = {}
+    for key, doc in docs:
+        words, hit, found = doc.split(), set(), set()
+        for item, other in items:
+            w = other.split()
+            n = min(13, len(w))
+            windows = {tuple(w[p : p + n]) for p in range(len(w) - n + 1)} if w else set()
+            for p in range(len(words) - n + 1):
+                if tuple(words[p : p + n]) in windows:
+                    hit.update(range(p, p + n))
+                    found.add(item)
+        want[key] = (len(words), len(hit), len(found))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (300_000, 0):
+        got = decontaminate.scan(frames[0], "doc_id", "text", frames[1], "item_id", "text", broadcast_rows=most).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in got} == want
