@@ -30,6 +30,15 @@ def nested_sections(blocks: DataFrame) -> DataFrame:
     return ordered.select("document", F.aggregate("blocks", start, step, lambda s: F.concat(s["out"], F.repeat(F.lit("</sec>"), F.size(s["open"])))).alias("jats"))
 
 
+def flat_sections(blocks: DataFrame) -> DataFrame:
+    """One row per document with ``jats``: headers open sections that stay open, paragraphs follow, raw blocks stay as they are."""
+    text = xml_escape(F.col("text"))
+    head = F.concat(F.lit('<sec sec-type="level'), F.col("level").cast("string"), F.lit('"><title>'), text, F.lit("</title>"))
+    part = F.when(F.col("kind") == "Header", head).when(F.col("kind").isin("Para", "Plain"), F.concat(F.lit("<p>"), text, F.lit("</p>"))).when(F.col("kind") == "RawBlock", F.col("text"))
+    whole = F.array_sort(F.collect_list(F.struct("pos", F.coalesce(part, F.lit("")).alias("part"))))
+    return blocks.groupBy("document").agg(whole.alias("parts")).select("document", F.concat(F.lit("<article>"), F.concat_ws("", "parts.part"), F.lit("</article>")).alias("jats"))
+
+
 def reference_lists(blocks: DataFrame) -> DataFrame:
     """``document`` and ``ref_list``: the paragraphs that lie in a references or bibliography division; other blocks there are dropped."""
     inside = blocks.filter((F.col("kind") == "Para") & (F.array_contains("classes", "references") | F.array_contains("classes", "bibliography")))
