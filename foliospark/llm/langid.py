@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.shared import give_back
+
 UNKNOWN = "und"
 OUTPUT = "lang_pred STRING, score DOUBLE, rejected BOOLEAN"
 
@@ -105,9 +107,10 @@ def predict(df: DataFrame, text: str, profiles: Profiles, keep: list[str]) -> Da
         plain, short = (list(profiles.compressors(n).items()) for n in (profiles.level, profiles.short_level))
         for batch in batches:
             texts, has = batch.column("__text"), batch.column("__letter").to_pylist()
-            raws = [texts[i].as_py().encode() if has[i] and plain else b"" for i in range(len(has))]
+            raws = (texts[i].as_py().encode() if has[i] and plain else b"" for i in range(len(has)))
             out = [judge(raw, short if len(raw) < profiles.short else plain) if raw else (UNKNOWN, 0.0, True) for raw in raws]
             made = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], [*names, "lang_pred", "score", "rejected"])
+        give_back()
 
     return source.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm import crf
-from foliospark.llm.shared import slices
+from foliospark.llm.shared import give_back, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LEARNED = ("secret", "id")
@@ -244,8 +244,8 @@ def find(df: DataFrame, text: str, keep: list[str], block_chars: int = 1_000_000
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("__text")
-            rows: list[tuple] = []
             for a, b in slices([len(t.as_buffer()) if t.is_valid else 0 for t in column], block_chars):
+                rows: list[tuple] = []
                 raw = [column[i].as_py() for i in range(a, b)]
                 texts = [t or "" for t in raw]
                 for own, t, learned in zip(raw, texts, learned_spans(texts), strict=True):
@@ -253,7 +253,8 @@ def find(df: DataFrame, text: str, keep: list[str], block_chars: int = 1_000_000
                     spans, listed = all_spans(base, learned), _listed(base)
                     counts = [sum(k == kind for k, _, _ in base) for kind in KINDS]
                     rows.append((*counts, hashlib.sha256(listed.encode()).hexdigest(), _listed(spans), masked(own, spans) if spans else own))
-            columns = list(zip(*rows, strict=True)) or [()] * len(OUTPUT)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, pa.int64() if i < len(KINDS) else pa.string()) for i, c in enumerate(columns))], schema.names)
+                columns, kept = list(zip(*rows, strict=True)), batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), *(pa.array(c, pa.int64() if i < len(KINDS) else pa.string()) for i, c in enumerate(columns))], schema.names)
+        give_back()
 
     return source.mapInArrow(run, schema)

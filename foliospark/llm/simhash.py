@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.components import components
-from foliospark.llm.shared import stored
+from foliospark.llm.shared import give_back, stored
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 
@@ -55,6 +55,7 @@ def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             own = np.fromiter((fingerprint(t.as_py()) for t in batch.column("__text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(own.view(np.int64))], [key, "fp"])
+        give_back()
 
     return source.mapInArrow(run, schema)
 

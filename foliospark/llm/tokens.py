@@ -16,6 +16,8 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
+from foliospark.llm.shared import give_back
+
 #: Letters for which lower-casing is one to one and NFC changes nothing.
 LETTERS = "a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįĵķĺļľłńņňŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž"
 PIECES = re.compile(f"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
@@ -99,3 +101,4 @@ def encoder(path: str) -> Iterator[Encoder]:
         yield own
     finally:
         own.clear()
+        give_back()
