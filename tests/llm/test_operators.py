@@ -224,6 +224,15 @@ def test_quality_counts(spark):
     assert quality.measured(texts)[0].tolist() == [counts(t) for t in texts]
 
 
+def test_furniture_anywhere_in_a_line(spark):
+    lines = ["one two three four five six seven eight nine ten eleven twelve thirteen " + end for end in ("Login.", "Privacy, and so on", "(c) Cookies: all", "last words")]
+    furniture = quality.measured(lines)[1][:, 7] - quality.OFFSETS[7]
+    assert furniture.tolist() == [1, 1, 1, 0]
+    menu = "Home News Sports Weather Travel Culture Science Health Opinion Video Shop Contact Login. Register. Subscribe. Privacy, Terms, Cookies. Sitemap, Newsletter."
+    got = quality.judge(spark.createDataFrame([(1, menu)], "doc_id long, text string"), "doc_id", "text").first()
+    assert not got["base_failed"] and not got["kept"] and got["content_share"] == 0
+
+
 def test_both_ways_of_decontamination_agree(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     short = bench.union(bench.limit(4).select(F.col("item_id") + 1000, F.expr("substring_index(text, ' ', 4)")))
