@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,14 @@ from pyspark.sql import types as T
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
-RAW = frozenset("script style title textarea noscript template svg select button iframe object xmp noembed noframes".split())
+#: Elements of raw text: no markup within, and one left open takes the rest of the page.
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
+#: Elements of ordinary markup that hold controls, drawings and fallbacks.
+SILENT = frozenset("button select svg object template noscript".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+BLOCKS = CLOSES_P | frozenset("html body li dt dd tr td th".split())
 #: What an opening tag ends, and the elements beyond which it does not look.
-IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "button": ({"button"}, BLOCKS), "select": ({"select"}, BLOCKS)}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|[^<]+|<", re.S)
 #: A tag with a quote that is never closed ends at the next ``>``.
 LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(>|\Z)")
@@ -67,13 +72,32 @@ class Page:
     pieces: list[tuple[int, int, str]]
 
 
+class Open(NamedTuple):
+    """An element not yet ended: its node, or its parent's if it leaves no trace itself; whether text in it is left out;
+    for a silent element the numbers of nodes and pieces before it, and the block it is in.
+    """
+
+    tag: str
+    node: int
+    hidden: bool = False
+    before: tuple[int, int, int] | None = None
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
 
 
+def _end(source: str, at: int, *tags: str) -> re.Match | None:
+    return re.compile(rf"</({'|'.join(map(re.escape, tags))})\b[^>]*>", re.I).search(source, at)
+
+
 def parse(source: str) -> Page:
-    """The page's tree, tolerant of what is left open or cut off; comments, scripts, styles and controls leave no trace."""
-    nodes, pieces, stack, block = [Node("#root", -1)], [], [0], 0
+    """The page's tree, tolerant of what is left open or cut off; comments, scripts, styles and controls leave no trace.
+
+    A silent element with an end goes with all it holds. One left open ends with its parent: its own text goes, and that
+    of inline and unknown elements in it; block elements in it count as its parent's.
+    """
+    nodes, pieces, stack, block = [Node("#root", -1)], [], [Open("#root", 0)], 0
     at, n = 0, len(source)
     while at < n and (m := TOKEN.match(source, at)):
         if m[0] == "<":
@@ -81,47 +105,65 @@ def parse(source: str) -> Page:
         at = m.end()
         if m[2] is None:
             if m[0][0] != "<" or m[0] == "<":
-                pieces.append((stack[-1], block, html.unescape(m[0])))
+                if not stack[-1].hidden:
+                    pieces.append((stack[-1].node, block, html.unescape(m[0])))
+            elif m[0].startswith("<!--") and not m[0].endswith("-->") and (inner := _silent(stack)) and (end := _end(source, m.start(), inner)):
+                at = end.start()  # a comment left open in a silent element ends with it
             continue
         if not m[4]:  # cut off inside a tag
             break
-        tag = m[2].lower()
+        tag, slash = m[2].lower(), m[3].rstrip().endswith("/")
         if m[1]:
-            if tag not in INLINE:
+            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            if tag not in INLINE and not stack[i].hidden:
                 block += 1
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag == tag:
-                    del stack[i:]
-                    break
-            continue
-        if tag in RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else n
+            if stack[i].before:
+                n_nodes, n_pieces, block = stack[i].before
+                del nodes[n_nodes:], pieces[n_pieces:]
+            if i:
+                del stack[i:]
             continue
-        if tag == "br":
-            pieces.append((stack[-1], block, " "))
+        if tag in RAW and not slash:
+            inner = _silent(stack)
+            drawn = inner == "svg" and stack[-1].hidden  # titles of drawings are ordinary markup
+            end = None if drawn and tag not in ("script", "style") else _end(source, at, tag, inner or tag)
+            if end or not drawn:
+                at = n if not end else end.end() if end[1].lower() == tag else end.start()
+                continue
+        if tag == "br" and not stack[-1].hidden:
+            pieces.append((stack[-1].node, block, " "))
         if tag in VOID:
-            block += tag not in INLINE
+            block += tag not in INLINE and not stack[-1].hidden
             continue
-        if tag not in INLINE:
-            block += 1
         ends, limit = IMPLIED.get(tag, ({"p"} if tag in CLOSES_P else set(), {"table", "td", "th", "article", "section", "div", "body", "li"}))
         for i in range(len(stack) - 1, 0, -1):
-            if nodes[stack[i]].tag in ends:
+            if stack[i].tag in ends:
                 del stack[i:]
                 break
-            if nodes[stack[i]].tag in limit:
+            if stack[i].tag in limit or stack[i].before:
                 break
+        silent = tag in SILENT and not slash
+        if silent or stack[-1].hidden and tag not in BLOCKS:
+            if not slash:
+                stack.append(Open(tag, stack[-1].node, True, (len(nodes), len(pieces), block) if silent else None))
+            continue
+        if tag not in INLINE:
+            block += 1
         attributes = _attributes(m[3]) if m[3].strip(" /") else {}
         words = frozenset(re.findall(r"[a-z]+", " ".join(re.sub(r"([a-z])([A-Z])", r"\1 \2", attributes.get(k, "")) for k in ("class", "id", "role", "itemprop")).lower()))
-        node = Node(tag, stack[-1], words, label=int(attributes["data-y"]) if attributes.get("data-y", "") in ("0", "1") else None)
+        node = Node(tag, stack[-1].node, words, label=int(attributes["data-y"]) if attributes.get("data-y", "") in ("0", "1") else None)
         nodes.append(node)
         if not m[3].endswith("/") or tag not in INLINE:
-            stack.append(len(nodes) - 1)
+            stack.append(Open(tag, len(nodes) - 1))
     _measure(nodes, pieces)
     return Page(nodes, pieces)
 
 
+def _silent(stack: list[Open]) -> str | None:
+    """The innermost silent element that is open."""
+    return next((o.tag for o in reversed(stack) if o.before), None)
+
+
 def _bucket(value: float, steps: tuple) -> int:
     return sum(value >= s for s in steps)
 

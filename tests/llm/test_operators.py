@@ -163,6 +163,22 @@ def test_tags_with_open_quotes():
     assert html_extract.main_text(f"<article><h1>Title</h1><p>{line} 1 < 2</p></article>", fitted) == f"Title\n{line} 1 < 2"
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "object", "template", "noscript"])
+def test_controls_left_open(tag):
+    fitted = html_extract.model()
+    nav, line, more = "<nav><ul><li><a href=/a>News</a></li></ul>", "The council met on Tuesday to discuss the new bridge.", "It is to be built by the end of next year."
+    inside = {"select": "<option>One<option>Two</option>", "svg": "<title>Icon<path d=x>", "noscript": "<b>Menu</b>"}.get(tag, "Menu")
+    page = lambda a="", b="", c="", d="": f"<body>{nav}{a}</nav>{b}<article><h1>Title</h1><p>{line}{c}</p>{d}<p>{more}</p></article><script>left open <p>{line}"
+    want = f"Title\n{line}\n{more}"
+    assert html_extract.main_text(page(), fitted) == want
+    opened, closed = f"<{tag} class=x>{inside}", f"<{tag} class=x>{inside}<p>Hidden</p><style>a<p></{tag}>"
+    for part in (opened, closed, f"{opened}{closed}", f"<{tag}>{inside}<!-- x </{tag}>"):
+        for place in "abcd":
+            assert html_extract.main_text(page(**{place: part}), fitted) == want, (part, place)
+    assert html_extract.main_text(page(*[opened] * 4), fitted) == want
+    assert html_extract.main_text(f"<article><h1>Title</h1><p>{line} A{closed}B</p></article>", fitted) == f"Title\n{line} AB"
+
+
 def test_personal_data_against_patterns(spark):
     def base(t):
         out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
