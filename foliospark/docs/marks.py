@@ -15,19 +15,28 @@ def em_dashes(text: Column) -> Column:
 
 
 def quotes(text: Column) -> Column:
-    """``@q{x}`` becomes quoted text. The innermost marks are those without a mark within, so one replacement for each
-    depth, outermost last, gives proper nesting up to three levels; deeper ones reuse the last pair.
+    """``@q{x}`` becomes quoted text, in the quotes of its own depth, counted from the outermost mark; levels beyond three
+    reuse the last pair. A mark ends at the first closing brace that no mark within it takes; one without an end is
+    text and no level.
     """
-    inner = r"(?s)@q\{((?:(?!@q\{)[^}])*)\}"
-    depth = F.when(text.rlike(r"(?s)@q\{[^}]*@q\{[^}]*@q\{"), 3).when(text.rlike(r"(?s)@q\{[^}]*@q\{"), 2).otherwise(1)
-
-    def nested(levels: int) -> Column:
-        out = text
-        for a, b in reversed(QUOTES[:levels]):
-            out = F.regexp_replace(out, inner, f"{a}$1{b}")
-        return out
-
-    return F.when(depth == 3, nested(3)).when(depth == 2, nested(2)).otherwise(nested(1))
+    parts = F.split(text, r"(?=@q\{|\})|(?<=@q\{|\})")
+
+    def known(state: Column, part: Column) -> Column:
+        """From the end: 1 for a mark that a later brace ends, -1 for a brace, else 0."""
+        opens = (part == "@q{") & (state["braces"] > 0)
+        kind = F.when(opens, 1).when(part == "}", -1).otherwise(0)
+        return F.struct((state["braces"] - kind).alias("braces"), F.concat(F.array(F.struct(kind.alias("kind"), part.alias("part"))), state["parts"]).alias("parts"))
+
+    def quoted(state: Column, item: Column) -> Column:
+        level, kind = state["level"], item["kind"]
+        sign = lambda side, depth: F.element_at(F.array(*[F.lit(q[side]) for q in QUOTES]), F.least(F.greatest(depth, F.lit(1)), F.lit(len(QUOTES))))
+        out = F.when(kind == 1, sign(0, level + 1)).when((kind == -1) & (level > 0), sign(1, level)).otherwise(item["part"])
+        return F.struct(F.greatest(level + kind, F.lit(0)).alias("level"), F.concat(state["out"], F.array(out)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("braces"), F.array().cast("array<struct<kind:int,part:string>>").alias("parts"))
+    marked = F.aggregate(F.reverse(parts), start, known, lambda s: s["parts"])
+    start = F.struct(F.lit(0).alias("level"), F.array().cast("array<string>").alias("out"))
+    return F.when(text.contains("@q{"), F.aggregate(marked, start, quoted, lambda s: F.array_join(s["out"], ""))).otherwise(text)
 
 
 def caption(text: Column) -> Column:

@@ -19,6 +19,22 @@ def test_marks(spark):
     assert one(spark, lambda c: leading_int(c), "20ab") == 20 and one(spark, lambda c: leading_int(c), "x") == 0
 
 
+def test_quotes_by_own_depth(spark):
+    cases = {
+        "@q{x} and @q{a @q{b} c}": "«x» and «a “b” c»",
+        "@q{a @q{b} c @q{d @q{e}}}": "«a “b” c “d ‘e’”»",
+        "@q{1 @q{2 @q{3 @q{4 @q{5}}}}} @q{6}": "«1 “2 ‘3 ‘4 ‘5’’’”» «6»",
+        "a} @q{b\n\nc} d}": "a} «b\n\nc» d}",
+        "@q{open @q{a @q{b}}": "@q{open «a “b”»",
+        "@q{}@q{": "«»@q{",
+        "": "",
+        None: None,
+        "@q{" + "x " * 20_000 + "}": "«" + "x " * 20_000 + "»",
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", marks.quotes(F.col("t")).alias("x")).collect()
+    assert {r["t"]: r["x"] for r in rows} == cases
+
+
 def test_template_and_order(spark):
     row = spark.range(1).select(marks.filled(F.lit('<fig id="{{id}}">{{caption}}</fig>'), F.create_map(F.lit("id"), F.lit("f1"), F.lit("caption"), F.lit("C"))).alias("x")).first()
     assert row["x"] == '<fig id="f1">C</fig>'
