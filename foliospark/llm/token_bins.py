@@ -119,10 +119,16 @@ def write_bins(df: DataFrame, key: str, text: str, tokenizer: str, path: str | N
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def segments(bins: DataFrame, key: str) -> DataFrame:
-    """One row for each segment of the matrix rows, with the CRC-32 of its stored ids and whether its positions run from 0."""
+def segments(bins: DataFrame, key: str, limit: int = 2048) -> DataFrame:
+    """One row for each segment of the matrix rows, with the CRC-32 of its stored ids and whether its stored positions are
+    0, 1, 2 and so on to its end. ``limit`` is that of ``write_bins``; longer matrix rows are an error.
+    """
+    width = 2 if limit <= 1 << 16 else 4
+    count = F.lit(np.arange(limit, dtype=f"<u{width}").tobytes())
+    fits = F.octet_length("positions") <= width * limit
     parts = bins.select("sequence_id", "n_tokens", "id_bytes", "ids", "positions", "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "starts", "doc_tokens")).alias("i", "part"))
     begin, end = F.col("cu_seqlens")[F.col("i")], F.col("cu_seqlens")[F.col("i") + 1]
     own = F.expr("substring(ids, cu_seqlens[i] * id_bytes + 1, (cu_seqlens[i + 1] - cu_seqlens[i]) * id_bytes)")
-    first = F.expr("hex(substring(positions, cu_seqlens[i] * 2 + 1, 2))")
-    return parts.select(F.col("part.doc_ids").alias(key), F.col("part.starts").alias("start"), (end - begin).cast("long").alias("length"), F.crc32(own).alias("ids_crc32"), F.col("part.doc_tokens").alias("doc_tokens"), "sequence_id", begin.cast("long").alias("offset"), (first == "0000").alias("position_reset"))
+    reset = F.substring("positions", begin * width + 1, (end - begin) * width) == F.substring(count, F.lit(1), (end - begin) * width)
+    reset = F.when(fits, reset).otherwise(F.raise_error(F.lit("segments: a longer limit was used in writing")).cast("boolean"))
+    return parts.select(F.col("part.doc_ids").alias(key), F.col("part.starts").alias("start"), (end - begin).cast("long").alias("length"), F.crc32(own).alias("ids_crc32"), F.col("part.doc_tokens").alias("doc_tokens"), "sequence_id", begin.cast("long").alias("offset"), reset.alias("position_reset"))

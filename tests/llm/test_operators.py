@@ -69,6 +69,25 @@ def test_held_out_languages(spark):
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.93
 
 
+def test_positions_are_checked_to_the_end(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "seven eight nine")], "doc_id long, text string").coalesce(1)
+    bins = token_bins.write_bins(docs, "doc_id", "text", queries.tokenizer_path())
+    good = token_bins.segments(bins, "doc_id").orderBy("offset").collect()
+    assert len(good) == 2 and all(r["position_reset"] and r["length"] > 2 for r in good)
+    at = good[1]["offset"] + good[1]["length"] - 1  # the last position of the second segment
+    spoil = F.expr(f"concat(substring(positions, 1, {2 * at}), X'0000', substring(positions, {2 * at + 3}, 1000000))")
+    assert [r["position_reset"] for r in token_bins.segments(bins.withColumn("positions", spoil), "doc_id").orderBy("offset").collect()] == [True, False]
+
+
+def test_positions_of_more_than_16_bits(spark):
+    docs = spark.createDataFrame([(1, LONG * 4), (2, "one two")], "doc_id long, text string").coalesce(1)
+    bins = token_bins.write_bins(docs, "doc_id", "text", queries.tokenizer_path(), limit=70_000)
+    found = token_bins.segments(bins, "doc_id", limit=70_000).collect()
+    assert max(r["length"] for r in found) == 70_000 and len(found) > 2 and all(r["position_reset"] for r in found)
+    with pytest.raises(Exception, match="a longer limit"):
+        token_bins.segments(bins, "doc_id").collect()
+
+
 def test_packing_is_lossless(spark):
     from tokenizers import Tokenizer
 
