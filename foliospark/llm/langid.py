@@ -54,11 +54,12 @@ def letters(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{M}]+", " "))
 
 
-def fit(docs: DataFrame, text: str, lang: str, key: str, usable: Column, buckets: int = 48, sample_chars: int = 2000, max_langs: int = 200, **settings) -> Profiles:
+def fit(docs: DataFrame, text: str, lang: str, key: str, usable: Column, buckets: int = 48, sample_chars: int = 2000, max_langs: int = 200, floor_bytes: int = 8_000, **settings) -> Profiles:
     """A sample of each language's ``letters``: of each of ``buckets`` hash buckets of ``key`` the row with the smallest hash,
     and of that row's text the first ``sample_chars`` characters. So a dictionary holds at most
     ``buckets * sample_chars`` characters at any input size, and depends on the rows alone, not on their order.
-    More than ``max_langs`` languages are an error. Null languages and texts teach nothing.
+    All dictionaries are cut to the size of the smallest one, but not below ``floor_bytes``: a language with less than that
+    keeps what it has, and the others that many bytes. More than ``max_langs`` languages are an error. Null languages and texts teach nothing.
     """
     rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h"), usable.alias("usable"))
     rows = rows.filter(F.col("usable") & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
@@ -73,7 +74,7 @@ def fit(docs: DataFrame, text: str, lang: str, key: str, usable: Column, buckets
             samples.setdefault(r["lang"], []).append((r["h"], r["text"]))
     # the same amount for each language, else the larger dictionary would win by size
     joined = {k: "\n".join(t for _, t in sorted(v)).encode() for k, v in samples.items()}
-    size = max(min(map(len, joined.values()), default=0), min(8_000, max(map(len, joined.values()), default=0)))
+    size = max(min(map(len, joined.values()), default=0), min(floor_bytes, max(map(len, joined.values()), default=0)))
     common: dict[str, int] = {}
     for r in least:
         common[r["lang"]] = common.get(r["lang"], 0) + r["n"]

@@ -69,6 +69,15 @@ def test_held_out_languages(spark):
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.93
 
 
+def test_smallest_language_sets_the_size_of_profiles(spark):
+    rows = [(i, "abcdefgh "[i % 7 :] * 200, lang) for i, lang in [*((i, "aa") for i in range(40)), *((i, "bb") for i in range(40, 60)), (90, "xx")]]
+    docs = spark.createDataFrame([*rows, (91, "mistyped", "e n")], "doc_id long, text string, lang string")
+    sizes = lambda df, **kw: {k: len(v) for k, v in langid.fit(df, "text", "lang", "doc_id", F.lit(True), **kw).samples.items()}
+    assert sizes(docs) == sizes(docs, floor_bytes=8_000) and sizes(docs)["aa"] == sizes(docs)["bb"] == 8_000 and sizes(docs)["e n"] == 8
+    assert set(sizes(docs, floor_bytes=0).values()) == {8}
+    assert sizes(docs, floor_bytes=12_000)["aa"] == 12_000
+
+
 def test_positions_are_checked_to_the_end(spark):
     docs = spark.createDataFrame([(1, "one two three four five six"), (2, "seven eight nine")], "doc_id long, text string").coalesce(1)
     bins = token_bins.write_bins(docs, "doc_id", "text", queries.tokenizer_path())
