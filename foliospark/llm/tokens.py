@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import chain
 
@@ -20,9 +20,10 @@ from foliospark.llm.shared import give_back
 
 #: Letters for which lower-casing is one to one and NFC changes nothing.
 LETTERS = "a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįĵķĺļľłńņňŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž"
-PIECES = re.compile(f"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
-#: Words outside this pattern, or with an apostrophe or a special token's sign, go through the whole tokenizer.
-PLAIN = re.compile(f"[!-&(-~{LETTERS}]+")
+#: What the pre-tokenizer cuts lower-cased words into; the line feed stands between words.
+PIECES = re.compile(f"[{LETTERS}]+|\\n|[0-9]|[^{LETTERS}0-9\\n]+")
+#: Words with other characters than these, such as an apostrophe, or with a special token's sign go through the whole tokenizer.
+PLAIN = re.compile(f"[\\n!-&(-~{LETTERS}]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -32,60 +33,108 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def _chain(numbers: np.ndarray, ids: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries with these numbers, one after the other, and the bounds of each."""
+    own = lengths[numbers]
+    total = np.zeros(len(own) + 1, np.int64)
+    np.cumsum(own, out=total[1:])
+    at = np.repeat(begins[numbers] - total[:-1], own)
+    at += np.arange(total[-1])
+    return ids[at], total
+
+
 class _Words(dict):
-    """From word to its place in ``ends``; a new word is encoded when it is first looked up."""
+    """From word to its number; one not seen before gets the next number and waits in ``new``."""
 
-    def __init__(self, ids_of: Callable[[str], Sequence[int]]):
-        self.ids_of, self.ids, self.ends = ids_of, array("I"), array("q", [0])
+    def __init__(self):
+        self.new: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
-        self.ids.extend(self.ids_of(word.decode("utf-8", "replace")))
+        self[word] = k = len(self)
+        self.new.append(word)
+        return k
+
+
+class _Pieces(dict):
+    """From piece to its number; a new piece is encoded at once. Number 0 is the line feed, which has no ids."""
+
+    def __init__(self, model):
+        self.model, self.bytes, self.ids, self.ends = model, _byte_letters(), array("I"), array("q", [0, 0])
+        self["\n"] = 0
+
+    def __missing__(self, piece: str) -> int:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
+        self.ids.extend([t.id for t in self.model.tokenize(letters)])
         self.ends.append(len(self.ids))
-        self[word] = k = len(self.ends) - 2
+        self[piece] = k = len(self)
         return k
 
 
 class Encoder:
     """``encode(texts)`` gives the ids of all texts, one after the other, and each text's bounds.
 
-    ``max_words`` bounds the table; it starts anew beyond that.
+    ``max_words`` bounds the tables of words and of their pieces; each starts anew beyond that.
     """
 
     def __init__(self, path: str, max_words: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.max_words, self.bytes = self.tokenizer.model, max_words, _byte_letters()
+        self.max_words = max_words
+        self.plain = np.zeros(512, bool)
+        self.plain[[c for c in range(511) if PLAIN.fullmatch(chr(c))]] = True
         self.clear()
 
     def clear(self) -> None:
-        """Gives the table's memory back."""
-        self.words = _Words(self._ids)
-        self.pieces: dict[str, bytes] = {}
-
-    def _ids(self, word: str) -> Sequence[int]:
-        low = word.lower()
-        if "<|" in word or len(low) != len(word) or not PLAIN.fullmatch(low):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out = array("I")
-        for piece in PIECES.findall(low):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
-                ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-            out.frombytes(ids)
-        return out
+        """Gives the tables' memory back."""
+        self.pieces = _Pieces(self.tokenizer.model)
+        self._clear_words()
+
+    def _clear_words(self) -> None:
+        self.words = _Words()
+        self.ids, self.begins, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Adds the ids of new words to the table, most of them at once from their pieces."""
+        text = b"\n".join([*words, b""]).decode("utf-8", "replace")
+        low = text.lower()
+        codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4")
+        odd_signs = ~self.plain[np.minimum(codes, 511)]
+        odd_signs[:-1] |= (codes[:-1] == ord("<")) & (codes[1:] == ord("|"))
+        odd = np.unique(np.cumsum(codes == 10)[odd_signs])
+        if len(odd):
+            lines, skip = low.split("\n"), set(odd.tolist())
+            low = "\n".join([x for i, x in enumerate(lines) if i not in skip])
+        if len(self.pieces) > self.max_words:
+            self.pieces = _Pieces(self.tokenizer.model)
+        found = PIECES.findall(low)
+        numbers = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        ends = np.array(self.pieces.ends)
+        ids, total = _chain(numbers, np.array(self.pieces.ids, np.uint32), ends[:-1], np.diff(ends))
+        lengths = np.zeros(len(words), np.int64)
+        plain = np.ones(len(words), bool)
+        plain[odd] = False
+        lengths[plain] = np.diff(total[np.flatnonzero(numbers == 0)], prepend=0)
+        begins = np.cumsum(lengths) - lengths
+        more = []
+        for i in odd.tolist():
+            own = self.tokenizer.encode(words[i].decode("utf-8", "replace"), add_special_tokens=False).ids
+            begins[i], lengths[i] = len(ids) + len(more), len(own)
+            more += own
+        self.begins = np.concatenate([self.begins, begins + len(self.ids)])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids, np.array(more, np.uint32)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words) > self.max_words:
-            self.clear()
+            self._clear_words()
         split = [text.encode("utf-8", "surrogatepass").split() for text in texts]
         counts = np.fromiter(map(len, split), np.int64, len(texts))
         which = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, counts.sum())
         del split
-        ends, ids = np.array(self.words.ends, np.int64), np.array(self.words.ids, np.uint32)
-        lengths = ends[which + 1] - ends[which]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(ends[which] - total[:-1], lengths) + np.arange(total[-1])
-        return ids[at] if len(at) else np.zeros(0, np.uint32), total[np.concatenate([[0], np.cumsum(counts)])]
+        if self.words.new:
+            self._learn(self.words.new)
+            self.words.new = []
+        ids, total = _chain(which, self.ids, self.begins, self.lengths)
+        return ids, total[np.concatenate([[0], np.cumsum(counts)])]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -65,3 +65,18 @@ def test_segments_of_a_key_with_a_result_name(spark):
     docs = spark.createDataFrame([(1, "one two"), (2, None)], "start long, text string")
     found = token_bins.segments(token_bins.write_bins(docs, "start", "text", queries.tokenizer_path()), "start", names={"start": "piece_start"})
     assert found.columns[:2] == ["start", "piece_start"] and {(r["start"], r["piece_start"]) for r in found.collect()} == {(1, 0), (2, 0)}
+
+
+def test_encoder_tables_start_anew(spark):
+    from tokenizers import Tokenizer
+
+    from foliospark.llm import tokens
+
+    path, rng = queries.tokenizer_path(), random.Random(10)
+    coder, plain = tokens.Encoder(path, max_words=40), Tokenizer.from_file(path)
+    signs = ["a", "Be", "É", "ß", "'s", "7", "12", "<|endoftext|>", "<", "|", "Σ", "İ", "你", ",", "--", "é", "K", "\x85", "\x1f", "�", "😀", "ﬁ"]
+    for _ in range(30):
+        texts = ["".join(rng.choice([*signs, " ", "\n", "\t "]) for _ in range(rng.randint(0, 60))) for _ in range(5)]
+        ids, bounds = coder.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [plain.encode(t, add_special_tokens=False).ids for t in texts], texts
+    assert len(coder.words) < 400
