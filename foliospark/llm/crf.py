@@ -81,10 +81,9 @@ def train(features: list[np.ndarray], labels: list[np.ndarray], n_values: int, n
         z = np.logaddexp.reduce(alpha[:, -1], axis=1)
         node = np.exp(alpha + beta - z[:, None, None]) * there[:, :, None]
         pair = np.exp(alpha[:, :-1, :, None] + step + (emit + beta)[:, 1:, None, :] - z[:, None, None, None]) * both[:, :, None, None]
-        expected = [np.zeros_like(p) for p in params]
-        for f in range(width):
-            np.add.at(expected[0], x[:, :, f].ravel(), node.reshape(-1, n_labels))
-        expected[1], expected[2] = pair.sum((0, 1)), node[:, 0].sum(0)
+        at = x.reshape(-1)
+        values = np.stack([np.bincount(at, np.repeat(node[:, :, k].ravel(), width), minlength=n_values) for k in range(n_labels)], axis=1)
+        expected = [values, pair.sum((0, 1)), node[:, 0].sum(0)]
         for i, p in enumerate(params):
             g = seen[i] - expected[i] - decay * p
             mean[i] = 0.9 * mean[i] + 0.1 * g
