@@ -25,23 +25,18 @@ OUTPUT = "lang_pred STRING, score DOUBLE, rejected BOOLEAN"
 
 @dataclass(frozen=True)
 class Profiles:
-    """One dictionary for each language (the most frequent first), and how texts are compressed with them.
-
-    Texts of less than ``short`` bytes are compressed at ``short_level``, which finds matches of three bytes.
-    """
+    """One dictionary for each language (the most frequent first), and how all texts are compressed with them."""
 
     samples: dict[str, bytes]
     block: int = 8192
-    level: int = 5
-    short: int = 1024
-    short_level: int = 19
+    level: int = 9
     min_margin: float = 0.002
 
-    def compressors(self, level: int) -> dict[str, zstandard.ZstdCompressor]:
+    def compressors(self) -> dict[str, zstandard.ZstdCompressor]:
         """Their tables are as large as a block and a dictionary need, not as large as the level allows."""
         out = {}
         most = max(map(len, self.samples.values()), default=0)
-        params = zstandard.ZstdCompressionParameters.from_level(level, source_size=self.block, dict_size=most, min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+        params = zstandard.ZstdCompressionParameters.from_level(self.level, source_size=self.block, dict_size=most, min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
         for lang, sample in self.samples.items():
             words = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             words.precompute_compress(compression_params=params)
@@ -54,12 +49,13 @@ def letters(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{M}]+", " "))
 
 
-def fit(docs: DataFrame, text: str, lang: str, key: str, usable: Column, buckets: int = 48, sample_chars: int = 2000, max_langs: int = 200, floor_bytes: int = 8_000, **settings) -> Profiles:
+def fit(docs: DataFrame, text: str, lang: str, key: str, usable: Column, buckets: int = 128, passage_chars: int = 2000, sample_bytes: int = 48_000, floor_bytes: int = 8_000, max_langs: int = 200, **settings) -> Profiles:
     """A sample of each language's ``letters``: of each of ``buckets`` hash buckets of ``key`` the row with the smallest hash,
-    and of that row's text the first ``sample_chars`` characters. So a dictionary holds at most
-    ``buckets * sample_chars`` characters at any input size, and depends on the rows alone, not on their order.
-    All dictionaries are cut to the size of the smallest one, but not below ``floor_bytes``: a language with less than that
-    keeps what it has, and the others that many bytes. More than ``max_langs`` languages are an error. Null languages and texts teach nothing.
+    and of that row a passage of ``passage_chars`` characters whose place the hash chooses (the whole text if it is shorter).
+    Passages are taken in order of their hash up to ``sample_bytes`` bytes, so short rows are made up for by more of them. A
+    dictionary is bounded at any input size, and depends on the rows alone, not on their order.
+    A language with fewer bytes sets the size of all dictionaries, down to ``floor_bytes``; with less than that it keeps
+    what it has. More than ``max_langs`` languages are an error. Null languages and texts teach nothing.
     """
     rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h"), usable.alias("usable"))
     rows = rows.filter(F.col("usable") & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
@@ -67,13 +63,15 @@ def fit(docs: DataFrame, text: str, lang: str, key: str, usable: Column, buckets
     if len(least) > max_langs * buckets:
         raise ValueError(f"more than {max_langs} languages")
     wanted = {(r["lang"], r["h"]) for r in least}
-    picked = rows.filter(F.col("h").isin([r["h"] for r in least])).groupBy("lang", "h").agg(F.min(F.substring(letters(F.col("text")), 1, sample_chars)).alias("text")).collect()
+    cleaned = rows.filter(F.col("h").isin([r["h"] for r in least])).withColumn("text", letters(F.col("text")))
+    place = F.pmod(F.col("h"), F.greatest(F.length("text") - passage_chars + 1, F.lit(1))).cast("int") + 1
+    picked = cleaned.groupBy("lang", "h").agg(F.min(F.col("text").substr(place, F.lit(passage_chars))).alias("text")).collect()
     samples: dict[str, list[tuple[int, str]]] = {}
     for r in picked:
         if (r["lang"], r["h"]) in wanted:
             samples.setdefault(r["lang"], []).append((r["h"], r["text"]))
     # the same amount for each language, else the larger dictionary would win by size
-    joined = {k: "\n".join(t for _, t in sorted(v)).encode() for k, v in samples.items()}
+    joined = {k: "\n".join(t for _, t in sorted(v)).encode()[:sample_bytes] for k, v in samples.items()}
     size = max(min(map(len, joined.values()), default=0), min(floor_bytes, max(map(len, joined.values()), default=0)))
     common: dict[str, int] = {}
     for r in least:
@@ -88,6 +86,7 @@ def predict(df: DataFrame, text: str, profiles: Profiles, keep: list[str]) -> Da
     score 0 and rejected, and so is any text if there is no profile. ``score`` is the best language's
     share when a byte less counts e times as likely; ties go to the more frequent language and are rejected.
     Kept columns with the names of results are replaced. Repeated rows give a row each, an empty table none.
+    All texts, short or long, are compressed alike.
     """
     names = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
     source = df.select(*[F.col(f"`{c}`") for c in names], letters(F.col(f"`{text}`")).alias("__text"), F.coalesce(F.col(f"`{text}`").rlike("\\p{L}"), F.lit(False)).alias("__letter"))
@@ -105,11 +104,11 @@ def predict(df: DataFrame, text: str, profiles: Profiles, keep: list[str]) -> Da
         return machines[sizes.index(best)][0], score, narrow
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain, short = (list(profiles.compressors(n).items()) for n in (profiles.level, profiles.short_level))
+        machines = list(profiles.compressors().items())
         for batch in batches:
             texts, has = batch.column("__text"), batch.column("__letter").to_pylist()
-            raws = (texts[i].as_py().encode() if has[i] and plain else b"" for i in range(len(has)))
-            out = [judge(raw, short if len(raw) < profiles.short else plain) if raw else (UNKNOWN, 0.0, True) for raw in raws]
+            raws = (texts[i].as_py().encode() if has[i] and machines else b"" for i in range(len(has)))
+            out = [judge(raw, machines) if raw else (UNKNOWN, 0.0, True) for raw in raws]
             made = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], [*names, "lang_pred", "score", "rejected"])
         give_back()

@@ -43,7 +43,7 @@ def known_language(text, profiles):
     if not text or not regex.search(r"\p{L}", text):
         return False
     raw = regex.sub(r"[^\p{L}\p{M}]+", " ", text.lower()).strip(" ").encode()
-    level, sizes = profiles.short_level if len(raw) < profiles.short else profiles.level, []
+    level, sizes = profiles.level, []
     most = max(map(len, profiles.samples.values()))
     for sample in profiles.samples.values():
         params = zstandard.ZstdCompressionParameters.from_level(level, source_size=profiles.block, dict_size=most, min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
