@@ -63,7 +63,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
-    return warc.read(index).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read(index, originals=index).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Each task writes archive files of bounded size and returns an index row for
 each record: file, offset, length, URL and digest. Only files that the index
 names count, so a repeated task leaves no doubt. To read, the index comes
-first: the wanted records are sorted by file and offset, neighbouring byte
-ranges are joined into one read, and each record is parsed from it.
+first: files are cut into stretches of equal bytes, a stretch's wanted records
+are sorted by offset, neighbouring byte ranges are joined into one read, and
+each record is parsed from it and held against the index.
 """
 
 from __future__ import annotations
@@ -39,15 +40,24 @@ def _header(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
+def _named(key: str) -> str:
+    """A key as part of a record's id; ``_key`` gives it back."""
+    return re.sub(r"[\x00-\x20\x7f%<>]", lambda m: f"%{ord(m[0]):02X}", key)
+
+
+def _key(record_id: str) -> str:
+    return re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), record_id.removeprefix("<urn:page:").removesuffix(">"))
+
+
 def record(key: str, url: str | None, payload: bytes, own_digest: str, refers_to: str | None, date: str) -> bytes:
     """One WARC 1.1 record. With ``refers_to`` it is a revisit, which holds the payload's size and digest but not the payload."""
     revisit = refers_to is not None
     body = HTTP if revisit else HTTP + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{_header(key)}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{own_digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{_named(key)}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{own_digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_header(url)}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{_header(refers_to)}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{_named(refers_to)}>"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -78,7 +88,9 @@ def write(df: DataFrame, key: str, url: str, html: str, path: str | None = None,
 
     The payload is the html in UTF-8, empty for null. Of rows with equal payloads, those with the smallest key are
     responses and the others revisit it (rows that repeat that key are all responses; a null key never is the original).
-    A null url is left out of the record. An empty table gives an empty index.
+    A null url is left out of the record; control characters of a url are percent signs and hex in the record and whole
+    in the index. Repeated rows give a record each, an empty table an empty index. Other columns are ignored. A payload
+    of any length is one record; a file is closed after the record that fills ``file_bytes``.
     """
     base = path or shared_path(df.sparkSession, "warc")
     rows = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{url}`").alias("__url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("__html"))
@@ -117,22 +129,30 @@ def write(df: DataFrame, key: str, url: str, html: str, path: str | None = None,
     return stored(index.withColumn("root", F.lit(base)), "warc-index")
 
 
-def read(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
+def read(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, stretch: int = 32 << 20, originals: DataFrame | None = None) -> DataFrame:
     """The records that the (perhaps filtered) index names: key, refers_to as stored in the archive, payload_bytes,
     payload_digest, record_type and, for responses, the payload. Ranges at most ``gap`` bytes apart are read
-    at once, up to ``most`` bytes. A response whose payload does not fit its digest is an error.
+    at once, up to ``most`` bytes. Work is split by bytes: records that begin in the same ``stretch`` bytes of a file stay
+    together, and there are as many partitions as the records fill stretches.
+
+    An error is: a record whose type, size or digest is not the index's, a response whose payload does not fit its digest,
+    and, with ``originals`` (the whole index), a revisit without a response of that key, size and digest there.
     """
     key = index.schema["key"].dataType
     schema = T.StructType([T.StructField("key", key), T.StructField("refers_id", T.StringType()), *T._parse_datatype_string(RECORD).fields, T.StructField("payload", T.BinaryType())])
-    wanted = index.select("root", "file", "offset", "length", "key").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    wanted = index.select("root", "file", "offset", "length", "key", "record_type", "payload_bytes", "payload_digest")
+    wanted = wanted.repartition(max(1, -(-total // stretch)), "file", F.floor(F.col("offset") / stretch)).sortWithinPartitions("file", "offset")
+
+    names = wanted.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, handle, opened = None, None, None
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("root", "file", "offset", "length", "key")), strict=True))
+            rows = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
             i = 0
             while i < len(rows):
-                root, file, begin, length, _ = rows[i]
+                root, file, begin, length = rows[i][:4]
                 end, j = begin + length, i + 1
                 while j < len(rows) and rows[j][1] == file and rows[j][2] - end <= gap and rows[j][2] + rows[j][3] - begin <= most:
                     end, j = max(end, rows[j][2] + rows[j][3]), j + 1
@@ -143,18 +163,25 @@ def read(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20) -> DataFram
                     handle, opened = store.open_input_file(file), file
                 raw = handle.read_at(end - begin, begin)
                 made = []
-                for *_, at, n, k in rows[i:j]:
+                for _, _, at, n, k, *indexed in rows[i:j]:
                     fields, payload = parse(raw[at - begin : at - begin + n])
-                    kind, stated = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and digest(payload) != stated:
+                    kind, size, stated = fields["warc-type"], int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
+                    if [kind, size, stated] != indexed:
+                        raise ValueError(f"{file}: the record at {at} is not that of the index")
+                    if kind == "response" and (len(payload), digest(payload)) != (size, stated):
                         raise ValueError(f"{file}: the payload at {at} does not fit its digest")
                     refers = fields.get("warc-refers-to")
-                    made.append((k, refers and refers.removeprefix("<urn:page:").removesuffix(">"), int(fields["x-payload-length"]), stated, kind, payload if kind == "response" else None))
+                    made.append((k, refers and _key(refers), size, stated, kind, payload if kind == "response" else None))
                 kinds = [batch.column("key").type, pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], schema.names)
                 i = j
         if handle is not None:
             handle.close()
 
-    out = wanted.mapInArrow(run, schema)
-    return out.select("key", F.col("refers_id").cast(key).alias("refers_to"), "payload_bytes", "payload_digest", "record_type", "payload")
+    out = wanted.mapInArrow(run, schema).withColumn("refers_to", F.col("refers_id").cast(key)).drop("refers_id")
+    if originals is not None:
+        first = originals.filter("record_type = 'response'").select(F.col("key").alias("refers_to"), "payload_bytes", "payload_digest", F.lit(True).alias("there")).distinct()
+        out = out.join(first, ["refers_to", "payload_bytes", "payload_digest"], "left")
+        lost = F.raise_error(F.concat(F.lit("no original of the record "), F.col("key").cast("string"))).cast("string")
+        out = out.withColumn("record_type", F.when((F.col("record_type") == "revisit") & F.col("there").isNull(), lost).otherwise(F.col("record_type")))
+    return out.select("key", "refers_to", "payload_bytes", "payload_digest", "record_type", "payload")
