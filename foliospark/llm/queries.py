@@ -96,7 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_url_filter": """
+    "op1_url_filter": r"""
 WITH cut AS (
     SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parts AS (
@@ -113,8 +113,10 @@ WITH cut AS (
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN host LIKE '%spam%' OR host LIKE '%cheap-pills%' OR host LIKE '%casino%' THEN 'block'
-    WHEN '.' || host LIKE '%.doubleclick.%' OR path LIKE '%/wp-login.php%' THEN 'block'
+    WHEN regexp_matches(host, 'spam|casino|poker|jackpot|cheap-pills|viagra|cialis|payday-loan|replica-watch|porn|xxx-video|warez|torrent') THEN 'block'
+    WHEN regexp_matches('.' || host || path, '^[^/]*\.(doubleclick|googlesyndication|adserver|adservice|adnxs|scorecardresearch)\.') THEN 'block'
+    WHEN regexp_matches('.' || host || path, '/wp-login\.php|/wp-admin/|/xmlrpc\.php|/cgi-bin/|/phpmyadmin|/\.git/|/\.env') THEN 'block'
+    WHEN regexp_matches('.' || host || path, '(\.exe|\.msi|\.apk|\.dmg|\.iso|\.zip|\.rar|\.7z|\.tar\.gz|\.mp3|\.mp4|\.avi|\.jpg|\.jpeg|\.png|\.gif|\.css|\.js)$') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled
 """,

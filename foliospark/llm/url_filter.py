@@ -4,7 +4,10 @@ Every rule becomes a row of automaton states; all rules lie side by side in a
 few 64-bit words. One step takes one byte of the URL: states shift by one
 (with the carry from word to word), stay if the byte fits a state's own loop,
 and are masked with the states that the byte may reach. So all rules run at
-once, and numpy runs a whole batch of URLs at once.
+once, and numpy runs many URLs at once, as many as ``MOST_WORDS`` words of
+state allow. URLs with no state left, or only with final states that any rest
+of the URL fits, leave the walk. The few longest URLs go on with their state as
+one Python integer, which takes less time a byte.
 
 A rule's pattern is matched against ``.host/path``: ``*`` fits any bytes but
 ``/``, ``**`` any bytes, every other byte itself.
@@ -40,11 +43,39 @@ class Rule:
         return Rule(f"*.{host}{slash}{path}**", verdict, name, 1_000 + len(name))
 
 
-#: What judges URLs that no domain rule fits: words that mark spam hosts and tracking paths.
+    @staticmethod
+    def word(verdict: str, word: str) -> list[Rule]:
+        """The word anywhere in the host."""
+        return [Rule(f"*{word}*", verdict), Rule(f"*{word}*/**", verdict)]
+
+
+# What judges URLs that no domain rule fits.
+SPAM_WORDS = "spam casino poker jackpot cheap-pills viagra cialis payday-loan replica-watch porn xxx-video warez torrent".split()
+TRACKERS = "doubleclick googlesyndication adserver adservice adnxs scorecardresearch".split()
+MACHINE_PATHS = "/wp-login.php /wp-admin/ /xmlrpc.php /cgi-bin/ /phpmyadmin /.git/ /.env".split()
+BINARY_ENDINGS = ".exe .msi .apk .dmg .iso .zip .rar .7z .tar.gz .mp3 .mp4 .avi .jpg .jpeg .png .gif .css .js".split()
 DEFAULT_RULES = (
-    Rule("*spam*/**", "block"), Rule("*spam*", "block"), Rule("*cheap-pills*/**", "block"), Rule("*cheap-pills*", "block"),
-    Rule("*casino*/**", "block"), Rule("*casino*", "block"), Rule("*.doubleclick.**", "block"), Rule("**/wp-login.php**", "block"),
-)
+    *(rule for w in SPAM_WORDS for rule in Rule.word("block", w)),
+    *(Rule(f"*.{t}.**", "block") for t in TRACKERS),
+    *(Rule(f"**{p}**", "block") for p in MACHINE_PATHS),
+    *(Rule(f"**{e}", "block") for e in BINARY_ENDINGS),
+)
+#: Words of state that numpy holds at once, and how many URLs of a batch go on as integers.
+MOST_WORDS, FEW = 1 << 18, 8
+
+
+def rules_of(table: DataFrame, most: int = 100_000) -> list[Rule]:
+    """Rules from a table with ``kind`` (domain or glob), ``pattern`` and ``verdict``, in order of kind, pattern and verdict.
+
+    Rules are settings, so they come to the driver; more than ``most`` are an error. Repeated rows count once, null ones not.
+    """
+    rows = table.select("kind", "pattern", "verdict").dropna().distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    wrong = [r for r in rows if r["kind"] not in ("domain", "glob") or r["verdict"] not in ("allow", "block")]
+    if wrong:
+        raise ValueError(f"no rule: {wrong[0]}")
+    return [Rule.domain(r["verdict"], r["pattern"]) if r["kind"] == "domain" else Rule(r["pattern"], r["verdict"]) for r in sorted(rows)]
 
 
 class Automaton:
@@ -79,26 +110,58 @@ class Automaton:
         pack = lambda bits: np.packbits(bits, axis=-1, bitorder="little").view("<u8").reshape(*bits.shape[:-1], self.words)
         begin = np.zeros(self.words * 64, bool)
         begin[self.first] = True
-        self.reach, self.stay, self.begin = pack(reach), pack(stay), pack(begin)
+        final = np.zeros(self.words * 64, bool)
+        final[[i for i in self.last if steps[i][1] == "any"]] = True
+        self.reach, self.stay, self.begin, self.open = pack(reach), pack(stay), pack(begin), ~pack(final)
+        self.whole: list[tuple[int, int]] = []  # reach and stay by byte as integers, made when needed
 
     def match(self, urls: list[bytes]) -> np.ndarray:
-        """For each URL, a boolean per rule: the rule fits the whole URL."""
-        lengths = np.fromiter(map(len, urls), np.int64, len(urls))
-        order = np.argsort(-lengths, kind="stable")
-        n, flat = lengths[order], np.frombuffer(b"".join(urls) + b"\0", np.uint8)
-        at = (np.cumsum(lengths) - lengths)[order]
-        state = np.tile(self.begin, (len(urls), 1))
-        for t in range(int(n[0]) if len(n) else 0):
-            k = int(np.searchsorted(-n, -t, side="left"))  # URLs longer than t
-            byte, own = flat[at[:k] + t], state[:k]
-            shifted = own << np.uint64(1)
-            shifted[:, 1:] |= own[:, :-1] >> np.uint64(63)
-            state[:k] = (shifted & self.reach[byte]) | (own & self.stay[byte])
-        out = np.empty((len(urls), len(self.rules)), bool)
-        bits = np.unpackbits(state.view(np.uint8), axis=1, bitorder="little")
-        out[order] = bits[:, self.last].astype(bool)
+        """For each URL, the number of the first rule (in the order of ``rules``) that fits the whole URL, else -1."""
+        out = np.full(len(urls), -1, np.int64)
+        if self.rules:
+            step = max(1, MOST_WORDS // self.words)
+            order = np.argsort([-len(u) for u in urls], kind="stable")
+            for a in range(0, len(urls), step):
+                own = order[a : a + step]
+                out[own] = self._first(self._walk([urls[i] for i in own]))
         return out
 
+    def _first(self, states: np.ndarray) -> np.ndarray:
+        bits = np.unpackbits(states.view(np.uint8), axis=1, bitorder="little")[:, self.last]
+        return np.where(bits.any(1), bits.argmax(1), -1)
+
+    def _walk(self, urls: list[bytes]) -> np.ndarray:
+        """The states at the end of each URL; URLs come longest first."""
+        lengths = np.fromiter(map(len, urls), np.int64, len(urls))
+        flat = np.frombuffer(b"".join(urls) + b"\0", np.uint8)
+        at, states = np.cumsum(lengths) - lengths, np.tile(self.begin, (len(urls), 1))
+        rows = np.arange(len(urls))  # those on the way, longest first
+        t = 0
+        while len(rows := rows[: np.searchsorted(-lengths[rows], -t, side="left")]) > FEW:
+            own = states[rows]
+            for t in range(t, min(t + 16, int(lengths[rows[-1]]))):
+                byte = flat[at[rows] + t]
+                shifted = own << np.uint64(1)
+                shifted[:, 1:] |= own[:, :-1] >> np.uint64(63)
+                own = (shifted & self.reach[byte]) | (own & self.stay[byte])
+            t += 1
+            states[rows] = own
+            rows = rows[(own & self.open).any(1)]
+        for i in rows.tolist():
+            states[i] = self._rest(states[i], urls[i], t)
+        return states
+
+    def _rest(self, state: np.ndarray, url: bytes, at: int) -> np.ndarray:
+        if not self.whole:
+            self.whole = [(int.from_bytes(r.tobytes(), "little"), int.from_bytes(s.tobytes(), "little")) for r, s in zip(self.reach, self.stay, strict=True)]
+        open_, now = int.from_bytes(self.open.tobytes(), "little"), int.from_bytes(state.tobytes(), "little")
+        for byte in url[at:]:
+            reach, stay = self.whole[byte]
+            now = ((now << 1) & reach) | (now & stay)
+            if not now & open_:
+                break
+        return np.frombuffer(now.to_bytes(8 * self.words, "little"), "<u8")
+
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) after the first ``://`` and path up to ``?`` or ``#``; both empty for null or without ``://``."""
@@ -113,6 +176,8 @@ def judge(df: DataFrame, url: str, rules: list[Rule]) -> DataFrame:
     The matching rule of the highest rank decides (equal ranks: the earlier one); ``rule`` is its name.
     No match: allow. A null URL, or one without ``://``, has empty host and path; only
     patterns for the empty host could block it. Columns of ``df`` with those names are replaced.
+    Repeated rows give a row each, an empty table none. URLs are judged whole, however long; memory is
+    bounded by ``MOST_WORDS`` or by one URL and one state.
     """
     host, path = host_and_path(F.col("__url"))
     names = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
@@ -120,14 +185,12 @@ def judge(df: DataFrame, url: str, rules: list[Rule]) -> DataFrame:
     schema = T.StructType([*parted.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Automaton(rules)
-        ranks = np.array([r.rank for r in rules])
-        by_rank = np.argsort(-ranks, kind="stable")
+        by_rank = sorted(rules, key=lambda r: -r.rank)
+        machine = Automaton(by_rank)
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            hits = machine.match([f".{h}{p}".encode() for h, p in zip(hosts, paths, strict=True)])[:, by_rank]
-            found = np.where(hits.any(1), hits.argmax(1), -1) if len(rules) else np.full(len(hosts), -1)
-            own = [rules[by_rank[i]] if i >= 0 else None for i in found]
+            found = machine.match([f".{h}{p}".encode() for h, p in zip(hosts, paths, strict=True)])
+            own = [by_rank[i] if i >= 0 else None for i in found]
             named = pa.array([r and r.name for r in own], pa.string())
             verdicts = pa.array([r.verdict if r else "allow" for r in own], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, named, verdicts], [*batch.schema.names, "rule", "verdict"])

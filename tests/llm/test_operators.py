@@ -53,22 +53,6 @@ def test_pages_with_nulls(spark):
     assert warc.read(warc.write(pages.limit(0), "page_id", "url", "html")).count() == 0
 
 
-def test_globs_against_regular_expressions():
-    random.seed(3)
-    globs = ["".join(random.choice(["a", "b", "/", "*", "**", "."]) for _ in range(random.randint(1, 9))) for _ in range(60)]
-    urls = ["".join(random.choice("ab/.") for _ in range(random.randint(0, 12))) for _ in range(200)]
-    fits = url_filter.Automaton([url_filter.Rule(g, "block") for g in globs]).match([u.encode() for u in urls])
-    for j, g in enumerate(globs):
-        parts = re.split(r"(\*\*|\*)", re.sub(r"\*{3,}", "**", g))
-        pattern = "".join({"**": ".*", "*": "[^/]*"}.get(p, re.escape(p)) for p in parts)
-        assert [bool(re.fullmatch(pattern, u)) for u in urls] == fits[:, j].tolist(), g
-
-
-def test_held_out_languages(spark):
-    found = queries.op2(spark, SF).filter("held_out").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
-    assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.93
-
-
 def test_smallest_language_sets_the_size_of_profiles(spark):
     rows = [(i, "abcdefgh "[i % 7 :] * 200, lang) for i, lang in [*((i, "aa") for i in range(40)), *((i, "bb") for i in range(40, 60)), (90, "xx")]]
     docs = spark.createDataFrame([*rows, (91, "mistyped", "e n")], "doc_id long, text string, lang string")
