@@ -148,7 +148,7 @@ def parse(source: str) -> Page:
             inner = stack[silent_at[-1]].tag if silent_at else None
             drawn = inner == "svg" and stack[-1].hidden  # titles of drawings are ordinary markup
             end = None if drawn and tag not in ("script", "style") else _end(source, at, tag, inner or tag)
-            if end or not drawn:
+            if end or not drawn or tag in ("script", "style"):
                 at = n if not end else end.end() if end[1].lower() == tag else end.start()
                 continue
         if tag == "br" and not stack[-1].hidden:
