@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import stored
+from foliospark.llm.shared import own_name, stored
 
 GRAM, SPAN = 6, 13
 #: Words of a text whose A-Z are lower-cased are the same spans as these, where A-Z still stand.
@@ -72,8 +72,9 @@ def _chain(words: str, n: int) -> Column:
 def fingerprints(bench: DataFrame, key: str, text: str) -> tuple[DataFrame, list[int]]:
     """The items' kept k-grams, written as a table, and the lengths of short items.
 
-    A row has ``gram``, ``item_id``, the neighbourhood ``item_words``, the place ``at`` of the k-gram in it and ``need``,
-    the equal words that make a hit. So a row's size is bounded, however long its item is.
+    A row has ``gram``, the neighbourhood ``item_words``, the place ``at`` of the k-gram in it, ``need``, the equal words
+    that make a hit, and ``items``, the ids (as strings) of all items with just that: wording that many items share is
+    compared once. A row's words are bounded, however long its items are.
     Items without words, or null, give none. Items with the same id are taken together.
     """
     items = with_words(bench.select(F.col(f"`{key}`").alias("item_id"), F.col(f"`{text}`").alias("__t")).distinct(), "__t").filter(F.size("words") > 0)
@@ -86,7 +87,9 @@ def fingerprints(bench: DataFrame, key: str, text: str) -> tuple[DataFrame, list
     rows = rows.withColumn("words", F.transform("words", lambda w: F.translate(w, UPPER, LOWER)))
     rows = rows.select("item_id", "words", "need", F.explode_outer("kept").alias("k")).filter("k IS NOT NULL")
     first, near = _near(_position(F.col("k")))
-    return stored(rows.select(F.shiftright("k", LOW).alias("gram"), "item_id", near.alias("item_words"), (_position(F.col("k")) - first).alias("at"), "need"), "fingerprints"), lengths
+    rows = rows.select(F.shiftright("k", LOW).alias("gram"), "item_id", near.alias("item_words"), (_position(F.col("k")) - first).alias("at"), "need")
+    rows = rows.groupBy("gram", "item_words", "at", "need").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    return stored(rows, "fingerprints"), lengths
 
 
 def _position(k: Column) -> Column:
@@ -124,36 +127,39 @@ def scan(docs: DataFrame, key: str, text: str, bench: DataFrame, bench_key: str,
 
     Every document word in an occurrence of ``SPAN`` words in a row of an item (of the whole item, if shorter) is hit;
     contaminated: at least a twentieth of the words, and one at least. Null or empty texts have 0 words.
-    Repeated rows give a row each; a null key stays null; a null item id counts for hits but not as an item.
+    Repeated rows give a row each; a null key stays null; a null item id counts for hits but not as an item. No documents
+    give no rows; without items no document is hit. Other columns are ignored; a key with the name of a result is an error.
+    Texts are whole, up to ``2**30`` words each.
 
     One pass over the documents: kept k-grams are exploded and joined with the items' table, and only matches
-    leave the stage. That table is broadcast if it has ``broadcast_rows`` rows at most; beyond, hits are found
+    leave the stage. That table is broadcast if its rows and item ids are ``broadcast_rows`` at most; beyond, hits are found
     first without the words, by a shuffle of k-grams, and then joined with the documents they lie in.
     """
+    own_name(key, ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
     grams, lengths = fingerprints(bench, bench_key, bench_text)
     rows = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).withColumn("__row", F.monotonically_increasing_id())
     rows = with_kept(with_words(rows, "__text")).withColumn("n_words", F.size("words"))
     kept = [F.col("kept"), *[_chain("w1", n) for n in lengths], F.array(F.lit(MARK).cast("long"))]
     rows = rows.withColumn("kept", F.concat(*kept)).select("__row", "__key", "n_words", "words", "kept")
-    if grams.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if (grams.agg(F.sum(F.size("items") + 1)).first()[0] or 0) <= broadcast_rows:
         found = _found_by_broadcast(rows, grams)
     else:
         found = _found_by_shuffle(rows, grams)
     marked = F.col("item_words").isNull()
-    hits = found.select("__row", "__key", "n_words", "item_id", F.when(~marked, _runs()).alias("runs"))
-    hits = hits.filter(F.col("runs").isNull() | (F.size("runs") > 0)).select("__row", "__key", "n_words", "item_id", F.explode_outer("runs").alias("run"))
-    by_doc = hits.groupBy("__row", "__key", "n_words").agg(F.collect_set("run").alias("runs"), F.collect_set(F.when(F.col("run").isNotNull(), F.col("item_id").cast("string"))).alias("items"))
+    hits = found.select("__row", "__key", "n_words", "items", F.when(~marked, _runs()).alias("runs"))
+    hits = hits.filter(F.col("runs").isNull() | (F.size("runs") > 0)).select("__row", "__key", "n_words", "items", F.explode_outer("runs").alias("run"))
+    by_doc = hits.groupBy("__row", "__key", "n_words").agg(F.collect_set("run").alias("runs"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("run").isNotNull(), F.col("items"))))).alias("items"))
     n_hit = _covered(F.array_sort("runs"))
     out = by_doc.select(F.col("__key").alias(key), F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
-FOUND = ("__row", "__key", "n_words", "pos", "near", "item_id", "item_words", "at", "need")
+FOUND = ("__row", "__key", "n_words", "pos", "near", "items", "item_words", "at", "need")
 
 
 def _found_by_broadcast(rows: DataFrame, grams: DataFrame) -> DataFrame:
     """Documents' kept k-grams that are in the table, and one row without an item for each document."""
-    whole = [F.lit(MARK >> LOW).cast("long").alias("gram"), *(F.lit(None).cast(grams.schema[c].dataType).alias(c) for c in ("item_id", "item_words", "at", "need"))]
+    whole = [F.lit(MARK >> LOW).cast("long").alias("gram"), *(F.lit(None).cast(grams.schema[c].dataType).alias(c) for c in ("items", "item_words", "at", "need"))]
     table = grams.unionByName(rows.sparkSession.range(1).select(*whole))
     placed = F.transform("kept", lambda k: F.struct(k.alias("k"), _near(_position(k))[1].alias("near")))
     # explode_outer, as for explode Spark would put a filter on all that makes ``kept`` next to the scan
@@ -167,7 +173,7 @@ def _found_by_shuffle(rows: DataFrame, grams: DataFrame) -> DataFrame:
     which the hits then get from the documents."""
     docs = stored(rows.withColumn("kept", F.slice("kept", F.lit(1), F.size("kept") - 1)), "documents")
     exploded = docs.select("__row", F.explode_outer("kept").alias("k")).select("__row", F.shiftright("k", LOW).alias("gram"), _position(F.col("k")).alias("pos"))
-    places = exploded.join(grams, "gram").select("__row", "pos", "item_id", "item_words", "at", "need")
+    places = exploded.join(grams, "gram").select("__row", "pos", "items", "item_words", "at", "need")
     hits = docs.join(places, "__row").withColumn("near", _near(F.col("pos"))[1]).select(*FOUND)
     none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in hits.schema if f.name not in docs.columns}
     return hits.unionByName(docs.select(*[none.get(c, F.col(c)) for c in FOUND]))

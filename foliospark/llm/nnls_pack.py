@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm import tokens
-from foliospark.llm.shared import slices
+from foliospark.llm.shared import own_name, slices
 
 COLUMNS = "start BIGINT, length BIGINT, ids_crc32 BIGINT, doc_tokens BIGINT, sequence_id BIGINT, offset BIGINT"
 
@@ -163,11 +163,13 @@ def pack(df: DataFrame, key: str, text: str, tokenizer: str, limit: int = 2048,
     sequence and offset there. ``limit`` and ``grain`` are powers of two.
 
     A null text counts as empty: its only id is ``end_id``. Repeated rows are packed once each.
-    A null key stays null. An empty table gives no rows. Other columns are ignored.
+    A null key stays null. An empty table gives no rows. Other columns are ignored; a key with the name of a result is an
+    error. Pieces of equal length are packed in the order they come in. A long text is cut, never shortened; memory is
+    bounded by ``block_chars`` bytes of text, or by the longest text.
     """
     source = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
     schema = T._parse_datatype_string(COLUMNS)
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *schema.fields])
+    schema = T.StructType([T.StructField(own_name(key, schema.names), df.schema[key].dataType), *schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(limit, grain, depth, TaskContext.get().partitionId() << 40)

@@ -245,12 +245,13 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-OUTPUT = (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "masked")
+OUTPUT = (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "masked", "n_spans")
 
 
 def find(df: DataFrame, text: str, keep: list[str], block_chars: int = 1_000_000) -> DataFrame:
     """The columns ``keep``, the number of base spans by kind, ``base_sha256`` (of the listed base spans), ``spans``
-    (kind:start:end in code points, by kind, then start) and ``masked``, the text with all spans masked, for each row.
+    (kind:start:end in code points, by kind, then start), ``masked``, the text with all spans masked, and ``n_spans``, how
+    many there are, for each row.
 
     A null text is empty and stays null in ``masked``. Repeated rows give a row each, an empty table none.
     Kept columns with the names of results are replaced. Where learned spans meet base ones, the base ones stay; equal
@@ -274,9 +275,9 @@ def find(df: DataFrame, text: str, keep: list[str], block_chars: int = 1_000_000
                     base = base_spans(t)
                     spans, listed = all_spans(base, learned), _listed(base)
                     counts = [sum(k == kind for k, _, _ in base) for kind in KINDS]
-                    rows.append((*counts, hashlib.sha256(listed.encode()).hexdigest(), _listed(spans), masked(own, spans) if spans else own))
+                    rows.append((*counts, hashlib.sha256(listed.encode()).hexdigest(), _listed(spans), masked(own, spans) if spans else own, len(spans)))
                 columns, kept = list(zip(*rows, strict=True)), batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), *(pa.array(c, pa.int64() if i < len(KINDS) else pa.string()) for i, c in enumerate(columns))], schema.names)
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), *(pa.array(c, pa.int64() if name.startswith("n_") else pa.string()) for name, c in zip(OUTPUT, columns, strict=True))], schema.names)
         give_back()
 
     return source.mapInArrow(run, schema)

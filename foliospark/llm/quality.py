@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm import crf
-from foliospark.llm.shared import slices
+from foliospark.llm.shared import own_name, slices
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -178,12 +178,12 @@ def model() -> crf.Chain:
     return crf.train(features, labels, int(OFFSETS[-1]), 2, decay=0.05)
 
 
-def content_share(n: int, features: np.ndarray, n_words: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
+def content_share(chain: crf.Chain, n: int, features: np.ndarray, n_words: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each of ``n`` texts the share of its words that lie in content lines; 0 without words."""
     if not len(place):
         return np.zeros(n)
     begins = np.flatnonzero(first)
-    found = model().decode(features, begins, np.diff(np.append(begins, len(place))))
+    found = chain.decode(features, begins, np.diff(np.append(begins, len(place))))
     content, total = np.zeros(n), np.zeros(n)
     np.add.at(content, place, n_words * (found == 1))
     np.add.at(total, place, n_words)
@@ -195,11 +195,14 @@ def judge(df: DataFrame, key: str, text: str, min_words: int = 10, max_repeat_pe
 
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat_percent`` of them in repeated windows.
     Other texts are kept if ``min_content`` of their words lie in content lines. A null text has no words.
-    Repeated rows give a row each, an empty table none.
+    Repeated rows give a row each, an empty table none. Other columns are ignored; a key with the name of a result is an
+    error. Equal scores of labels go to boilerplate. Texts and lines are whole: memory is bounded by ``block_chars`` bytes
+    of text, or by the longest text.
     """
     source = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
+    chain = model()  # fitted once, on the driver
     longs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in longs), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("content_share", T.DoubleType())])
+    schema = T.StructType([T.StructField(own_name(key, (*longs, "base_failed", "kept", "content_share")), df.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in longs), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("content_share", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +211,7 @@ def judge(df: DataFrame, key: str, text: str, min_words: int = 10, max_repeat_pe
             for a, b in slices([len(t.as_buffer()) if t.is_valid else 0 for t in column], block_chars):
                 own, *lines = measured([column[i].as_py() or "" for i in range(a, b)])
                 counts.append(own)
-                shares.append(content_share(b - a, *lines))
+                shares.append(content_share(chain, b - a, *lines))
             all_counts, share = np.concatenate(counts), np.concatenate(shares)
             failed = (all_counts[:, 0] < min_words) | (100 * all_counts[:, 4] > max_repeat_percent * all_counts[:, 0])
             yield pa.RecordBatch.from_arrays([batch.column("__key"), *(pa.array(c) for c in all_counts.T), pa.array(failed), pa.array(~failed & (share >= min_content)), pa.array(share)], schema.names)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def own_name(key: str, results: Iterable[str]) -> str:
+    """``key``, which must not have the name of a result."""
+    if key in set(results):
+        raise ValueError(f"the key {key!r} has the name of a result: rename it")
+    return key
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: its lineage is cut there, its size is known."""
     spark = df.sparkSession

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.components import components
-from foliospark.llm.shared import give_back, stored
+from foliospark.llm.shared import give_back, own_name, stored
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 
@@ -88,9 +88,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, distance_: int = DISTANC
     """For each row: ``key``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest key reachable over links.
 
     Null and empty texts have fingerprint zero and are linked like any other. Repeated rows give a row each. A null
-    key is never the smallest unless all keys of the component are null. An empty table gives no rows.
+    key is never the smallest unless all keys of the component are null. An empty table gives no rows. Other columns are
+    ignored; a key with the name of a result is an error. A text of any length is one fingerprint, made whole.
+
+    Equal fingerprints are one node, so the pairs compared grow with distinct fingerprints alone: a signature leaves 31 bits
+    of a half, so n random fingerprints meet in about ``32 * n * n / 2**31`` pairs, which is n at 70 million of them and
+    more beyond. Pairs are compared in the join, so only linked ones are shuffled again.
     """
-    docs = stored(fingerprints(df, key, text), "simhash")
+    docs = stored(fingerprints(df, own_name(key, ("fp", "fingerprint", "component_id")), text), "simhash")
     nodes = stored(docs.groupBy("fp").agg(F.min(F.col(f"`{key}`")).alias("least")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), distance_))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

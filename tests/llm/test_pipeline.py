@@ -9,6 +9,7 @@ import pytest
 import regex
 import xxhash
 import zstandard
+from pyspark.sql.functions import lit
 
 from foliospark.llm import pii, queries
 
@@ -39,6 +40,67 @@ def test_null_and_repeated_ids(spark):
     assert sorted(r["doc_id"] for r in alone) == sorted({r["component_id"] for r in __import__("foliospark.llm.simhash", fromlist=["x"]).near_duplicates(docs, "doc_id", "text").collect()})
 
 
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+CLASHES = "score double, lang_pred string, rejected boolean, fingerprint string, component_id long, n_words long, contaminated boolean, spans string, masked string, n_spans long, id long, fp long, start long"
+
+
+def awkward_tables(spark, path, rows, bench):
+    more = [f.split()[0] for f in CLASHES.split(", ")]
+    docs = spark.createDataFrame([(*r, *[None] * len(more)) for r in rows], f"{COLUMNS}, {CLASHES}")
+    values = {"score": 0.25, "lang_pred": "own", "rejected": False, "fingerprint": "own", "component_id": -1, "n_words": -2, "contaminated": True, "spans": "own", "masked": "own", "n_spans": 77, "id": -3, "fp": -4, "start": -5}
+    docs = docs.select(*[docs[c] for c in docs.columns if c not in values], *[lit(v).cast(docs.schema[c].dataType).alias(c) for c, v in values.items()])
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    return spark.read.parquet(f"{path}/documents.parquet"), values
+
+
+def test_awkward_rows_in_every_stage(spark, tmp_path):
+    english = "the quick brown fox jumps over the lazy dog and then it runs through the wood to the river where it drinks"
+    german = "der schnelle braune fuchs springt über den faulen hund und läuft dann durch den wald an den fluss und trinkt dort"
+    miller = "once upon a time there lived a miller by the brook who had three sons and a mill and a donkey and a cat but nothing else in the world"
+    passage = "what is the name of the river that flows through the old town and into the northern sea"
+    rows = [(1, f"{english} number {i}", "en", "s", 9) for i in range(3)] + [(10 + i, f"{german} {w}", "de", None, None) for i, w in enumerate(["eins", "zwei und drei"])]
+    rows += [(20, None, None, None, None), (21, "", "en", "s", 0), (22, "123 !!", "en", None, None), (None, english, None, None, None), (23, miller, "en", None, 5), (23, miller, "en", None, 5)]
+    rows += [(30, passage, "en", "s", 1), (31, "write to anna@example.org about the house by the sea and the boat", "en", "s", 65), (32, f"{english} and more " * 900, "en", "s", 3)]
+    docs, values = awkward_tables(spark, tmp_path, rows, [(1, passage), (None, passage), (2, None), (3, "")])
+    assert docs.count() == len(rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        left = docs.collect()
+        assert all(r[c] == v for r in left for c, v in values.items()), name
+        keys = [r["doc_id"] for r in left]
+        if name == "language":
+            assert keys.count(23) == 2 and None in keys and not {20, 21, 22} & set(keys)
+        if name == "near_duplicates":
+            assert keys.count(23) == 1 and None not in keys and 30 in keys
+        if name == "decontamination":
+            assert 30 not in keys and 31 in keys
+        if name == "personal_data":
+            masked = next(r for r in left if r["doc_id"] == 31)
+            assert "[EMAIL]" in masked["text"] and masked["n_chars"] == len(masked["text"])
+            assert next(r for r in left if r["doc_id"] == 32)["n_chars"] == 3
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in packed.filter("start = 0").collect()} == set(keys) and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_texts_without_words_in_later_stages(spark, tmp_path):
+    docs, _ = awkward_tables(spark, tmp_path, [(1, None, None, None, None), (2, "", None, None, None), (3, "?", None, None, None)], [(1, "")])
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["language"](spark, docs, str(tmp_path)).isEmpty()
+    assert sorted(r["doc_id"] for r in stages["near_duplicates"](spark, docs, str(tmp_path)).collect()) == [1, 3]
+    assert stages["decontamination"](spark, docs, str(tmp_path)).count() == 3
+    assert {r["doc_id"]: r["text"] for r in stages["personal_data"](spark, docs, str(tmp_path)).collect()} == {1: None, 2: "", 3: "?"}
+    assert stages["packing"](spark, docs, str(tmp_path)).count() == 3
+
+
+def test_empty_tables(spark, tmp_path):
+    awkward_tables(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
 def known_language(text, profiles):
     if not text or not regex.search(r"\p{L}", text):
         return False
