@@ -19,7 +19,7 @@ from foliospark.llm.queries import profiles, tokenizer_path
 from foliospark.llm.shared import shared_path, stored
 
 #: While the stages run, this many rows go to a Python worker at once, which bounds the memory beside the heap.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 
 
 def _identity() -> Column:
@@ -85,7 +85,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens, with the columns of ``nnls_pack.pack``. A null or empty text is its
     end id; repeated rows are packed once each.
     """
-    return nnls_pack.pack(docs, "doc_id", "text", tokenizer_path())
+    return nnls_pack.pack(docs, "doc_id", "text", tokenizer_path(), block_chars=500_000, table_words=100_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -158,9 +158,9 @@ class Packer:
         return rows
 
 
-def pack(df: DataFrame, key: str, text: str, tokenizer: str, limit: int = 2048, grain: int = 64, depth: int = 3, end_id: int = 1, block_chars: int = 2_000_000) -> DataFrame:
+def pack(df: DataFrame, key: str, text: str, tokenizer: str, limit: int = 2048, grain: int = 64, depth: int = 3, end_id: int = 1, block_chars: int = 2_000_000, table_words: int = 250_000) -> DataFrame:
     """One row for each piece of a document: ``key``, start, length, CRC-32 of its ids, its document's ids,
-    sequence and offset there. ``limit`` and ``grain`` are powers of two.
+    sequence and offset there. ``limit`` and ``grain`` are powers of two. A worker keeps the ids of ``table_words`` words at hand.
 
     A null text counts as empty: its only id is ``end_id``. Repeated rows are packed once each.
     A null key stays null. An empty table gives no rows. Other columns are ignored; a key with the name of a result is an
@@ -179,7 +179,7 @@ def pack(df: DataFrame, key: str, text: str, tokenizer: str, limit: int = 2048,
             columns = list(zip(*packer.take(), strict=True)) or [()] * 7
             return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], schema.names)
 
-        with tokens.encoder(tokenizer) as coder:
+        with tokens.encoder(tokenizer, table_words) as coder:
             for batch in batches:
                 kind = batch.column("__key").type
                 keys, texts = batch.column("__key").to_pylist(), batch.column("__text")

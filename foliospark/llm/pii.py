@@ -248,7 +248,7 @@ def masked(text: str, spans: list[Span]) -> str:
 OUTPUT = (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "masked", "n_spans")
 
 
-def find(df: DataFrame, text: str, keep: list[str], block_chars: int = 1_000_000) -> DataFrame:
+def find(df: DataFrame, text: str, keep: list[str], block_chars: int = 250_000) -> DataFrame:
     """The columns ``keep``, the number of base spans by kind, ``base_sha256`` (of the listed base spans), ``spans``
     (kind:start:end in code points, by kind, then start), ``masked``, the text with all spans masked, and ``n_spans``, how
     many there are, for each row.

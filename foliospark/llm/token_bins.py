@@ -118,7 +118,7 @@ def packed(keys: pa.Array, flat: np.ndarray, bounds: np.ndarray, limit: int, end
     ]
 
 
-def write_bins(df: DataFrame, key: str, text: str, tokenizer: str, path: str | None = None, limit: int = 2048, end_id: int = 1, pad_id: int = 0, block_chars: int = 3_000_000) -> DataFrame:
+def write_bins(df: DataFrame, key: str, text: str, tokenizer: str, path: str | None = None, limit: int = 2048, end_id: int = 1, pad_id: int = 0, block_chars: int = 3_000_000, table_words: int = 250_000) -> DataFrame:
     """Writes the packed rows as Parquet under ``path`` (a new shared folder by default) and reads them again.
 
     Columns: sequence_id, n_tokens, ids (``limit`` little-endian 16-bit numbers, 32-bit for larger vocabularies),
@@ -131,7 +131,7 @@ def write_bins(df: DataFrame, key: str, text: str, tokenizer: str, path: str | N
     schema = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("id_bytes", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("positions", T.BinaryType()), T.StructField("cu_seqlens", many(T.IntegerType())), T.StructField("doc_ids", many(df.schema[key].dataType)), T.StructField("starts", many(T.LongType())), T.StructField("doc_tokens", many(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tokens.encoder(tokenizer) as coder:
+        with tokens.encoder(tokenizer, table_words) as coder:
             yield from rows_of(batches, coder)
 
     def rows_of(batches: Iterator[pa.RecordBatch], coder: tokens.Encoder) -> Iterator[pa.RecordBatch]:

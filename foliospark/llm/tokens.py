@@ -141,11 +141,11 @@ _encoders: dict[str, Encoder] = {}
 
 
 @contextmanager
-def encoder(path: str) -> Iterator[Encoder]:
+def encoder(path: str, max_words: int) -> Iterator[Encoder]:
     """This Python worker's encoder for ``path``. The tokenizer stays loaded for the next task, the table does not:
     an idle worker would hold its memory while others work."""
     own = _encoders.get(path) or Encoder(path)
-    _encoders[path] = own
+    _encoders[path], own.max_words = own, max_words
     try:
         yield own
     finally:
