@@ -24,7 +24,7 @@ QUERIES = (
     Listing("REV-STD-001", "Open access without a CC license", "revistas_md", {**ID, "acceso": "tipo_acceso", "licencia": "licencia_defecto", "url_licencia": "url_licencia", "politica": "politica_acceso_abierto"}, where=f"tipo_acceso IN ('abierto', 'mixto') AND (blank(licencia_defecto) OR lower(licencia_defecto) NOT LIKE '%cc%') AND {ACTIVE}"),
     Listing("REV-STD-002", "Indexing of journals", "revistas_md", {"titulo": "titulo_revista", "indexada_en": "indexada_en", "scielo": "categoria_scielo", "latindex": "categoria_latindex", "cuartil": "cuartil_scimago", "factor_impacto": "factor_impacto", "estado": "estado_publicacion"}, where=ACTIVE, order="titulo_revista"),
     Listing("REV-STD-003", "Journals without OAI-PMH", "revistas_md", {**ID, "url": "url_revista", "oai_pmh": "url_oai_pmh", "cms": "sistema_gestion_contenidos", "indexada_en": "indexada_en"}, where=f"{ACTIVE} AND blank(url_oai_pmh)"),
-    Grouping("REV-EST-001", "Journals by state", "revistas_md", {"estado": "estado_publicacion"}, {"revistas": "count(*)", "titulos": "joined(titulo_revista, '; ')"}),
+    Grouping("REV-EST-001", "Journals by state", "revistas_md", {"estado": "estado_publicacion"}, {"revistas": "count(*)", "titulos": "listed(titulo_revista, '; ')"}),
     Listing("REV-EST-002", "Suspended and finished journals", "revistas_md", {"titulo": "titulo_revista", "estado": "estado_publicacion", "ano_inicio": "ano_inicio", "ano_fin": "ano_fin", "ultima": "fecha_actualizacion", "notas": "notas_internas"}, where="estado_publicacion IN ('suspendida', 'finalizada')", order="fecha_actualizacion DESC; id_revista"),
     Listing("REV-AUD-001", "Journals unchanged for six months", "revistas_md", {**ID, "ultima": "fecha_actualizacion", "dias": "days(AS_OF, fecha_actualizacion)", "usuario": "usuario_creacion", "estado": "estado_publicacion"}, where=f"{ACTIVE} AND fecha_actualizacion < AS_OF - INTERVAL 6 MONTH", order="fecha_actualizacion; id_revista"),
     Listing("REV-AUD-002", "Journals changed in the last month", "revistas_md", {"titulo": "titulo_revista", "cambio": "fecha_actualizacion", "usuario": "usuario_creacion", "estado": "estado_publicacion", "notas": "notas_internas"}, where="fecha_actualizacion >= AS_OF - INTERVAL 1 MONTH", order="fecha_actualizacion DESC; id_revista"),

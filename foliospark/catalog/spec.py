@@ -2,8 +2,10 @@
 
 Expressions are SQL text that Spark and the comparing engine read alike, with
 these short forms: ``days(a, b)`` is a - b in days, ``blank(c)`` null or empty,
-``n_if(p)`` counts rows, ``total(e)`` sums integers, ``joined(e, sep)`` the distinct values in order as one text,
-``AS_OF`` the date of the report. The date is a parameter, never the clock.
+``n_if(p)`` counts rows, ``total(e)`` sums integers, ``joined(e, sep)`` the distinct values in order as one text (null if there
+is none), ``joined_down`` the same from last to first, ``listed`` all values in order, repeats included,
+``AS_OF`` the date of the report. The date is a parameter, never the clock. SQL made from these forms says whether the plan
+is right, not whether the form is: ``expected`` holds SQL written by hand for the forms that could be misread.
 """
 
 from __future__ import annotations
@@ -31,12 +33,16 @@ def _common(text: str, as_of: str) -> str:
 
 def for_spark(text: str, as_of: str) -> str:
     text = re.sub(rf"\bdays\({_ARG}, {_ARG}\)", r"CAST(datediff(\1, \2) AS BIGINT)", _common(text, as_of))
-    return re.sub(rf"\bjoined\({_ARG}, {_ARG}\)", r"nullif(array_join(array_sort(collect_set(\1)), \2), '')", text)
+    for form, values in (("joined", r"array_sort(collect_set(\1))"), ("joined_down", r"sort_array(collect_set(\1), false)"), ("listed", r"array_sort(collect_list(\1))")):
+        text = re.sub(rf"\b{form}\({_ARG}, {_ARG}\)", rf"CASE WHEN count(\1) > 0 THEN array_join({values}, \2) END", text)
+    return text
 
 
 def for_sql(text: str, as_of: str) -> str:
     text = re.sub(rf"\bdays\({_ARG}, {_ARG}\)", r"date_diff('day', \2, \1)", _common(text, as_of).replace("regexp_like(", "regexp_matches("))
-    return re.sub(rf"\bjoined\({_ARG}, {_ARG}\)", r"string_agg(DISTINCT \1, \2 ORDER BY \1)", text)
+    for form, values in (("joined", r"DISTINCT \1, \2 ORDER BY \1"), ("joined_down", r"DISTINCT \1, \2 ORDER BY \1 DESC"), ("listed", r"\1, \2 ORDER BY \1")):
+        text = re.sub(rf"\b{form}\({_ARG}, {_ARG}\)", rf"string_agg({values})", text)
+    return text
 
 
 @dataclass(frozen=True)
@@ -74,7 +80,9 @@ class Listing:
 
 @dataclass(frozen=True)
 class Grouping:
-    """Aggregates by key; ``share`` adds the percentage of all rows that meet ``share_of``; ``hidden`` ones only serve order and having."""
+    """Aggregates by key; ``share`` adds the percentage of all rows that meet ``share_of``; ``hidden`` ones only serve order and having.
+    ``late`` measures (lists, distinct counts) are made only for the groups that ``having`` and ``limit`` leave; keys are not null then.
+    """
 
     code: str
     title: str
@@ -91,6 +99,7 @@ class Grouping:
     views: tuple[str, ...] = ()
     plan: Callable[[Tables], DataFrame] | None = None
     extra: dict[str, str] = field(default_factory=dict)  # from the result's columns
+    late: tuple[str, ...] = ()
 
     def needs(self) -> tuple[str, ...]:
         return self.views or (self.source,)
@@ -99,7 +108,9 @@ class Grouping:
         own = lambda text: for_spark(text, as_of)
         source = self.plan(tables) if self.plan else tables(self.source)
         rows = source.filter(own(self.where))
-        out = rows.groupBy(*[F.expr(own(e)).alias(name) for name, e in self.keys.items()]).agg(*[F.expr(own(e)).alias(name) for name, e in self.measures.items()])
+        keys = [F.expr(own(e)).alias(name) for name, e in self.keys.items()]
+        measures = {name: F.expr(own(e)).alias(name) for name, e in self.measures.items()}
+        out = rows.groupBy(*keys).agg(*[m for name, m in measures.items() if name not in self.late])
         if self.having:
             out = out.filter(own(self.having))
         if self.share:
@@ -111,6 +122,15 @@ class Grouping:
             out = out.orderBy(*[_ordered(part, own) for part in self.order.split("; ")])
         if self.limit:
             out = out.limit(self.limit)
+        if self.late:
+            # a limit bounds the groups, which then may be broadcast; else Spark chooses by size
+            few = F.broadcast(out) if self.limit else out
+            of_few = rows.withColumns({f"__{name}": F.expr(own(e)) for name, e in self.keys.items()})
+            of_few = of_few.join(few.select(*[F.col(name).alias(f"__{name}") for name in self.keys]), [f"__{name}" for name in self.keys], "left_semi")
+            lists = of_few.groupBy(*[F.col(f"__{name}").alias(name) for name in self.keys]).agg(*[measures[name] for name in self.late])
+            out = lists.join(few, list(self.keys)).select(*self.keys, *self.measures, *([self.share] if self.share else []), *self.extra)
+            if self.order:
+                out = out.orderBy(*[_ordered(part, own) for part in self.order.split("; ")])
         return out.drop(*self.hidden)
 
     def sql(self, as_of: str = AS_OF) -> str:
@@ -137,25 +157,24 @@ def _order_sql(order: str, own: Callable[[str], str]) -> str:
 
 
 @dataclass(frozen=True)
-class Branches:
-    """Several one-row results over the same tables, one below the other."""
+class Built:
+    """A query whose plan is a function of the tables and the date; its SQL is in ``expected``."""
 
     code: str
     title: str
     views: tuple[str, ...]
-    parts: tuple[Grouping, ...]
+    build: Callable[[Tables, str], DataFrame]
 
     def needs(self) -> tuple[str, ...]:
         return self.views
 
     def frame(self, tables: Tables, as_of: str = AS_OF) -> DataFrame:
-        frames = [p.frame(tables, as_of) for p in self.parts]
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
+        return self.build(tables, as_of)
 
     def sql(self, as_of: str = AS_OF) -> str:
-        own = lambda text: for_sql(text, as_of)
-        bodies = [f"SELECT {', '.join(f'{own(e)} AS {n}' for n, e in p.measures.items())} FROM {p.source} WHERE {own(p.where)}" for p in self.parts]
-        return f"{sql_views(list(self.views))}\n" + "\nUNION ALL\n".join(bodies)
+        raise NotImplementedError(f"{self.code}: see expected")
+
+
+def unpivoted(one: DataFrame, columns: list[str], rows: list[tuple[str, ...]]) -> DataFrame:
+    """A table from one row: each of ``rows`` gives the expressions of ``columns`` over it."""
+    return one.selectExpr(f"stack({len(rows)}, {', '.join(e for row in rows for e in row)}) AS ({', '.join(columns)})")
