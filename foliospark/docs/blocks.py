@@ -14,36 +14,58 @@ from foliospark.docs.marks import xml_escape
 def nested_sections(blocks: DataFrame) -> DataFrame:
     """One row per document with ``jats``: headers open sections and close all open ones of their level or deeper.
 
-    A document's headers are folded in order with the stack of open levels as state.
+    A document's headers are folded in order with the stack of open levels as state; the parts are joined at the end.
     """
     ordered = blocks.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "level", xml_escape(F.col("text")).alias("text")))).alias("blocks"))
-    start = F.struct(F.lit("").alias("out"), F.array().cast("array<int>").alias("open"))
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.array().cast("array<int>").alias("open"))
 
     def step(state, block):
         still = F.filter(state["open"], lambda level: level < block["level"])
         closing = F.repeat(F.lit("</sec>"), F.size(state["open"]) - F.size(still))
-        head = F.concat(state["out"], closing, F.lit('<sec sec-type="level'), block["level"].cast("string"), F.lit('"><title>'), block["text"], F.lit("</title>"))
-        text = F.concat(state["out"], F.lit("<p>"), block["text"], F.lit("</p>"))
+        head = F.concat(closing, F.lit('<sec sec-type="level'), block["level"].cast("string"), F.lit('"><title>'), block["text"], F.lit("</title>"))
         header = block["kind"] == "Header"
-        return F.struct(F.when(header, head).otherwise(text).alias("out"), F.when(header, F.concat(still, F.array(block["level"]))).otherwise(state["open"]).alias("open"))
+        part = F.when(header, head).otherwise(F.concat(F.lit("<p>"), block["text"], F.lit("</p>")))
+        return F.struct(F.concat(state["parts"], F.array(part)).alias("parts"), F.when(header, F.concat(still, F.array(block["level"]))).otherwise(state["open"]).alias("open"))
 
-    return ordered.select("document", F.aggregate("blocks", start, step, lambda s: F.concat(s["out"], F.repeat(F.lit("</sec>"), F.size(s["open"])))).alias("jats"))
+    end = lambda s: F.concat(F.array_join(s["parts"], ""), F.repeat(F.lit("</sec>"), F.size(s["open"])))
+    return ordered.select("document", F.aggregate("blocks", start, step, end).alias("jats"))
+
+
+#: How a flat article begins, and the formats whose raw blocks are its own.
+PROLOG = '<?xml version="1.0" encoding="UTF-8"?><article xmlns="http://jats.nlm.nih.gov">'
+OWN_FORMATS = ("jats", "xml")
 
 
 def flat_sections(blocks: DataFrame) -> DataFrame:
-    """One row per document with ``jats``: headers open sections that stay open, paragraphs follow, raw blocks stay as they are."""
+    """One row per document with ``jats``: headers open sections that stay open, paragraphs follow, and raw blocks stay as
+    they are if their ``format`` is jats or xml; others go. Without that column all raw blocks are taken as xml.
+    """
     text = xml_escape(F.col("text"))
-    head = F.concat(F.lit('<sec sec-type="level'), F.col("level").cast("string"), F.lit('"><title>'), text, F.lit("</title>"))
-    part = F.when(F.col("kind") == "Header", head).when(F.col("kind").isin("Para", "Plain"), F.concat(F.lit("<p>"), text, F.lit("</p>"))).when(F.col("kind") == "RawBlock", F.col("text"))
+    raw = F.col("kind") == "RawBlock"
+    if "format" in blocks.columns:
+        raw &= F.col("format").isin(*OWN_FORMATS)
+    part = F.when(F.col("kind") == "Header", F.concat(F.lit("<sec><title>"), text, F.lit("</title>"))).when(F.col("kind").isin("Para", "Plain"), F.concat(F.lit("<p>"), text, F.lit("</p>"))).when(raw, F.col("text"))
     whole = F.array_sort(F.collect_list(F.struct("pos", F.coalesce(part, F.lit("")).alias("part"))))
-    return blocks.groupBy("document").agg(whole.alias("parts")).select("document", F.concat(F.lit("<article>"), F.concat_ws("", "parts.part"), F.lit("</article>")).alias("jats"))
+    return blocks.groupBy("document").agg(whole.alias("parts")).select("document", F.concat(F.lit(PROLOG), F.concat_ws("", "parts.part"), F.lit("</article>")).alias("jats"))
 
 
-def reference_lists(blocks: DataFrame) -> DataFrame:
-    """``document`` and ``ref_list``: the paragraphs that lie in a references or bibliography division; other blocks there are dropped."""
-    inside = blocks.filter((F.col("kind") == "Para") & (F.array_contains("classes", "references") | F.array_contains("classes", "bibliography")))
-    entries = F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("<ref>"), xml_escape(F.col("text")), F.lit("</ref>")).alias("ref"))))
-    return inside.groupBy("document").agg(entries.alias("refs")).select("document", F.concat(F.lit("<ref-list>"), F.concat_ws("", F.transform("refs", lambda r: r["ref"])), F.lit("</ref-list>")).alias("ref_list"))
+def reference_lists(blocks: DataFrame, title: str = "References") -> DataFrame:
+    """``document``, ``list`` and ``ref_list``: a list for each references or bibliography division, numbered in order from 1.
+
+    Neighbouring blocks of such classes are one division, or those with the same ``division`` if there is that column.
+    Its paragraphs are the entries; other blocks in it are dropped, and a division without paragraphs is an empty list.
+    """
+    of_list = F.array_contains("classes", "references") | F.array_contains("classes", "bibliography")
+    own = Window.partitionBy("document").orderBy("pos")
+    before = F.lag(of_list).over(own)
+    begins = of_list & ~F.coalesce(before, F.lit(False))
+    if "division" in blocks.columns:
+        begins = of_list & (begins | ~F.col("division").eqNullSafe(F.lag("division").over(own)))
+    inside = blocks.withColumn("list", F.sum(begins.cast("int")).over(own)).filter(of_list)
+    entry = F.when(F.col("kind") == "Para", F.concat(F.lit("<ref><p>"), xml_escape(F.col("text")), F.lit("</p></ref>")))
+    entries = F.array_sort(F.collect_list(F.struct("pos", F.coalesce(entry, F.lit("")).alias("ref"))))
+    lists = inside.groupBy("document", "list").agg(entries.alias("refs"))
+    return lists.select("document", "list", F.concat(F.lit(f"<ref-list><title>{title}</title>"), F.concat_ws("", F.transform("refs", lambda r: r["ref"])), F.lit("</ref-list>")).alias("ref_list"))
 
 
 def contents_classes(blocks: DataFrame) -> DataFrame:
@@ -63,11 +85,33 @@ def section_bibliographies(blocks: DataFrame, references: DataFrame, level: int
     return cited.join(references.select("key", "entry"), "key").select("document", "section", "key", "entry")
 
 
-def with_colophon(blocks: DataFrame, colophon: DataFrame, title: str = "Colofón") -> DataFrame:
-    """Each document followed by the colophon's blocks (pos, kind, level, classes, text); a heading is added if it has none."""
-    if colophon.filter("kind = 'Header'").isEmpty():
-        head = colophon.sparkSession.createDataFrame([(-1, "Header", 1, ["unnumbered"], title)], colophon.schema)
-        colophon = head.unionByName(colophon)
+#: What stands where a contents division was, fixed values: black links, chapters only, then the contents.
+CONTENTS = ("\\hypersetup{linkcolor=black}", "\\setcounter{tocdepth}{0}", "\\tableofcontents")
+
+
+def contents_blocks(blocks: DataFrame, css_class: str = "sumario") -> DataFrame:
+    """Each division of class ``css_class`` (a block of kind Div) becomes the three raw LaTeX blocks of the contents, whose places are
+    counted anew; other blocks keep their order. Null classes are none.
+    """
+    here = (F.col("kind") == "Div") & F.coalesce(F.array_contains("classes", css_class), F.lit(False))
+    made = F.array(*[F.struct(F.lit("RawBlock").alias("kind"), F.lit(text).alias("text")) for text in CONTENTS])
+    rows = blocks.withColumn("__made", F.when(here, made).otherwise(F.array(F.struct("kind", "text")))).select("*", F.posexplode("__made").alias("__i", "__block"))
+    place = F.row_number().over(Window.partitionBy("document").orderBy("pos", "__i"))
+    new = {"kind": F.col("__block.kind"), "text": F.col("__block.text"), "pos": F.col("__pos").cast(blocks.schema["pos"].dataType)}
+    return rows.withColumn("__pos", place).select(*[new.get(c, F.col(c)).alias(c) for c in blocks.columns])
+
+
+def with_colophon(blocks: DataFrame, colophon: DataFrame, title: str = "Colofón", page_break: bool = False) -> DataFrame:
+    """Each document followed by the colophon's blocks (pos, kind, level, classes, text). If these do not begin with a
+    heading, one with ``title`` is added. ``page_break`` puts an empty division of class page-break-before ahead, as
+    electronic books need it. An empty colophon gives the heading alone.
+    """
+    first = colophon.orderBy("pos").limit(1).filter("kind = 'Header'")
+    added = [] if not first.isEmpty() else [(-1, "Header", 1, ["unnumbered"], title)]
+    if page_break:
+        added = [(-2, "Div", 0, ["page-break-before"], ""), *added]
+    if added:
+        colophon = colophon.sparkSession.createDataFrame(added, colophon.schema).unionByName(colophon)
     whole = colophon.agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in colophon.columns if c != "pos"])))).scalar()
     last = blocks.groupBy("document").agg((F.max("pos") + 1).alias("last")).withColumn("whole", whole)
     added = last.select("document", "last", F.posexplode("whole").alias("i", "block"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.docs import blocks, lookups, marks
-from foliospark.quality import constraints, evolution
+from foliospark.quality import constraints, evolution, metadata
+from foliospark.sources import dump, jsonside
 from foliospark.sources.bridge import editorial_tables, sql_views
 
 #: Derived tables, in SQL that both sides read.
@@ -23,6 +24,9 @@ VIEWS = {
   CASE p_partkey % 4 WHEN 0 THEN 'fm-' WHEN 1 THEN 'a-' WHEN 2 THEN 'bm-' ELSE 'x' END || CAST(p_size AS STRING) || '-part.md' AS file_name FROM {part}""".replace("{{", "{ob}"),
     "fenced": """SELECT p_partkey AS document, CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE
   '::: ' || CASE p_partkey % 3 WHEN 0 THEN 'box' WHEN 1 THEN 'figure' ELSE 'other' END || ' id="i' || CAST(p_partkey AS STRING) || '" caption="' || p_brand || '"' || chr(10) || p_name || chr(10) || ':::' END AS text FROM {part}""",
+    "statements": """SELECT p_partkey, 'INSERT INTO `roles` VALUES (' || CAST(p_partkey AS STRING) || ', ' || chr(39) || 'it' || chr(39) || chr(39) || 's ' || p_name || chr(39) || ', NULL), (-1.5, ' || chr(39) || 'a;b(c)' || chr(39) || ', ' || chr(39) || chr(39) || ');' AS statement FROM {part}""",
+    "configured": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '{ob}"metadata":{ob}"title":"' || p_name || '","license":{ob}"name":"CC"}}}' WHEN 1 THEN '{ob}"title":"' || p_name || '","license":"BY"}'
+  WHEN 2 THEN '{ob}"metadata":{ob}"title":""}}' ELSE 'no json' END AS json FROM {part}""",
     "profiles": "SELECT n_nationkey AS id_perfil, n_name AS nombre, CASE WHEN n_nationkey % 7 = 0 THEN 0 ELSE 1 END AS activo FROM {nation}",
     "codes": "SELECT s_suppkey AS id_shortcode, s_name AS nombre, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 1 END AS activo FROM {supplier}",
     "links": "SELECT s_nationkey AS id_perfil, s_suppkey AS id_shortcode, s_suppkey % 9 AS orden_en_perfil FROM {supplier}",
@@ -56,9 +60,13 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "blocks").withColumn("classes", F.array("class")).drop("class")
 
 
-def _colophon(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Where each value may stand in the metadata, the first that is there counts.
+PATHS = {"title": ("$.metadata.title", "$.title"), "license": ("$.metadata.license.name", "$.license")}
+
+
+def _colophon(spark: SparkSession, sf_dir: str, page_break: bool = False) -> DataFrame:
     own = spark.createDataFrame([(0, "Para", 0, ["plain"], "printed"), (1, "Para", 0, ["plain"], "bound")], "pos int, kind string, level int, classes array<string>, text string")
-    return blocks.with_colophon(_blocks(spark, sf_dir), own).select("document", "pos", "kind", "text")
+    return blocks.with_colophon(_blocks(spark, sf_dir), own, page_break=page_break).select("document", "pos", "kind", "text")
 
 
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +107,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_contents_classes": lambda s, d: blocks.contents_classes(_blocks(s, d)).select("document", "pos", F.array_join("classes", ",").alias("classes")),
     "doc_section_bibliographies": lambda s, d: blocks.section_bibliographies(_blocks(s, d), _view(s, d, "cited")),
     "doc_colophon": _colophon,
+    "doc_epub_colophon": lambda s, d: _colophon(s, d, page_break=True),
+    "doc_contents_blocks": lambda s, d: blocks.contents_blocks(_blocks(s, d).withColumn("kind", F.when(F.col("kind") == "CodeBlock", "Div").otherwise(F.col("kind"))), "plain").select("document", "pos", "kind", "text"),
+    "table_columns": lambda s, d: metadata.columns({n: _editorial(n)(s, d) for n in ("articulo_autor", "articulo_revisor")}).select(F.col("table").alias("table_name"), "place", F.col("column").alias("column_name"), "kind"),
+    "seed_rows": lambda s, d: dump.inserted(_view(s, d, "statements"), "statement").select(F.col("table").alias("table_name"), F.col("row").alias("place"), "fields"),
+    "json_metadata": lambda s, d: jsonside.first_values(_view(s, d, "configured"), "json", PATHS).select("p_partkey", "title", "license", "quoted"),
     "doc_marks": _marks,
     "doc_captions": _captions,
     "doc_chapter_order": _chapters,
@@ -128,11 +141,22 @@ parts AS (SELECT b.document, b.pos, CASE WHEN kind = 'Header' THEN repeat('</sec
   UNION ALL SELECT document, 1000000, repeat('</sec>', n) FROM n_ends WHERE closed IS NULL)
 SELECT document, string_agg(part, '' ORDER BY pos) AS jats FROM parts GROUP BY document""",
     "doc_flat_sections": f"""{_with("blocks")}
-SELECT document, '<article>' || string_agg(CASE WHEN kind = 'Header' THEN '<sec sec-type="level' || level || '"><title>' || {_XML} || '</title>' WHEN kind = 'Para' THEN '<p>' || {_XML} || '</p>'
+SELECT document, '<?xml version="1.0" encoding="UTF-8"?><article xmlns="http://jats.nlm.nih.gov">' || string_agg(CASE WHEN kind = 'Header' THEN '<sec><title>' || {_XML} || '</title>' WHEN kind = 'Para' THEN '<p>' || {_XML} || '</p>'
   WHEN kind = 'RawBlock' THEN text ELSE '' END, '' ORDER BY pos) || '</article>' AS jats FROM blocks GROUP BY document""",
-    "doc_reference_lists": f"""{_with("blocks")}
-SELECT document, '<ref-list>' || string_agg('<ref>' || {_XML} || '</ref>', '' ORDER BY pos) || '</ref-list>' AS ref_list
-FROM blocks WHERE kind = 'Para' AND class IN ('references', 'bibliography') GROUP BY document""",
+    "doc_reference_lists": f"""{_with("blocks")}, marked AS (SELECT *, class IN ('references', 'bibliography') AS own, pos - row_number() OVER (PARTITION BY document, class IN ('references', 'bibliography') ORDER BY pos) AS run FROM blocks),
+lists AS (SELECT document, min(pos) AS first, string_agg(CASE WHEN kind = 'Para' THEN '<ref><p>' || {_XML} || '</p></ref>' ELSE '' END, '' ORDER BY pos) AS refs FROM marked WHERE own GROUP BY document, run)
+SELECT document, row_number() OVER (PARTITION BY document ORDER BY first) AS list, '<ref-list><title>References</title>' || refs || '</ref-list>' AS ref_list FROM lists""",
+    "doc_epub_colophon": f"""{_with("blocks")}, added(i, kind, text) AS (VALUES (1, 'Div', ''), (2, 'Header', 'Colofón'), (3, 'Para', 'printed'), (4, 'Para', 'bound'))
+SELECT document, pos, kind, text FROM blocks
+UNION ALL SELECT document, CAST(last + i AS INTEGER), kind, text FROM (SELECT document, max(pos) AS last FROM blocks GROUP BY document), added""",
+    "doc_contents_blocks": rf"""{_with("blocks")}, made AS (SELECT document, pos, unnest(range(CASE WHEN kind = 'CodeBlock' AND class = 'plain' THEN 3 ELSE 1 END)) AS i, kind, class, text FROM blocks)
+SELECT document, CAST(row_number() OVER (PARTITION BY document ORDER BY pos, i) AS INTEGER) AS pos,
+  CASE WHEN kind = 'CodeBlock' AND class = 'plain' THEN 'RawBlock' WHEN kind = 'CodeBlock' THEN 'Div' ELSE kind END AS kind,
+  CASE WHEN kind = 'CodeBlock' AND class = 'plain' THEN ['\hypersetup{{linkcolor=black}}', '\setcounter{{tocdepth}}{{0}}', '\tableofcontents'][i + 1] ELSE text END AS text FROM made""",
+    "table_columns": """SELECT * FROM (VALUES ('articulo_autor', 1, 'id_articulo', 'bigint'), ('articulo_autor', 2, 'id_autor', 'bigint'), ('articulo_revisor', 1, 'id_revision', 'bigint'), ('articulo_revisor', 2, 'id_articulo', 'bigint'), ('articulo_revisor', 3, 'id_autor', 'bigint'), ('articulo_revisor', 4, 'tipo_revision', 'string'), ('articulo_revisor', 5, 'ronda_revision', 'bigint'), ('articulo_revisor', 6, 'fecha_asignacion', 'date'), ('articulo_revisor', 7, 'fecha_revision', 'date'), ('articulo_revisor', 8, 'decision', 'string')) AS t(table_name, place, column_name, kind)""",
+    "seed_rows": """SELECT 'roles' AS table_name, 1::BIGINT AS place, p_partkey || '|it''s ' || p_name || '|NULL' AS fields FROM part UNION ALL SELECT 'roles', 2, '-1.5|a;b(c)|' FROM part""",
+    "json_metadata": """SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN p_name WHEN p_partkey % 4 = 2 THEN '' END AS title, CASE p_partkey % 4 WHEN 0 THEN 'CC' WHEN 1 THEN 'BY' END AS license,
+  CASE WHEN p_partkey % 4 < 2 THEN '"' || p_name || '"' WHEN p_partkey % 4 = 2 THEN '""' END AS quoted FROM part""",
     "doc_contents_classes": f"""{_with("blocks")}
 SELECT document, pos, CASE WHEN kind = 'Header' AND level = 1 AND class = 'unnumbered' THEN 'unnumbered,unlisted' ELSE class END AS classes FROM blocks""",
     "doc_section_bibliographies": rf"""{_with("blocks", "cited")}, numbered AS (SELECT *, sum(CASE WHEN kind = 'Header' AND level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY document ORDER BY pos) AS section FROM blocks),

@@ -51,7 +51,7 @@ def test_blocks(spark):
     jats = blocks.nested_sections(df).first()["jats"]
     assert jats.count("<sec") == jats.count("</sec>") == 4
     assert "</sec></sec><sec sec-type=\"level1\"><title>E" in jats and "C &amp; D" in jats
-    assert blocks.reference_lists(df).first()["ref_list"] == "<ref-list><ref>see @k1 and @k1</ref></ref-list>"
+    assert blocks.reference_lists(df).orderBy("list").first()["ref_list"] == "<ref-list><title>References</title><ref><p>see @k1 and @k1</p></ref></ref-list>"
     assert blocks.contents_classes(df).filter("pos = 0").first()["classes"] == ["unnumbered", "unlisted"]
     refs = spark.createDataFrame([("k1", "Entry"), ("k2", "Other")], "key string, entry string")
     assert [tuple(r) for r in blocks.section_bibliographies(df, refs).collect()] == [(1, 1, "k1", "Entry")]
