@@ -50,14 +50,14 @@ GUIDES = (
 DATABASES = (("Scopus", "citas_scopus"), ("Web of Science", "citas_wos"), ("Google Scholar", "citas_google_scholar"))
 
 
-def _guides(t: Tables, as_of: str) -> DataFrame:
+def _guides(t: Tables, as_of: str, collation: str | None = None) -> DataFrame:
     """All guides in one pass."""
     parts = [m for _, flag, fits in GUIDES for m in (F.sum(F.when(fits(), F.col(flag))).alias(flag), F.count(F.when(fits(), 1)).alias(f"n_{flag}"))]
     rows = [(f"'{name}'", f"CAST({flag} AS BIGINT)", f"n_{flag}", f"round(CAST({flag} AS DOUBLE) * 100.0 / nullif(n_{flag}, 0), 2)") for name, flag, _ in GUIDES]
     return unpivoted(t("articulos").filter(PUBLISHED).agg(*parts), ["guia", "cumplen", "aplicable", "porcentaje"], rows)
 
 
-def _citations(t: Tables, as_of: str) -> DataFrame:
+def _citations(t: Tables, as_of: str, collation: str | None = None) -> DataFrame:
     """All databases in one pass."""
     parts = [m for _, c in DATABASES for m in (F.count(F.when(F.col(c) > 0, 1)).alias(f"n_{c}"), F.sum(c).alias(f"s_{c}"), F.avg(c).alias(f"m_{c}"))]
     rows = [(f"'{name}'", f"n_{c}", f"CAST(s_{c} AS BIGINT)", f"round(m_{c}, 2)") for name, c in DATABASES]
@@ -83,7 +83,7 @@ QUERIES = (
     Built("ART-STD-001", "Compliance with reporting guides", ("articulos",), _guides),
     Listing("ART-STD-002", "Human subjects without ethics approval", "articulos", {**ID, "sujetos": "tipo_sujetos_investigacion", "aprobacion": "aprobacion_comite_etica", "numero": "numero_aprobacion_etica", "consentimiento": "consentimiento_informado", "editor": "responsable_edicion"}, where=f"tipo_sujetos_investigacion IN ('humanos', 'humanos_y_animales') AND coalesce(aprobacion_comite_etica, 0) = 0 AND {UNDER_WAY}", order="fecha_recepcion DESC; id_articulo"),
     Listing("ART-STD-003", "Animals without committee approval", "articulos", {**ID, "especies": "estudios_animales_especies", "n_animales": "numero_animales", "aprobacion": "aprobacion_comite_animal", "numero": "numero_aprobacion_animal", "protocolo": "protocolo_bienestar_animal", "editor": "responsable_edicion"}, where=f"tipo_sujetos_investigacion IN ('animales', 'humanos_y_animales') AND coalesce(aprobacion_comite_animal, 0) = 0 AND {UNDER_WAY}", order="fecha_recepcion DESC; id_articulo"),
-    Listing("ART-STD-004", "Clinical trials without registration", "articulos", {**ID, "tipo_estudio": "estudios_humanos_tipo", "registro": "registro_ensayo_clinico", "aprobacion": "aprobacion_comite_etica", "editor": "responsable_edicion"}, where=f"estudios_humanos_tipo LIKE '%ensayo%' AND blank(registro_ensayo_clinico) AND {UNDER_WAY}", order="fecha_recepcion DESC; id_articulo"),
+    Listing("ART-STD-004", "Clinical trials without registration", "articulos", {**ID, "tipo_estudio": "estudios_humanos_tipo", "registro": "registro_ensayo_clinico", "aprobacion": "aprobacion_comite_etica", "editor": "responsable_edicion"}, where=f"contains(estudios_humanos_tipo, 'ensayo') AND blank(registro_ensayo_clinico) AND {UNDER_WAY}", order="fecha_recepcion DESC; id_articulo"),
     Grouping("ART-PROD-001", "Published articles by type", "articulos", {"tipo": "tipo_articulo"}, {"articulos": "count(*)"}, where=f"{PUBLISHED} AND tipo_articulo IS NOT NULL", order="articulos DESC; tipo", share="porcentaje", share_of=PUBLISHED),
     Grouping("ART-PROD-002", "Work of each editor", "articulos", {"editor": "responsable_edicion"}, {"articulos": "count(*)", "publicados": "n_if(estado_articulo = 'publicado')", "en_revision": "n_if(estado_articulo = 'en_revision')", "aceptados": "n_if(estado_articulo = 'aceptado')", "rechazados": "n_if(estado_articulo = 'rechazado')", "dias_decision": "round(avg(days(fecha_aceptacion, fecha_recepcion)), 0)"}, where="responsable_edicion IS NOT NULL", order="articulos DESC; editor"),
     Grouping("ART-PROD-003", "Published articles by year", "articulos LEFT JOIN (SELECT id_articulo, count(*) AS numero_referencias FROM bibtex GROUP BY id_articulo) USING (id_articulo)", {"ano": "ano_publicacion"}, {"articulos": "count(*)", "paginas_promedio": "avg(numero_paginas)", "referencias": "total(numero_referencias)"}, where=f"{PUBLISHED} AND ano_publicacion IS NOT NULL", order="ano DESC", views=("articulos", "bibtex"), plan=_with_references),

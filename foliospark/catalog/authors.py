@@ -27,7 +27,7 @@ def _flag(column: str, text: str) -> str:
 IDENTIFIERS = (("ORCID", "orcid"), ("Scopus ID", "scopus_id"), ("Researcher ID", "researcher_id"), ("Google Scholar", "google_scholar_id"))
 
 
-def _coverage(t: Tables, as_of: str) -> DataFrame:
+def _coverage(t: Tables, as_of: str, collation: str | None = None) -> DataFrame:
     """All identifiers in one pass."""
     has = [F.count(F.when(F.col(c) != "", 1)).alias(c) for _, c in IDENTIFIERS]
     one = t("autores").filter(ACTIVE).agg(F.count(F.lit(1)).alias("total"), *has)

@@ -10,7 +10,7 @@ from foliospark.catalog.spec import Grouping, Listing, Tables
 YEAR = "coalesce(substring(date, 1, 4), year)"
 LANGUAGE = "hyphenation IS NOT NULL OR language IS NOT NULL"
 #: The leading number of a year, 0 without one.
-NUMBER = f"CAST(coalesce(nullif(regexp_extract({YEAR}, '^ *([0-9]+)', 1), ''), '0') AS BIGINT)"
+NUMBER = f"CAST(coalesce(nullif(regexp_extract(CAST({YEAR} AS STRING), '^ *([0-9]+)', 1), ''), '0') AS BIGINT)"
 
 
 def _references(t: Tables) -> DataFrame:
@@ -20,7 +20,7 @@ def _references(t: Tables) -> DataFrame:
 
 def _dated(t: Tables) -> DataFrame:
     """Articles of a year with what their dated references come to, which is made before the join."""
-    own = t("bibtex").filter(F.col("year").rlike("^[0-9]{4}$") | F.col("date").rlike("^[0-9]{4}"))
+    own = t("bibtex").filter(F.col("year").cast("string").rlike("^[0-9]{4}$") | F.col("date").cast("string").rlike("^[0-9]{4}"))
     own = own.select("id_articulo", F.expr(YEAR).alias("anio"), F.expr(NUMBER).alias("numero"))
     own = own.groupBy("id_articulo").agg(F.count(F.lit(1)).alias("citadas"), F.sum("numero").alias("suma"), F.min("anio").alias("primera"), F.max("anio").alias("ultima"))
     return t("articulos").filter("ano_publicacion IS NOT NULL").join(own, "id_articulo")

@@ -14,7 +14,7 @@ def _published(t: Tables, *columns: str) -> DataFrame:
     return t("articulos").filter(PUBLISHED).select("id_articulo", *columns)
 
 
-def _coauthors(t: Tables, as_of: str, least: int = 3) -> DataFrame:
+def _coauthors(t: Tables, as_of: str, collation: str | None = None, least: int = 3) -> DataFrame:
     """Pairs travel as ids alone; titles and names are joined only to the pairs that stay. An article of k authors gives
     k * (k - 1) / 2 pairs.
     """
@@ -23,7 +23,7 @@ def _coauthors(t: Tables, as_of: str, least: int = 3) -> DataFrame:
     pairs = one.join(two, "id_articulo").filter("autor_1 < autor_2").groupBy("autor_1", "autor_2").agg(F.collect_set("id_articulo").alias("ids"))
     kept = pairs.filter(F.size("ids") >= least).select("autor_1", "autor_2", F.size("ids").cast("long").alias("articulos"), F.explode("ids").alias("id_articulo"))
     titled = kept.join(t("articulos").select("id_articulo", "titulo_articulo"), "id_articulo").groupBy("autor_1", "autor_2", "articulos")
-    out = titled.agg(F.expr(for_spark("joined(titulo_articulo, '; ')", as_of)).alias("titulos"))
+    out = titled.agg(F.expr(for_spark("joined(titulo_articulo, '; ')", as_of, collation)).alias("titulos"))
     names = t("autores").select("id_autor", "apellidos_nombre")
     for i in (1, 2):
         out = out.join(names.select(F.col("id_autor").alias(f"autor_{i}"), F.col("apellidos_nombre").alias(f"nombre_{i}")), f"autor_{i}")
@@ -40,7 +40,7 @@ def _countries(t: Tables) -> DataFrame:
     return _published(t, "titulo_articulo", "fecha_publicacion_online").join(t("articulo_autor"), "id_articulo").join(located, "id_autor")
 
 
-def _dashboard(t: Tables, as_of: str) -> DataFrame:
+def _dashboard(t: Tables, as_of: str, collation: str | None = None) -> DataFrame:
     """One pass over each table, their counts side by side, then one row for each."""
     n = lambda name, condition: F.count(F.when(condition, 1)).alias(name)
     active, state, blank = F.col("estado_autor") == "activo", F.col("estado_articulo"), lambda c: F.coalesce(F.col(c), F.lit("")) == ""

@@ -8,20 +8,19 @@ from foliospark.catalog.spec import Grouping, Listing
 ACTIVE = "estado_publicacion = 'activa'"
 ID = {"id": "id_revista", "titulo": "titulo_revista"}
 REQUIRED = ("issn_impreso", "e_issn", "doi_prefix", "url_revista", "licencia_defecto")
-ISSN = "^[0-9]{4}-[0-9]{3}[0-9X]$"
-COHERENCE = "CASE WHEN tipo_acceso = 'abierto' AND blank(licencia_defecto) THEN 'INCONSISTENTE: Acceso abierto sin licencia' WHEN tipo_acceso = 'suscripcion' AND lower(licencia_defecto) LIKE '%cc%' THEN 'INCONSISTENTE: Suscripción con licencia CC' WHEN tipo_acceso = 'embargado' AND coalesce(periodo_embargo, 0) = 0 THEN 'INCONSISTENTE: Embargo sin período' ELSE 'OK' END"
+COHERENCE = "CASE WHEN tipo_acceso = 'abierto' AND blank(licencia_defecto) THEN 'INCONSISTENTE: Acceso abierto sin licencia' WHEN tipo_acceso = 'suscripcion' AND contains(lower(licencia_defecto), 'cc') THEN 'INCONSISTENTE: Suscripción con licencia CC' WHEN tipo_acceso = 'embargado' AND coalesce(periodo_embargo, 0) = 0 THEN 'INCONSISTENTE: Embargo sin período' ELSE 'OK' END"
 
 
 def _valid(column: str) -> str:
     """An ISSN is wrong only if it is there."""
-    return f"CASE WHEN NOT regexp_like({column}, '{ISSN}') THEN 'FORMATO INVÁLIDO' ELSE 'OK' END"
+    return f"CASE WHEN NOT like_issn({column}) THEN 'FORMATO INVÁLIDO' ELSE 'OK' END"
 
 
 QUERIES = (
     Listing("REV-META-001", "Journals with required fields missing", "revistas_md", {**ID, "issn_impreso": _flag("issn_impreso", "FALTA ISSN IMPRESO"), "issn_electronico": _flag("e_issn", "FALTA ISSN ELECTRÓNICO"), "doi_prefix": _flag("doi_prefix", "FALTA DOI PREFIX"), "url": _flag("url_revista", "FALTA URL"), "licencia": _flag("licencia_defecto", "FALTA LICENCIA"), "estado": "estado_publicacion"}, where=f"{ACTIVE} AND ({' OR '.join(f'blank({c})' for c in REQUIRED)})"),
     Listing("REV-META-002", "ISSN formats", "revistas_md", {**ID, "issn_impreso": "issn_impreso", "issn_electronico": "e_issn", "validez_impreso": _valid("issn_impreso"), "validez_electronico": _valid("e_issn")}, where=f"{ACTIVE} AND (NOT blank(issn_impreso) OR NOT blank(e_issn))"),
     Listing("REV-META-003", "Journals without preservation", "revistas_md", {**ID, "produccion": "repositorio_produccion_plataforma", "preservacion": "repositorio_preservacion_plataforma", "cms": "sistema_gestion_contenidos", "estado": "estado_publicacion"}, where=f"{ACTIVE} AND blank(repositorio_preservacion_url)"),
-    Listing("REV-STD-001", "Open access without a CC license", "revistas_md", {**ID, "acceso": "tipo_acceso", "licencia": "licencia_defecto", "url_licencia": "url_licencia", "politica": "politica_acceso_abierto"}, where=f"tipo_acceso IN ('abierto', 'mixto') AND (blank(licencia_defecto) OR lower(licencia_defecto) NOT LIKE '%cc%') AND {ACTIVE}"),
+    Listing("REV-STD-001", "Open access without a CC license", "revistas_md", {**ID, "acceso": "tipo_acceso", "licencia": "licencia_defecto", "url_licencia": "url_licencia", "politica": "politica_acceso_abierto"}, where=f"tipo_acceso IN ('abierto', 'mixto') AND (blank(licencia_defecto) OR NOT contains(lower(licencia_defecto), 'cc')) AND {ACTIVE}"),
     Listing("REV-STD-002", "Indexing of journals", "revistas_md", {"titulo": "titulo_revista", "indexada_en": "indexada_en", "scielo": "categoria_scielo", "latindex": "categoria_latindex", "cuartil": "cuartil_scimago", "factor_impacto": "factor_impacto", "estado": "estado_publicacion"}, where=ACTIVE, order="titulo_revista"),
     Listing("REV-STD-003", "Journals without OAI-PMH", "revistas_md", {**ID, "url": "url_revista", "oai_pmh": "url_oai_pmh", "cms": "sistema_gestion_contenidos", "indexada_en": "indexada_en"}, where=f"{ACTIVE} AND blank(url_oai_pmh)"),
     Grouping("REV-EST-001", "Journals by state", "revistas_md", {"estado": "estado_publicacion"}, {"revistas": "count(*)", "titulos": "listed(titulo_revista, '; ')"}),

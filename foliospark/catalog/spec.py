@@ -4,8 +4,10 @@ Expressions are SQL text that Spark and the comparing engine read alike, with
 these short forms: ``days(a, b)`` is a - b in days, ``blank(c)`` null or empty,
 ``n_if(p)`` counts rows, ``total(e)`` sums integers, ``joined(e, sep)`` the distinct values in order as one text (null if there
 is none), ``joined_down`` the same from last to first, ``listed`` all values in order, repeats included,
-``AS_OF`` the date of the report. The date is a parameter, never the clock. SQL made from these forms says whether the plan
-is right, not whether the form is: ``expected`` holds SQL written by hand for the forms that could be misread.
+``AS_OF`` the date of the report, ``like_issn(c)`` whether a text has the form of an ISSN. The date is a parameter, never the
+clock. Under a ``collation`` (see ``functions.collation``) texts that it holds equal are one in lists, and the form of an ISSN
+ignores case. SQL made from these forms says whether the plan is right, not whether the form is: ``expected`` holds SQL written
+by hand for the forms that could be misread.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from foliospark.sources.bridge import AS_OF, sql_views
 
 Tables = Callable[[str], DataFrame]
+ISSN = "^[0-9]{4}-[0-9]{3}[0-9X]$"
 #: An argument: text without commas, or with commas inside one level of brackets or quotes.
 _ARG = r"((?:[^(),']|'[^']*'|\((?:[^()]|\([^()]*\))*\))+)"
 
@@ -31,14 +34,19 @@ def _common(text: str, as_of: str) -> str:
     return re.sub(rf"\btotal\({_ARG}\)", r"CAST(sum(\1) AS BIGINT)", text)
 
 
-def for_spark(text: str, as_of: str) -> str:
+def for_spark(text: str, as_of: str, collation: str | None = None) -> str:
+    text = re.sub(rf"\blike_issn\({_ARG}\)", rf"regexp_like(CAST(\1 AS STRING), '{'(?i)' if collation else ''}{ISSN}')", text)
     text = re.sub(rf"\bdays\({_ARG}, {_ARG}\)", r"CAST(datediff(\1, \2) AS BIGINT)", _common(text, as_of))
-    for form, values in (("joined", r"array_sort(collect_set(\1))"), ("joined_down", r"sort_array(collect_set(\1), false)"), ("listed", r"array_sort(collect_list(\1))")):
+    some = r"collect_set(\1)"
+    if collation:  # equal spellings first by code point, so that the one that stays does not depend on the order of rows
+        some = rf"array_distinct(transform(array_sort(collect_set(CAST(\1 AS STRING))), v -> collate(v, '{collation}')))"
+    for form, values in (("joined", f"array_sort({some})"), ("joined_down", f"sort_array({some}, false)"), ("listed", r"array_sort(collect_list(\1))")):
         text = re.sub(rf"\b{form}\({_ARG}, {_ARG}\)", rf"CASE WHEN count(\1) > 0 THEN array_join({values}, \2) END", text)
     return text
 
 
 def for_sql(text: str, as_of: str) -> str:
+    text = re.sub(rf"\blike_issn\({_ARG}\)", rf"regexp_matches(\1, '{ISSN}')", text)
     text = re.sub(rf"\bdays\({_ARG}, {_ARG}\)", r"date_diff('day', \2, \1)", _common(text, as_of).replace("regexp_like(", "regexp_matches("))
     for form, values in (("joined", r"DISTINCT \1, \2 ORDER BY \1"), ("joined_down", r"DISTINCT \1, \2 ORDER BY \1 DESC"), ("listed", r"\1, \2 ORDER BY \1")):
         text = re.sub(rf"\b{form}\({_ARG}, {_ARG}\)", rf"string_agg({values})", text)
@@ -62,8 +70,8 @@ class Listing:
     def needs(self) -> tuple[str, ...]:
         return self.views or (self.source,)
 
-    def frame(self, tables: Tables, as_of: str = AS_OF) -> DataFrame:
-        own = lambda text: for_spark(text, as_of)
+    def frame(self, tables: Tables, as_of: str = AS_OF, collation: str | None = None) -> DataFrame:
+        own = lambda text: for_spark(text, as_of, collation)
         rows = (self.plan(tables) if self.plan else tables(self.source)).filter(own(self.where))
         if self.order:
             rows = rows.orderBy(*[_ordered(part, own) for part in self.order.split("; ")])
@@ -104,8 +112,8 @@ class Grouping:
     def needs(self) -> tuple[str, ...]:
         return self.views or (self.source,)
 
-    def frame(self, tables: Tables, as_of: str = AS_OF) -> DataFrame:
-        own = lambda text: for_spark(text, as_of)
+    def frame(self, tables: Tables, as_of: str = AS_OF, collation: str | None = None) -> DataFrame:
+        own = lambda text: for_spark(text, as_of, collation)
         source = self.plan(tables) if self.plan else tables(self.source)
         rows = source.filter(own(self.where))
         keys = [F.expr(own(e)).alias(name) for name, e in self.keys.items()]
@@ -158,18 +166,18 @@ def _order_sql(order: str, own: Callable[[str], str]) -> str:
 
 @dataclass(frozen=True)
 class Built:
-    """A query whose plan is a function of the tables and the date; its SQL is in ``expected``."""
+    """A query whose plan is a function of the tables, the date and the collation; its SQL is in ``expected``."""
 
     code: str
     title: str
     views: tuple[str, ...]
-    build: Callable[[Tables, str], DataFrame]
+    build: Callable[[Tables, str, str | None], DataFrame]
 
     def needs(self) -> tuple[str, ...]:
         return self.views
 
-    def frame(self, tables: Tables, as_of: str = AS_OF) -> DataFrame:
-        return self.build(tables, as_of)
+    def frame(self, tables: Tables, as_of: str = AS_OF, collation: str | None = None) -> DataFrame:
+        return self.build(tables, as_of, collation)
 
     def sql(self, as_of: str = AS_OF) -> str:
         raise NotImplementedError(f"{self.code}: see expected")

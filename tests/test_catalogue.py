@@ -3,7 +3,8 @@ import pytest
 from conftest import SF, plain
 from foliospark.catalog import registry
 from foliospark.catalog.expected import EXPECTED
-from foliospark.catalog.spec import for_spark, for_sql
+from foliospark.catalog.spec import Listing, for_spark, for_sql
+from foliospark.functions.collation import DATABASE
 
 CODES = sorted({*EXPECTED, "AUT-REV-001", "AUT-CAL-003", "ART-PROD-003", "REV-META-002", "REV-AUD-003", "CROSS-006", "CROSS-006-STRICT", "BIB-CAL-001"})
 
@@ -60,6 +61,34 @@ def test_h_index_ranges(spark):
     assert found == {"Sin datos": 2, "0-5 (Emergentes)": 2, "6-10 (Intermedios)": 2, "11-20 (Consolidados)": 2, "21+ (Líderes)": 2}
 
 
+def test_collation_of_the_database(spark):
+    person = lambda i, area, state, land=None: (i, "n", f"N{i}", None, area, state, 1, land, "Ó ", None)
+    people = [person(1, "Física", "ACTIVO", "Perú"), person(2, "fisica ", "activo", "peru"), person(3, "FÍSICA", "Activo ", "Chile"), person(4, "fisica", "inactivo", "x")]
+    t = tables(spark, autores=(AUTHORS, people))
+    run = lambda code, c: [tuple(r) for r in registry.frame(code, t, collation=c).collect()]
+    assert run("AUT-REV-003", None) == [("fisica ", 1, "N2")]
+    assert run("AUT-REV-003", DATABASE) == []  # three reviewers of one area
+    assert [r[1:] for r in run("AUT-DISC-003", DATABASE)] == [(3, "Chile, Perú")]
+    journal = "id_revista long, titulo_revista string, issn_impreso string, e_issn string, estado_publicacion string"
+    t = tables(spark, revistas_md=(journal, [(1, "t", "1234-567x", "abcd-1234", "Activa"), (2, "t", "1234-567x", None, "activa")]))
+    assert [r[4:] for r in run("REV-META-002", None)] == [("FORMATO INVÁLIDO", "OK")]
+    assert sorted(r[4:] for r in run("REV-META-002", DATABASE)) == [("OK", "FORMATO INVÁLIDO"), ("OK", "OK")]
+
+
+def test_all_queries_have_a_plan_under_collations(spark):
+    for code in registry.CATALOGUE:
+        assert registry.run(spark, SF, code, collation=DATABASE).columns == registry.run(spark, SF, code).columns
+
+
+def test_removed_queries_leave_a_row(spark):
+    own = Listing("OWN-1", "One's own", "autores", {"id": "id_autor"})
+    registry.register(own)
+    row = registry.remove(spark, "OWN-1", "ana", "2001-12-31 10:00:00").first()
+    assert row[:4] == ("OWN-1", "One's own", "autores", "ana") and str(row["removed_at"]) == "2001-12-31 10:00:00" and "OWN-1" not in registry.CATALOGUE
+    with pytest.raises(KeyError):
+        registry.remove(spark, "OWN-1", "ana", "2001-12-31 10:00:00")
+
+
 def test_one_scan_for_each_table_of_a_dashboard(spark):
     for code, most in (("AUT-ID-002", 1), ("ART-STD-001", 1), ("ART-MET-003", 1)):
         plan = registry.run(spark, SF, code)._jdf.queryExecution().executedPlan().toString()
