@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.docs import blocks, lookups, marks
-from foliospark.quality import constraints, evolution, metadata
+from foliospark.quality import books, constraints, evolution, metadata
 from foliospark.sources import dump, jsonside
 from foliospark.sources.bridge import editorial_tables, sql_views
 
@@ -35,9 +35,15 @@ VIEWS = {
     "entries": "SELECT p_type AS tipo, p_partkey AS codigo, p_name AS nombre, CASE WHEN p_partkey % 8 = 0 THEN 0 ELSE 1 END AS activo FROM {part}",
     "roles": "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'autor' WHEN 1 THEN 'traductor' WHEN 2 THEN 'compilador' END AS rol, CAST(c_custkey % 50 AS STRING) AS edad, c_name AS nota FROM {customer}",
     "metadata": "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS title, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS author, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'pt' END AS lang FROM {customer}",
+    "colecciones": "SELECT CAST(r_regionkey AS BIGINT) AS id_coleccion, CASE WHEN r_regionkey % 2 = 0 THEN '1234-5678' END AS issn FROM {region}",
+    "series": "SELECT CAST(n_nationkey AS BIGINT) AS id_serie, CAST(n_regionkey + CASE WHEN n_nationkey % 6 = 0 THEN 100 ELSE 0 END AS BIGINT) AS id_coleccion, n_name AS issn FROM {nation}",
+    "libros_md": """SELECT CAST(p_partkey AS BIGINT) AS id_libro, CAST(p_partkey % 150 AS BIGINT) AS id_proyecto, CASE WHEN p_partkey % 7 > 0 THEN CAST(p_partkey % 6 AS BIGINT) END AS id_coleccion,
+  CASE WHEN p_partkey % 5 > 0 THEN CAST(p_partkey % 30 AS BIGINT) END AS id_serie, CASE p_partkey % 3 WHEN 0 THEN 'monografia' WHEN 1 THEN 'manual' ELSE 'novela' END AS tipo_libro FROM {part}""",
+    "libro_autor": """SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id_relacion, CAST(CASE WHEN l_partkey % 40 = 0 THEN -1 ELSE l_partkey END AS BIGINT) AS id_libro,
+  CASE l_linenumber WHEN 1 THEN 'editor' WHEN 2 THEN 'otro' ELSE 'autor' END AS rol_libro FROM {lineitem}""",
 }
 TEMPLATES = (("box", '<boxed-text id="{{id}}"><caption>{{caption}}</caption>{{contenido}}{{more}}</boxed-text>'), ("figure", '<fig id="{{id}}">{{contenido}}</fig>'), ("other", None))
-SOURCES = ("customer", "nation", "lineitem", "part", "supplier")
+SOURCES = ("customer", "nation", "lineitem", "part", "region", "supplier")
 
 
 def _sql(view: str, names: dict[str, str]) -> str:
@@ -88,9 +94,21 @@ def _evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolution.applied(_view(spark, sf_dir, "roles"), target).select("id", "rol", "edad", "pais")
 
 
-def _correspondents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = editorial_tables(spark, sf_dir).table("articulo_autor")
-    return constraints.several_correspondents(links.withColumn("es_correspondencia", F.when(F.col("id_autor") % 3 == 0, 1).when(F.col("id_autor") % 3 == 1, 0)))
+    return links.withColumn("es_correspondencia", F.when(F.col("id_autor") % 3 == 0, 1).when(F.col("id_autor") % 3 == 1, 0))
+
+
+def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _flagged(spark, sf_dir)
+    return constraints.refused_correspondents(links, links.filter("id_autor % 2 = 0").withColumn("es_correspondencia", F.lit(1))).select("id_articulo", "id_autor")
+
+
+BOOKS = ("colecciones", "series", "libros_md", "libro_autor")
+
+
+def _books(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {name: _view(spark, sf_dir, name) for name in BOOKS}
 
 
 def _editorial(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -120,13 +138,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_localized_help": lambda s, d: lookups.localized(_view(s, d, "help"), "en"),
     "doc_vocabulary": lambda s, d: lookups.vocabulary(_view(s, d, "entries"), "ECONOMY"),
     "doc_pdf_metadata": lambda s, d: lookups.pdf_metadata(_view(s, d, "metadata")),
-    "doc_name_index": lambda s, d: lookups.name_index(_references(s, d), ["author", "editor"], "id_articulo"),
-    "doc_reference_order": lambda s, d: lookups.numbered_references(_references(s, d), "id_articulo", ["author", "year", "title", "id"]).select("id", "id_articulo", "number"),
+    "doc_name_index": lambda s, d: lookups.name_index(_references(s, d), ["author", "editor", "translator", "commentator"], "id_articulo"),
+    "doc_reference_order": lambda s, d: lookups.numbered_references(_references(s, d), "id_articulo", ["author", "year", "volume", "title", "id"]).select("id", "id_articulo", "number"),
     "check_repeated_keys": lambda s, d: constraints.repeated_keys(_reviews(s, d), "id_articulo", "id_autor"),
     "check_orphans": lambda s, d: constraints.orphans(_references(s, d), "id_articulo", _articles(s, d).filter("estado_articulo = 'publicado'"), "id_articulo").select("id"),
     "check_cascade": lambda s, d: constraints.cascaded(_authors(s, d), "id_articulo", _articles(s, d).filter("estado_articulo = 'retractado'"), "id_articulo"),
     "check_domain": lambda s, d: constraints.outside_domain(_articles(s, d), "tipo_articulo", DOMAIN).select("id_articulo", "tipo_articulo"),
-    "check_correspondents": _correspondents,
+    "check_correspondents": lambda s, d: constraints.several_correspondents(_flagged(s, d)),
+    "check_correspondent_updates": _refused,
+    "check_book_model": lambda s, d: books.violations(_books(s, d)),
+    "delete_book_collection": lambda s, d: books.after_deletion(_books(s, d), "colecciones", _view(s, d, "colecciones").filter("id_coleccion = 2"))["libros_md"].select("id_libro", "id_coleccion", "id_serie"),
     "evolve_schema": _evolved,
 }
 
@@ -185,14 +206,33 @@ SELECT componente, coalesce(e.idioma, s.idioma) AS idioma, CASE WHEN e.idioma IS
 FROM (SELECT * FROM help WHERE idioma = 'en') e FULL JOIN (SELECT * FROM help WHERE idioma = 'es') s USING (componente)""",
     "doc_vocabulary": f"{_with('entries')} SELECT codigo, nombre FROM entries WHERE tipo = 'ECONOMY' AND activo = 1",
     "doc_pdf_metadata": f"{_with('metadata')} SELECT id, coalesce(title, '') AS title, coalesce(author, '') AS author, CASE WHEN lang = 'pt' THEN 'pt' ELSE 'es' END AS lang FROM metadata",
-    "doc_name_index": f"""{sql_views(["bibtex"])}, every AS (SELECT author AS name, id_articulo FROM bibtex UNION ALL SELECT editor, id_articulo FROM bibtex)
+    "doc_name_index": f"""{sql_views(["bibtex"])}, every AS (SELECT author AS name, id_articulo FROM bibtex UNION ALL SELECT editor, id_articulo FROM bibtex
+  UNION ALL SELECT translator, id_articulo FROM bibtex UNION ALL SELECT commentator, id_articulo FROM bibtex)
 SELECT name, count(*) AS mentions, count(DISTINCT id_articulo) AS places FROM every WHERE name <> '' GROUP BY name""",
     "doc_reference_order": f"""{sql_views(["bibtex"])}
-SELECT id, id_articulo, row_number() OVER (PARTITION BY id_articulo ORDER BY author NULLS FIRST, year NULLS FIRST, title NULLS FIRST, id) AS number FROM bibtex""",
+SELECT id, id_articulo, row_number() OVER (PARTITION BY id_articulo ORDER BY author NULLS FIRST, year NULLS FIRST, volume NULLS FIRST, title NULLS FIRST, id) AS number FROM bibtex""",
     "check_repeated_keys": f"{sql_views(['articulo_revisor'])} SELECT id_articulo, id_autor, count(*) AS n FROM articulo_revisor GROUP BY 1, 2 HAVING count(*) > 1",
     "check_orphans": f"{sql_views(['bibtex', 'articulos'])} SELECT id FROM bibtex b WHERE NOT EXISTS (SELECT 1 FROM articulos a WHERE a.id_articulo = b.id_articulo AND estado_articulo = 'publicado')",
     "check_cascade": f"{sql_views(['articulo_autor', 'articulos'])} SELECT id_articulo, id_autor FROM articulo_autor WHERE id_articulo IN (SELECT id_articulo FROM articulos WHERE estado_articulo = 'retractado')",
     "check_domain": f"{sql_views(['articulos'])} SELECT id_articulo, tipo_articulo FROM articulos WHERE tipo_articulo NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')",
     "check_correspondents": f"{sql_views(['articulo_autor'])} SELECT id_articulo, count(*) AS n FROM articulo_autor WHERE id_autor % 3 = 0 GROUP BY 1 HAVING count(*) > 1",
+    "check_correspondent_updates": f"""{sql_views(['articulo_autor'])} SELECT id_articulo, id_autor FROM articulo_autor a WHERE id_autor % 2 = 0 AND id_autor % 3 > 0
+  AND EXISTS (SELECT 1 FROM articulo_autor b WHERE b.id_articulo = a.id_articulo AND b.id_autor % 3 = 0)""",
+    "check_book_model": f"""{_with(*BOOKS)}
+SELECT 'colecciones' AS tabla, 'id_coleccion' AS columna, 'primary' AS regla, count(*) - count(DISTINCT id_coleccion) AS n FROM colecciones
+UNION ALL SELECT 'series', 'id_serie', 'primary', count(*) - count(DISTINCT id_serie) FROM series
+UNION ALL SELECT 'libros_md', 'id_libro', 'primary', count(*) - count(DISTINCT id_libro) FROM libros_md
+UNION ALL SELECT 'libro_autor', 'id_relacion', 'primary', count(*) FROM (SELECT id_relacion FROM libro_autor GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'colecciones', 'issn', 'unique', count(*) FROM (SELECT issn FROM colecciones WHERE issn IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'series', 'issn', 'unique', count(issn) - count(DISTINCT issn) FROM series
+UNION ALL SELECT 'libros_md', 'id_proyecto', 'unique', count(*) FROM (SELECT id_proyecto FROM libros_md GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'series', 'id_coleccion', 'reference', count(*) FROM series WHERE id_coleccion NOT IN (SELECT id_coleccion FROM colecciones)
+UNION ALL SELECT 'libros_md', 'id_coleccion', 'reference', count(*) FROM libros_md WHERE id_coleccion NOT IN (SELECT id_coleccion FROM colecciones)
+UNION ALL SELECT 'libros_md', 'id_serie', 'reference', count(*) FROM libros_md WHERE id_serie NOT IN (SELECT id_serie FROM series)
+UNION ALL SELECT 'libro_autor', 'id_libro', 'reference', count(*) FROM libro_autor WHERE id_libro NOT IN (SELECT id_libro FROM libros_md)
+UNION ALL SELECT 'libros_md', 'tipo_libro', 'domain', count(*) FROM libros_md WHERE tipo_libro = 'novela'
+UNION ALL SELECT 'libro_autor', 'rol_libro', 'domain', count(*) FROM libro_autor WHERE rol_libro = 'otro'""",
+    "delete_book_collection": f"""{_with(*BOOKS)}
+SELECT id_libro, nullif(id_coleccion, 2) AS id_coleccion, CASE WHEN id_serie NOT IN (SELECT id_serie FROM series WHERE id_coleccion = 2) THEN id_serie END AS id_serie FROM libros_md""",
     "evolve_schema": f"{_with('roles')} SELECT id, CASE WHEN rol = 'compilador' THEN 'autor' ELSE rol END AS rol, CAST(edad AS INTEGER) AS edad, CAST(NULL AS VARCHAR) AS pais FROM roles",
 }

@@ -33,3 +33,15 @@ def outside_domain(table: DataFrame, column: str, domain: list[str]) -> DataFram
 def several_correspondents(links: DataFrame, article: str = "id_articulo", flag: str = "es_correspondencia") -> DataFrame:
     """Articles with more than one corresponding author."""
     return links.groupBy(article).agg(F.sum(F.coalesce(flag, F.lit(0))).alias("n")).filter("n > 1")
+
+
+def refused_correspondents(links: DataFrame, updates: DataFrame, article: str = "id_articulo", author: str = "id_autor", flag: str = "es_correspondencia") -> DataFrame:
+    """Updates that would make an author the corresponding one although another author of the article is.
+
+    ``links`` has a row for each article and author; ``updates`` are rows of the same three columns with the new flag. An update
+    counts only where the flag goes from 0 or null to 1, so the row itself is never the other one. Each is held against the
+    links as they stand, not against other updates; updates of rows that are not there are none.
+    """
+    unset = links.filter(F.coalesce(flag, F.lit(0)) == 0).select(article, author)
+    taken = links.filter(F.col(flag) == 1).select(article)
+    return updates.filter(F.col(flag) == 1).join(unset, [article, author], "left_semi").join(taken, article, "left_semi")

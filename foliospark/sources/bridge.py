@@ -131,7 +131,9 @@ SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS id, CASE WHEN l_p
   CASE l_partkey % 11 WHEN 0 THEN '' WHEN 1 THEN 'n.d.' WHEN 2 THEN CAST(year(l_shipdate) + 10 AS STRING) || '-03' WHEN 3 THEN CAST(year(l_shipdate) AS STRING) END AS date,
   CASE l_partkey % 6 WHEN 0 THEN 'english' WHEN 1 THEN 'spanish' END AS hyphenation, CASE l_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'french' ELSE 'german' END AS language,
   CASE WHEN l_partkey % 15 = 0 THEN NULL ELSE n_name END AS location, CASE WHEN l_partkey % 16 = 0 THEN NULL ELSE p_type END AS publisher,
-  CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE '10.1/' || CAST(l_partkey AS STRING) END AS doi
+  CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE '10.1/' || CAST(l_partkey AS STRING) END AS doi,
+  CASE l_partkey % 18 WHEN 0 THEN '' WHEN 1 THEN s_name WHEN 2 THEN 'Translator ' || CAST(l_suppkey % 7 AS STRING) END AS translator,
+  CASE WHEN l_partkey % 25 = 1 THEN 'Commentator ' || CAST(l_suppkey % 3 AS STRING) END AS commentator, CASE WHEN l_partkey % 4 > 0 THEN CAST(l_partkey % 30 AS STRING) END AS volume
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey
 """,
 }
