@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import decontaminate, html_extract, langid, nnls_pack, pii, quality, simhash, token_bins, url_filter, warc
+from foliospark.llm import align, decontaminate, html_extract, langid, nnls_pack, pii, quality, simhash, token_bins, topk, url_filter, warc, whiten
 
 #: The tokenizer file of op3 and op5, among the public tokenizers of the box.
 TOKENIZER = "word_bpe_49k.json"
+#: The two tokenizers that op12 aligns.
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 URL_RULES = [
     url_filter.Rule.domain("block", "net/"),
     url_filter.Rule.domain("allow", "example.net/en/"),
@@ -24,10 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -82,6 +84,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align.align(_table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path(BYTE_BPE), tokenizer_path(PIECES))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return align.with_counts(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten.whiten(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1,
     "op2_language_id": op2,
@@ -93,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8,
     "op9_simhash": op9,
     "op10_quality": op10,
+    "op11_top_k": op11,
+    "op12_token_alignment": op12,
+    "op13_whitening": op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -155,5 +175,15 @@ WITH d AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
     sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+""",
+    "op11_top_k": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)) AS x, row_number() OVER () AS n FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, q.n, d.vec_id, list_inner_product(q.x, d.x)::BIGINT AS score FROM v q JOIN v d ON q.n <> d.n WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, (row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id NULLS LAST))::INTEGER AS rank FROM scored) WHERE rank <= 20
 """,
 }
