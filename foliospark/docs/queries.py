@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.docs import blocks, lookups, marks
-from foliospark.quality import books, constraints, evolution, metadata
+from foliospark.quality import books, catalogue, constraints, evolution
 from foliospark.sources import dump, jsonside
+from foliospark.sources.bridge import VIEWS as EDITORIAL
 from foliospark.sources.bridge import editorial_tables, sql_views
+from foliospark.sources.workspace import new_path
 
 #: Derived tables, in SQL that both sides read.
 VIEWS = {
@@ -116,6 +118,34 @@ def _editorial(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 _reviews, _references, _articles, _authors = (_editorial(n) for n in ("articulo_revisor", "bibtex", "articulos", "articulo_autor"))
+#: Keys of the editorial tables as a dump writes them.
+KEYS = {
+    "autores": ("PRIMARY KEY (`id_autor`)", "UNIQUE KEY `orcid` (`orcid`)"),
+    "articulos": ("PRIMARY KEY (`id_articulo`)", "KEY `idx_titulo` (`titulo_articulo`(20))", "CONSTRAINT `a_1` FOREIGN KEY (`id_revista`) REFERENCES `revistas_md` (`id_revista`) ON DELETE SET NULL"),
+    "revistas_md": ("PRIMARY KEY (`id_revista`)", "UNIQUE KEY `issn` (`issn_impreso`)"),
+    "articulo_autor": ("UNIQUE KEY `u_1` (`id_articulo`,`id_autor`)", "UNIQUE KEY `u_2` (`id_articulo`,`id_autor`)", "CONSTRAINT `aa_1` FOREIGN KEY (`id_articulo`) REFERENCES `articulos` (`id_articulo`) ON DELETE CASCADE", "CONSTRAINT `aa_2` FOREIGN KEY (`id_autor`) REFERENCES `autores` (`id_autor`)"),
+    "articulo_revisor": ("PRIMARY KEY (`id_revision`)", "UNIQUE KEY `r` (`id_articulo`,`id_autor`,`ronda_revision`)", "CONSTRAINT `ar_1` FOREIGN KEY (`id_autor`) REFERENCES `autores` (`id_autor`)"),
+    "bibtex": ("PRIMARY KEY (`id`)", "CONSTRAINT `b_1` FOREIGN KEY (`id_articulo`) REFERENCES `articulos` (`id_articulo`)"),
+}
+
+
+def _loaded(spark: SparkSession, sf_dir: str, *names: str) -> dump.Loaded:
+    """The tables written to a dump and loaded from it."""
+    path = new_path(spark, "dump")
+    dump.write({n: _editorial(n)(spark, sf_dir) for n in names}, path, KEYS)
+    return dump.load(dump.statements(spark, path))
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each table is parsed once and kept as Parquet, as several constraints read it."""
+    own = _loaded(spark, sf_dir, *EDITORIAL)
+    tables = {}
+    for name, table in own.tables.items():
+        table.write.parquet(path := new_path(spark, name))
+        tables[name] = spark.read.schema(table.schema).parquet(path)
+    return catalogue.broken(tables, own.constraints).withColumnRenamed("table", "table_name")
+
+
 DOMAIN = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -127,7 +157,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_colophon": _colophon,
     "doc_epub_colophon": lambda s, d: _colophon(s, d, page_break=True),
     "doc_contents_blocks": lambda s, d: blocks.contents_blocks(_blocks(s, d).withColumn("kind", F.when(F.col("kind") == "CodeBlock", "Div").otherwise(F.col("kind"))), "plain").select("document", "pos", "kind", "text"),
-    "table_columns": lambda s, d: metadata.columns({n: _editorial(n)(s, d) for n in ("articulo_autor", "articulo_revisor")}).select(F.col("table").alias("table_name"), "place", F.col("column").alias("column_name"), "kind"),
+    "table_columns": lambda s, d: catalogue.statistics({n: _editorial(n)(s, d) for n in EDITORIAL}).select(F.col("table").alias("table_name"), "place", F.col("column").alias("column_name"), "kind", "n_rows", "n_null"),
+    **{f"dump_{name}": (lambda s, d, name=name: _loaded(s, d, name).tables[name]) for name in EDITORIAL},
+    "check_constraints": _broken,
     "seed_rows": lambda s, d: dump.inserted(_view(s, d, "statements"), "statement").select(F.col("table").alias("table_name"), F.col("row").alias("place"), "fields"),
     "json_metadata": lambda s, d: jsonside.first_values(_view(s, d, "configured"), "json", PATHS).select("p_partkey", "title", "license", "quoted"),
     "doc_marks": _marks,
@@ -151,6 +183,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evolve_schema": _evolved,
 }
 
+
+
+def _statistics_sql() -> str:
+    """For each table its columns as the other engine describes them, with what an unpivoted count finds."""
+    kinds = "CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END"
+    part = """SELECT '{t}' AS table_name, place, column_name, kind, n_rows, n_rows - coalesce(n_set, 0) AS n_null
+FROM (SELECT column_name, (row_number() OVER ())::INTEGER AS place, {kinds} AS kind FROM (DESCRIBE SELECT * FROM {t})) JOIN (SELECT count(*) AS n_rows FROM {t}) ON true
+LEFT JOIN (SELECT column_name, count(*) AS n_set FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE v) GROUP BY 1) USING (column_name)"""
+    return sql_views(list(EDITORIAL)) + " " + " UNION ALL ".join(part.format(t=t, kinds=kinds) for t in EDITORIAL)
+
+
 _XML = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _TEX = r"replace(replace(regexp_replace(replace({}, '\', '\textbackslash '), '([#$%&_{{}}])', '\\\1', 'g'), '~', '\textasciitilde '), '^', '\textasciicircum ')"
 ORACLE_SQL: dict[str, str] = {
@@ -174,7 +217,23 @@ UNION ALL SELECT document, CAST(last + i AS INTEGER), kind, text FROM (SELECT do
 SELECT document, CAST(row_number() OVER (PARTITION BY document ORDER BY pos, i) AS INTEGER) AS pos,
   CASE WHEN kind = 'CodeBlock' AND class = 'plain' THEN 'RawBlock' WHEN kind = 'CodeBlock' THEN 'Div' ELSE kind END AS kind,
   CASE WHEN kind = 'CodeBlock' AND class = 'plain' THEN ['\hypersetup{{linkcolor=black}}', '\setcounter{{tocdepth}}{{0}}', '\tableofcontents'][i + 1] ELSE text END AS text FROM made""",
-    "table_columns": """SELECT * FROM (VALUES ('articulo_autor', 1, 'id_articulo', 'bigint'), ('articulo_autor', 2, 'id_autor', 'bigint'), ('articulo_revisor', 1, 'id_revision', 'bigint'), ('articulo_revisor', 2, 'id_articulo', 'bigint'), ('articulo_revisor', 3, 'id_autor', 'bigint'), ('articulo_revisor', 4, 'tipo_revision', 'string'), ('articulo_revisor', 5, 'ronda_revision', 'bigint'), ('articulo_revisor', 6, 'fecha_asignacion', 'date'), ('articulo_revisor', 7, 'fecha_revision', 'date'), ('articulo_revisor', 8, 'decision', 'string')) AS t(table_name, place, column_name, kind)""",
+    "table_columns": _statistics_sql(),
+    **{f"dump_{name}": f"{sql_views([name])} SELECT * FROM {name}" for name in EDITORIAL},
+    "check_constraints": f"""{sql_views(list(EDITORIAL))}
+SELECT 'autores' AS table_name, 'primary' AS rule, 'id_autor' AS columns, count(*) AS n FROM (SELECT id_autor FROM autores GROUP BY 1 HAVING count(*) > 1 OR id_autor IS NULL)
+UNION ALL SELECT 'autores', 'unique', 'orcid', count(*) FROM (SELECT orcid FROM autores WHERE orcid IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'articulos', 'primary', 'id_articulo', count(*) FROM (SELECT id_articulo FROM articulos GROUP BY 1 HAVING count(*) > 1 OR id_articulo IS NULL)
+UNION ALL SELECT 'articulos', 'reference', 'id_revista', count(*) FROM articulos WHERE id_revista IS NOT NULL AND id_revista NOT IN (SELECT id_revista FROM revistas_md)
+UNION ALL SELECT 'revistas_md', 'primary', 'id_revista', count(*) FROM (SELECT id_revista FROM revistas_md GROUP BY 1 HAVING count(*) > 1 OR id_revista IS NULL)
+UNION ALL SELECT 'revistas_md', 'unique', 'issn_impreso', count(*) FROM (SELECT issn_impreso FROM revistas_md WHERE issn_impreso IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'articulo_autor', 'unique', 'id_articulo,id_autor', count(*) FROM (SELECT id_articulo, id_autor FROM articulo_autor WHERE id_articulo IS NOT NULL AND id_autor IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'articulo_autor', 'reference', 'id_articulo', count(*) FROM articulo_autor WHERE id_articulo NOT IN (SELECT id_articulo FROM articulos)
+UNION ALL SELECT 'articulo_autor', 'reference', 'id_autor', count(*) FROM articulo_autor WHERE id_autor NOT IN (SELECT id_autor FROM autores)
+UNION ALL SELECT 'articulo_revisor', 'primary', 'id_revision', count(*) FROM (SELECT id_revision FROM articulo_revisor GROUP BY 1 HAVING count(*) > 1 OR id_revision IS NULL)
+UNION ALL SELECT 'articulo_revisor', 'unique', 'id_articulo,id_autor,ronda_revision', count(*) FROM (SELECT 1 FROM articulo_revisor WHERE id_articulo IS NOT NULL AND id_autor IS NOT NULL AND ronda_revision IS NOT NULL GROUP BY id_articulo, id_autor, ronda_revision HAVING count(*) > 1)
+UNION ALL SELECT 'articulo_revisor', 'reference', 'id_autor', count(*) FROM articulo_revisor WHERE id_autor NOT IN (SELECT id_autor FROM autores)
+UNION ALL SELECT 'bibtex', 'primary', 'id', count(*) FROM (SELECT id FROM bibtex GROUP BY 1 HAVING count(*) > 1 OR id IS NULL)
+UNION ALL SELECT 'bibtex', 'reference', 'id_articulo', count(*) FROM bibtex WHERE id_articulo NOT IN (SELECT id_articulo FROM articulos)""",
     "seed_rows": """SELECT 'roles' AS table_name, 1::BIGINT AS place, p_partkey || '|it''s ' || p_name || '|NULL' AS fields FROM part UNION ALL SELECT 'roles', 2, '-1.5|a;b(c)|' FROM part""",
     "json_metadata": """SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN p_name WHEN p_partkey % 4 = 2 THEN '' END AS title, CASE p_partkey % 4 WHEN 0 THEN 'CC' WHEN 1 THEN 'BY' END AS license,
   CASE WHEN p_partkey % 4 < 2 THEN '"' || p_name || '"' WHEN p_partkey % 4 = 2 THEN '""' END AS quoted FROM part""",

@@ -1,4 +1,4 @@
-"""What tables look like: their columns as a table, and what a target asks for that is not there yet."""
+"""What a target asks for that tables do not have yet, by their schemas."""
 
 from __future__ import annotations
 
@@ -8,15 +8,6 @@ from pyspark.sql import DataFrame
 
 from foliospark.quality.evolution import Change, Target, pending
 
-COLUMNS = "`table` string, place int, `column` string, kind string, nullable boolean"
-
-
-def columns(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row for each column of each table, from the schemas alone; no data is read."""
-    rows = [(name, i, f.name, f.dataType.simpleString(), f.nullable) for name, t in tables.items() for i, f in enumerate(t.schema, 1)]
-    return next(iter(tables.values())).sparkSession.createDataFrame(rows, COLUMNS)
-
-
 def pending_tables(tables: Mapping[str, DataFrame], targets: Mapping[str, Target], dropped: tuple[str, ...] = ()) -> dict[str, list[Change]]:
     """By table what is pending: ``create`` for one that is missing, ``remove`` for one to be dropped, else its columns' changes."""
     out = {name: pending(tables[name].schema, t) if name in tables else [Change("create", name)] for name, t in targets.items()}

@@ -1,32 +1,216 @@
-"""Rows of ``INSERT INTO ... VALUES`` statements, as SQL dumps hold them."""
+"""SQL dumps as a source and a sink: ``CREATE TABLE`` gives schemas and constraints, ``INSERT ... VALUES`` gives typed rows.
+
+A dump is read by Spark's text source with the end of a statement as the line separator, so it is split like any text file, in
+any store that Spark reads. Each statement is then parsed on its own, by regular expressions in the plan. Only the
+definitions, a row a column, reach the driver.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-TABLE = r"(?is)^\s*INSERT\s+INTO\s+[`\"]?([A-Za-z_]\w*)[`\"]?[^(']*?(?:\([^()']*\)\s*)?VALUES\s*(.*?);?\s*$"
-#: A quoted text (quotes doubled or escaped), or a bare value.
-VALUE = r"'(?:[^'\\]|\\.|'')*'|[^\s,()']+"
-ROW = rf"(?s)\(\s*(?:{VALUE})(?:\s*,\s*(?:{VALUE}))*\s*\)"
+#: What ends a statement. Dumps write a line feed within a text as an escape, so a text holds no such end.
+END = ";\n"
+#: Comments and blank lines before a statement.
+LEAD = r"(?s)^(?:\s++|--[^\n]*+(?:\n|$)|/\*.*?\*/;?)++"
+TABLE = r"(?is)^\s*+INSERT\s++(?:IGNORE\s++)?INTO\s++[`\"]?([A-Za-z_]\w*+)[`\"]?\s*+(\([^()']*+\))?\s*+VALUES\s*+(.*?);?\s*$"
+# Possessive: a text of any length is matched in a loop, not by recursion.
+TEXT = r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'"
+#: A quoted text (quotes doubled or escaped), perhaps with its character set, or a bare value.
+VALUE = rf"(?:_[a-z]\w*+\s*+)?{TEXT}|[^\s,()']++"
+ROW = rf"(?s)\(\s*+(?:{VALUE})(?:\s*+,\s*+(?:{VALUE}))*+\s*+\)"
+NAME = r"[`\"]([^`\"]++)[`\"]"
+CREATE = rf"(?is)^\s*+CREATE\s++TABLE\s++(?:IF\s++NOT\s++EXISTS\s++)?{NAME}\s*+\((.*)\)[^)]*?$"
+COLUMN = rf"(?is)^\s*+{NAME}\s++([a-z]++(?:\s*+\((?:{TEXT}|[^')])*+\))?+(?:\s++unsigned)?+)(.*)$"
+KEY = rf"(?is)^\s*+(?:CONSTRAINT\s++{NAME}\s++)?+(PRIMARY|UNIQUE|FOREIGN)\s++(?:KEY|INDEX)?\s*+(?:{NAME})?\s*+\(([^)]*+(?:\(\d++\)[^)]*+)*+)\)(.*)$"
+PARENT = rf"(?is)REFERENCES\s++{NAME}\s*+\(([^)]*+)\)"
+#: Kinds of columns by the first word of their type. Texts, enumerations and JSON are strings.
+KINDS = {
+    "tinyint": "int", "smallint": "int", "mediumint": "int", "int": "int", "integer": "int", "year": "int", "bigint": "bigint", "float": "float", "double": "double",
+    "date": "date", "datetime": "timestamp_ntz", "timestamp": "timestamp", "binary": "binary", "varbinary": "binary", "blob": "binary", "tinyblob": "binary", "mediumblob": "binary", "longblob": "binary",
+}
+CURRENT = ("CURRENT_TIMESTAMP", "NOW()", "CURRENT_DATE")
 
 
 def inserted(statements: DataFrame, column: str) -> DataFrame:
     """One row for each row that the statements insert: the statement's other columns, ``table``, ``row`` (its number in the
-    statement, from 1), ``values`` (texts without quotes and escapes, null for NULL) and ``fields``, the same joined by ``|``.
+    statement, from 1), ``values`` (texts without quotes and escapes, null for NULL), ``fields``, the same joined by ``|``, and ``columns``, the
+    names that the statement lists, or null.
 
-    Text that is no such statement, and null, give no rows. Statements are parsed each on its own, so a dump is read with
-    ``spark.read.text(path, lineSep=";\n")``.
+    Text that is no such statement, and null, give no rows.
     """
     rest = [F.col(f"`{c}`") for c in statements.columns if c != column]
-    head = statements.select(*rest, F.regexp_extract(column, TABLE, 1).alias("table"), F.regexp_extract(column, TABLE, 2).alias("__body")).filter("table <> ''")
-    rows = head.select(*rest, "table", F.posexplode(F.regexp_extract_all("__body", F.lit(ROW), F.lit(0))).alias("__i", "__row"))
+    text = F.regexp_replace(column, LEAD, "")
+    head = statements.select(*rest, *[F.regexp_extract(text, TABLE, i).alias(c) for i, c in enumerate(("table", "__columns", "__body"), 1)]).filter("table <> ''")
+    names = F.when(F.col("__columns") != "", _names(F.col("__columns"))).alias("columns")
+    rows = head.select(*rest, "table", names, F.posexplode(F.regexp_extract_all("__body", F.lit(ROW), F.lit(0))).alias("__i", "__row"))
     raw = F.regexp_extract_all(F.expr("substring(__row, 2, length(__row) - 2)"), F.lit(f"(?s){VALUE}"), F.lit(0))
-    parsed = rows.select(*rest, "table", (F.col("__i") + 1).cast("long").alias("row"), F.transform(raw, _value).alias("values"))
+    parsed = rows.select(*rest, "table", (F.col("__i") + 1).cast("long").alias("row"), F.transform(raw, _value).alias("values"), "columns")
     return parsed.withColumn("fields", F.array_join("values", "|", "NULL"))
 
 
+def _names(listed: Column) -> Column:
+    return F.split(F.regexp_replace(listed, r"\(\d+\)|[`\"()\s]", ""), ",")
+
+
+def _unescaped(inner: Column) -> Column:
+    """Between pairs of backslashes, which are one each, a backslash stands before a letter or sign."""
+    out = F.regexp_replace(inner, r"(?<!\\)''", "'")
+    for sign, value in (("n", "\n"), ("r", "\r"), ("t", "\t"), ("0", "\x00"), ("b", "\b"), ("Z", "\x1a")):
+        out = F.replace(out, F.lit("\\" + sign), F.lit(value))
+    return F.regexp_replace(out, r"(?s)\\(?![%_])(.)", "$1")
+
+
 def _value(value: Column) -> Column:
-    inner = F.substring(value, F.lit(2), F.length(value) - 2)
-    unescaped = F.regexp_replace(F.regexp_replace(inner, "''", "'"), r"(?s)\\(.)", "$1")
-    return F.when(F.upper(value) == "NULL", F.lit(None).cast("string")).when(value.startswith("'"), unescaped).otherwise(value)
+    text = F.regexp_replace(value, r"(?s)^_[a-z]\w*+\s*+(?=')", "")
+    inner = F.substring(text, F.lit(2), F.length(text) - 2)
+    plain = F.array_join(F.transform(F.split(inner, r"\\\\"), _unescaped), "\\")
+    return F.when(F.upper(text) == "NULL", F.lit(None).cast("string")).when(text.startswith("'"), plain).otherwise(text)
+
+
+def statements(spark: SparkSession, path: str) -> DataFrame:
+    """The dump's statements (column ``statement``), comments before them included; several files are one dump."""
+    return spark.read.text(path, lineSep=END).select(F.col("value").alias("statement"))
+
+
+def _bodies(dump: DataFrame, column: str) -> DataFrame:
+    text = F.regexp_replace(column, LEAD, "")
+    found = dump.select(F.regexp_extract(text, CREATE, 1).alias("table"), F.regexp_extract(text, CREATE, 2).alias("body")).filter("`table` <> ''")
+    return found.select("table", F.posexplode(F.split("body", r",[ \t]*\r?\n")).alias("at", "line"))
+
+
+def definitions(dump: DataFrame, column: str = "statement") -> DataFrame:
+    """One row for each column of each ``CREATE TABLE``: ``table``, ``place`` (from 1), ``column``, ``type`` as written, ``kind`` (the type here),
+    ``nullable``, ``default`` (null if none, or if it is the time of writing) and ``domain``, the values of an enumeration or null.
+    Each definition is on a line of its own, as dumps write them.
+    """
+    lines = _bodies(dump, column).select("table", "at", *[F.regexp_extract("line", COLUMN, i).alias(c) for i, c in enumerate(("column", "type", "rest"), 1)]).filter("`column` <> ''")
+    first = F.lower(F.regexp_extract("type", "^([A-Za-z]+)", 1))
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[first], F.lit("string"))
+    kind = F.when(first.isin("decimal", "numeric"), F.concat(F.lit("decimal"), F.coalesce(F.nullif(F.regexp_replace(F.regexp_extract("type", r"\(.*\)", 0), r"\s", ""), F.lit("")), F.lit("(10,0)")))).otherwise(kind)
+    kind = F.when((kind == "int") & F.lower("type").rlike("^int.*unsigned"), "bigint").when((kind == "bigint") & F.lower("type").contains("unsigned"), "decimal(20,0)").otherwise(kind)
+    bare = F.regexp_replace("rest", f"(?s)\\bCOMMENT\\s++{TEXT}", "")
+    raw = F.regexp_extract(bare, rf"(?is)\bDEFAULT\s++({VALUE})", 1)
+    default = F.when((raw != "") & ~F.upper(raw).isin(*CURRENT), _value(raw))
+    domain = F.when(first == "enum", F.transform(F.regexp_extract_all("type", F.lit(TEXT), F.lit(0)), _value))
+    place = F.row_number().over(Window.partitionBy("table").orderBy("at")).alias("place")
+    return lines.select("table", place, "column", "type", kind.alias("kind"), (~bare.rlike(r"(?i)\bNOT\s+NULL\b")).alias("nullable"), default.alias("default"), domain.alias("domain"))
+
+
+def constraints(dump: DataFrame, column: str = "statement") -> DataFrame:
+    """One row for each different constraint: ``table``, ``rule`` (primary, unique, reference), ``columns``, and for references ``parent``,
+    ``parent_columns`` and ``on_delete`` (restrict if nothing is said). Constraints that say the same under several names are one.
+    """
+    parts = [F.regexp_extract("line", KEY, i).alias(c) for i, c in ((2, "word"), (4, "listed"), (5, "rest"))]
+    lines = _bodies(dump, column).select("table", *parts).filter("word <> ''")
+    rule = F.when(F.upper("word") == "PRIMARY", "primary").when(F.upper("word") == "UNIQUE", "unique").otherwise("reference")
+    parent = F.nullif(F.regexp_extract("rest", PARENT, 1), F.lit(""))
+    action = F.lower(F.regexp_extract("rest", r"(?i)ON\s+DELETE\s+(CASCADE|SET\s+NULL|RESTRICT|NO\s+ACTION)", 1))
+    on_delete = F.when(parent.isNotNull(), F.when(action.isin("", "no action"), "restrict").otherwise(F.regexp_replace(action, r"\s+", " ")))
+    return lines.select("table", rule.alias("rule"), _names(F.col("listed")).alias("columns"), parent.alias("parent"), F.when(parent.isNotNull(), _names(F.regexp_extract("rest", PARENT, 2))).alias("parent_columns"), on_delete.alias("on_delete")).distinct()
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """``tables`` by name, typed; ``definitions`` and ``constraints`` as tables."""
+
+    tables: dict[str, DataFrame]
+    definitions: DataFrame
+    constraints: DataFrame
+
+
+def _typed(value: Column, kind: str) -> Column:
+    if kind == "string":
+        return value
+    if kind == "binary":
+        return F.when(value.rlike("(?i)^0x[0-9a-f]*$"), F.unhex(F.substring(value, F.lit(3), F.length(value)))).otherwise(value.cast("binary"))
+    return value.try_cast(kind)
+
+
+def _rows(found: DataFrame, own: Sequence[T.Row]) -> list[Column]:
+    """The columns of a table from ``values``, by the statement's list of names or by place."""
+    out = []
+    right = F.size("values") == F.coalesce(F.size("columns"), F.lit(len(own)))
+    for d in own:
+        at = F.when(F.col("columns").isNull(), F.lit(d["place"])).otherwise(F.array_position("columns", d["column"]).cast("int"))
+        value = F.when(at > 0, F.get("values", at - 1)).otherwise(F.lit(d["default"]))
+        whole = F.when(right, value).otherwise(F.raise_error(F.concat(F.lit(f"a row of {d['table']} has another number of values than columns: "), F.col("fields"))).cast("string"))
+        out.append(_typed(whole, d["kind"]).alias(d["column"]))
+    return out
+
+
+def load(dump: DataFrame, column: str = "statement") -> Loaded:
+    """All tables that the dump defines, with the rows that it inserts.
+
+    Values that their type cannot hold, such as the date of zeros, are null; ``rejected`` lists them. A row with another number of
+    values than its columns is an error. A table without rows is empty. Columns that a statement does not list have their default.
+    """
+    known = definitions(dump, column)
+    own: dict[str, list[T.Row]] = {}
+    for r in known.orderBy("table", "place").collect():  # as many as the dump has columns
+        own.setdefault(r["table"], []).append(r)
+    rows = inserted(dump.select(column), column)
+    return Loaded({name: rows.filter(F.col("table") == name).select(*_rows(rows, d)) for name, d in own.items()}, known, constraints(dump, column))
+
+
+def rejected(dump: DataFrame, column: str = "statement") -> DataFrame:
+    """``table``, ``column`` and ``value`` of what ``load`` makes null although it is not."""
+    known = definitions(dump, column).select("table", "place", "column", "kind")
+    cells = inserted(dump.select(column), column).select("table", "columns", F.posexplode("values").alias("i", "value")).filter("value IS NOT NULL")
+    named = cells.join(F.broadcast(known), (cells["table"] == known["table"]) & F.when(F.col("columns").isNull(), F.col("i") + 1 == F.col("place")).otherwise(F.get("columns", F.col("i")) == F.col("column")))
+    bad = F.lit(False)
+    for kind in sorted({"int", "bigint", "float", "double", "date", "timestamp_ntz", "timestamp"}):
+        bad = bad | ((F.col("kind") == kind) & F.col("value").try_cast(kind).isNull())
+    bad = bad | (F.col("kind").startswith("decimal") & F.col("value").try_cast("decimal(38,18)").isNull())
+    return named.filter(bad).select(cells["table"], "column", "value")
+
+
+def _quoted(value: Column) -> Column:
+    out = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    for sign, name in (("\n", "\\n"), ("\r", "\\r"), ("\x00", "\\0"), ("\x1a", "\\Z")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return F.concat(F.lit("'"), out, F.lit("'"))
+
+
+def _written(field: T.StructField) -> Column:
+    value = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.BinaryType):
+        text = F.concat(F.lit("0x"), F.hex(value))
+    elif isinstance(field.dataType, T.NumericType):
+        text = value.cast("string")
+    else:
+        text = _quoted(value.cast("string"))
+    return F.coalesce(text, F.lit("NULL"))
+
+
+#: Types of a dump by kind; others are texts.
+TYPES = {"int": "int", "bigint": "bigint", "float": "float", "double": "double", "date": "date", "timestamp_ntz": "datetime", "timestamp": "timestamp", "binary": "longblob"}
+
+
+def created(name: str, schema: T.StructType, keys: Sequence[str] = ()) -> str:
+    """``CREATE TABLE`` for a schema, with further lines (``PRIMARY KEY ...``)."""
+    lines = []
+    for f in schema:
+        kind = f.dataType.simpleString()
+        lines.append(f"  `{f.name}` {kind if kind.startswith('decimal') else TYPES.get(kind, 'longtext')}{'' if f.nullable else ' NOT NULL'}")
+    return f"CREATE TABLE `{name}` (\n" + ",\n".join([*lines, *(f"  {k}" for k in keys)]) + "\n) ENGINE=InnoDB DEFAULT CHARSET=utf8mb4"
+
+
+def write(tables: Mapping[str, DataFrame], path: str, keys: Mapping[str, Sequence[str]] | None = None, rows_each: int = 500) -> None:
+    """The tables as a dump: a folder of text files, with ``rows_each`` rows a statement at most. An existing folder is an error."""
+    parts = []
+    for name, table in tables.items():
+        spark = table.sparkSession
+        row = F.concat(F.lit("("), F.concat_ws(",", *[_written(f) for f in table.schema]), F.lit(")"))
+        numbered = table.select(row.alias("row"), F.floor(F.monotonically_increasing_id() / rows_each).alias("n"))
+        filled = numbered.groupBy("n").agg(F.concat_ws(",", F.collect_list("row")).alias("rows"))
+        parts += [spark.createDataFrame([(created(name, table.schema, (keys or {}).get(name, ())),)], "value string"), filled.select(F.concat(F.lit(f"INSERT INTO `{name}` VALUES "), "rows").alias("value"))]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    whole.write.text(path, lineSep=END)

@@ -41,7 +41,6 @@ def test_sinks_can_be_read_again(spark, tmp_path):
 def test_tables_pending_applied_verified(spark):
     tables = {"a": spark.createDataFrame([(1, "x")], "id int, old string"), "legacy": spark.createDataFrame([], "id int")}
     targets = {"a": Target({"id": "bigint", "new": "string"}, dropped=("old",)), "book": Target({"id": "bigint", "title": "string"})}
-    assert [(r["table"], r["place"], r["column"], r["kind"]) for r in metadata.columns(tables).collect()] == [("a", 1, "id", "int"), ("a", 2, "old", "string"), ("legacy", 1, "id", "int")]
     left = metadata.pending_tables(tables, targets, ("legacy",))
     assert left["book"] == [Change("create", "book")] and left["legacy"] == [Change("remove", "legacy")] and len(left["a"]) == 3
     with pytest.raises(ValueError, match="pending"):
