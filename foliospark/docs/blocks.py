@@ -9,26 +9,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.docs.marks import xml_escape
+from foliospark.docs.tree import levels
 
 
 def nested_sections(blocks: DataFrame) -> DataFrame:
     """One row per document with ``jats``: headers open sections and close all open ones of their level or deeper.
 
-    A document's headers are folded in order with the stack of open levels as state; the parts are joined at the end.
+    A section of level k is open after a block if the last header of level k or higher up has level k. So a header's closing tags
+    are counted by windows over the document's order, one for each level, and the parts are joined once.
     """
-    ordered = blocks.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "level", xml_escape(F.col("text")).alias("text")))).alias("blocks"))
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.array().cast("array<int>").alias("open"))
-
-    def step(state, block):
-        still = F.filter(state["open"], lambda level: level < block["level"])
-        closing = F.repeat(F.lit("</sec>"), F.size(state["open"]) - F.size(still))
-        head = F.concat(closing, F.lit('<sec sec-type="level'), block["level"].cast("string"), F.lit('"><title>'), block["text"], F.lit("</title>"))
-        header = block["kind"] == "Header"
-        part = F.when(header, head).otherwise(F.concat(F.lit("<p>"), block["text"], F.lit("</p>")))
-        return F.struct(F.concat(state["parts"], F.array(part)).alias("parts"), F.when(header, F.concat(still, F.array(block["level"]))).otherwise(state["open"]).alias("open"))
-
-    end = lambda s: F.concat(F.array_join(s["parts"], ""), F.repeat(F.lit("</sec>"), F.size(s["open"])))
-    return ordered.select("document", F.aggregate("blocks", start, step, end).alias("jats"))
+    header, order = F.col("kind") == "Header", Window.partitionBy("document").orderBy("pos")
+    every = levels(blocks.filter(header), "level")
+    open_after = {k: F.coalesce(F.last(F.when(header & (F.col("level") <= k), F.col("level")), ignorenulls=True).over(order) == k, F.lit(False)).cast("int") for k in every}
+    rows = blocks.withColumns({f"__open{k}": c for k, c in open_after.items()})
+    before = {k: F.coalesce(F.lag(f"__open{k}").over(order), F.lit(0)) for k in every}
+    total = lambda counts: F.aggregate(F.array(F.lit(0), *counts), F.lit(0), lambda a, x: a + x)
+    closed = total([F.when(F.col("level") <= k, before[k]).otherwise(0) for k in every])
+    rows = rows.withColumn("__closed", closed).withColumn("__left", total([F.col(f"__open{k}") for k in every]))
+    text, tag = xml_escape(F.col("text")), F.lit("</sec>")
+    head = F.concat(F.repeat(tag, F.col("__closed")), F.lit('<sec sec-type="level'), F.col("level").cast("string"), F.lit('"><title>'), text, F.lit("</title>"))
+    part = F.when(header, head).otherwise(F.concat(F.lit("<p>"), text, F.lit("</p>")))
+    whole = rows.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))).alias("parts"), F.max_by("__left", "pos").alias("left"))
+    return whole.select("document", F.concat(F.concat_ws("", "parts.part"), F.repeat(tag, F.col("left"))).alias("jats"))
 
 
 #: How a flat article begins, and the formats whose raw blocks are its own.

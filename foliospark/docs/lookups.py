@@ -1,36 +1,11 @@
-"""Lookups around documents: templates for shortcodes, profiles, help texts, vocabularies, name indexes, reference order."""
+"""Lookups around documents: profiles, help texts, vocabularies, name indexes, reference order, metadata of a PDF."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.docs.marks import filled
-
-FENCE = r"(?s)^:::\s*([A-Za-z][\w-]*)([^\n]*)\n(.*?)\n:::\s*$"
-ATTRIBUTE = r'([A-Za-z][\w-]*)="([^"]*)"'
-
-
-def _attributes(text: Column) -> Column:
-    """``a="x" b="y"`` as a map; the last of equal names counts."""
-    names, values = (F.regexp_extract_all(text, F.lit(ATTRIBUTE), F.lit(i)) for i in (1, 2))
-    pairs = F.arrays_zip(names.alias("key"), values.alias("value"))
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["key"]))
-    return F.map_from_entries(last)
-
-
-def expanded(blocks: DataFrame, templates: DataFrame) -> DataFrame:
-    """``blocks`` with fenced shortcodes (``::: name key="value"``, lines, ``:::``) in ``text`` put into their template.
-
-    ``templates`` (name, template; a row a name): ``{{contenido}}`` and ``{{key}}`` are filled, other holes stay. Text that is no
-    fence, names without a template, and null templates leave the text as it is.
-    """
-    known = templates.select(F.col("name").alias("__name"), F.col("template").alias("__template"))
-    name = F.regexp_extract("text", FENCE, 1)
-    values = F.map_concat(F.map_filter(_attributes(F.regexp_extract("text", FENCE, 2)), lambda k, _: k != "contenido"), F.create_map(F.lit("contenido"), F.regexp_extract("text", FENCE, 3)))
-    joined = blocks.join(known, (name == F.col("__name")) & F.col("__template").isNotNull(), "left")
-    return joined.withColumn("text", F.when(F.col("__template").isNull(), F.col("text")).otherwise(filled(F.col("__template"), values))).select(blocks.columns)
-
+from foliospark.docs.marks import tex_escape
 
 def profile_listing(profiles: DataFrame, links: DataFrame, shortcodes: DataFrame) -> DataFrame:
     """Active shortcodes of active profiles: profile, place, shortcode. ``links``: id_perfil, id_shortcode, orden_en_perfil."""
@@ -56,13 +31,29 @@ def name_index(references: DataFrame, columns: list[str], place: str) -> DataFra
     return every.groupBy("name").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("place").alias("places"))
 
 
-def numbered_references(references: DataFrame, document: str, keys: list[str]) -> DataFrame:
-    """``references`` with ``number``, the place in its document's list ordered by ``keys`` (nulls first)."""
-    order = Window.partitionBy(document).orderBy(*[F.col(k).asc_nulls_first() for k in keys])
+def numbered_references(references: DataFrame, document: str, keys: list[str], numbers: tuple[str, ...] = ("volume",)) -> DataFrame:
+    """``references`` with ``number``, the place in its document's list ordered by ``keys`` (nulls first). Keys in ``numbers`` go by the number at
+    their beginning, padded, so 9 comes before 10, and by the text where that is equal; texts without one come first.
+    """
+    leading = {k: F.regexp_extract(k, r"^\s*0*(\d+)", 1) for k in numbers}
+    by = [c for k in keys for c in ((F.length(leading[k]).asc_nulls_first(), leading[k].asc_nulls_first(), F.col(k).asc_nulls_first()) if k in leading else (F.col(k).asc_nulls_first(),))]
+    order = Window.partitionBy(document).orderBy(*by)
     return references.withColumn("number", F.row_number().over(order).cast("long"))
 
 
-def pdf_metadata(rows: DataFrame, language: str = "es") -> DataFrame:
-    """``rows`` (title, author, lang) with the null ones empty, or in the default language."""
-    empty = {c: F.coalesce(F.col(c), F.lit("")) for c in ("title", "author")}
-    return rows.withColumns({**empty, "lang": F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit(language))})
+#: Keys of the document information, and those that are there only with a value.
+INFORMATION = (("title", "pdftitle"), ("authors", "pdfauthor"), ("subject", "pdfsubject"), ("keywords", "pdfkeywords"))
+IDENTIFIERS = (("doi", "DOI"), ("isbn", "ISBN"), ("isbn13", "ISBN13"))
+
+
+def pdf_metadata(rows: DataFrame, key: str, language: str = "es") -> DataFrame:
+    """``key`` and ``setup``, the lines that set a PDF's information, from title, authors, subject, keywords, language, doi, isbn and isbn13.
+
+    Null texts are empty and a null language is ``language``; an empty one stays empty. A null identifier has no line, an empty one has
+    one. All but the language are escaped for TeX.
+    """
+    lines = [F.lit("\\hypersetup{")]
+    lines += [F.concat(F.lit(f"  {name}={{"), tex_escape(F.col(c)), F.lit("},")) for c, name in INFORMATION]
+    lines += [F.concat(F.lit("  pdflang={"), F.coalesce(F.col("language"), F.lit(language)), F.lit("},")), F.lit("  pdfinfo={")]
+    lines += [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"    {name}={{"), tex_escape(F.col(c)), F.lit("},"))) for c, name in IDENTIFIERS]
+    return rows.select(key, F.array_join(F.filter(F.array(*lines, F.lit("  },"), F.lit("}")), lambda x: x.isNotNull()), "\n").alias("setup"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.docs import blocks, lookups, marks
+from foliospark.docs import blocks, fences, lookups, marks, tree
 from foliospark.quality import books, catalogue, constraints, evolution
 from foliospark.sources import dump, jsonside
 from foliospark.sources.bridge import VIEWS as EDITORIAL
@@ -24,8 +24,19 @@ VIEWS = {
     "marked": """SELECT p_partkey, '@rdm{{' || p_name || '} and @q{{a @q{{' || p_brand || '} b} at 5 % of a_b' AS text,
   CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'Figura ' || CAST(p_size AS STRING) || ':  ' || p_name END AS caption,
   CASE p_partkey % 4 WHEN 0 THEN 'fm-' WHEN 1 THEN 'a-' WHEN 2 THEN 'bm-' ELSE 'x' END || CAST(p_size AS STRING) || '-part.md' AS file_name FROM {part}""".replace("{{", "{ob}"),
-    "fenced": """SELECT p_partkey AS document, CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE
-  '::: ' || CASE p_partkey % 3 WHEN 0 THEN 'box' WHEN 1 THEN 'figure' ELSE 'other' END || ' id="i' || CAST(p_partkey AS STRING) || '" caption="' || p_brand || '"' || chr(10) || p_name || chr(10) || ':::' END AS text FROM {part}""",
+    "fenced": """SELECT p_partkey AS document, CASE WHEN p_partkey % 2 = 0 THEN 'body' ELSE 'back' END AS place, replace(CASE p_partkey % 9 WHEN 0 THEN p_name
+  WHEN 1 THEN '::: box id="i' || CAST(p_partkey AS STRING) || '"~' || p_name || '~:::'
+  WHEN 2 THEN '::: {ob}.fig #f' || CAST(p_partkey AS STRING) || ' caption="' || p_brand || '"}~::: box~' || p_name || '~:::~after~:::'
+  WHEN 3 THEN 'a~::: box id=x~' || p_name || '~:::~b~:::: {ob}.box #q}~' || p_brand || '~::::~c'
+  WHEN 4 THEN '::: figure~' || p_name || '~:::' WHEN 5 THEN '::: figure caption="c" id="d"~::: box~' || p_name || '~:::'
+  WHEN 6 THEN '::: other~' || p_name || '~:::~tail' WHEN 7 THEN p_name || '~:::' ELSE '::: back~' || p_name || '~:::' END, '~', chr(10)) AS text FROM {part}""",
+    "headed": """SELECT l_orderkey AS document, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS pos, CAST(1 + l_partkey % 3 AS INT) AS level,
+  CASE WHEN l_partkey % 5 < 3 THEN 'Header' WHEN l_partkey % 10 = 3 THEN 'Div' ELSE 'Para' END AS kind, CASE WHEN l_partkey % 10 = 3 THEN 'refs' WHEN l_partkey % 15 = 2 THEN 'bibliography' END AS id,
+  CASE WHEN l_suppkey % 4 = 1 THEN 'unnumbered' ELSE 'plain' END AS class, 'see @k' || CAST(l_partkey % 50 AS STRING) || ' and @k' || CAST(l_suppkey AS STRING) AS text FROM {lineitem}""",
+    "figured": """SELECT document, pos, CAST(CASE pos WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 6 THEN 1 ELSE 0 END AS INT) AS depth,
+  CASE pos WHEN 1 THEN 'Div' WHEN 2 THEN 'Figure' WHEN 3 THEN 'Caption' WHEN 4 THEN 'Plain' WHEN 5 THEN 'Figure' WHEN 6 THEN 'Figure' ELSE 'Para' END AS kind,
+  CASE WHEN pos < 4 THEN '' WHEN part % 4 = 0 THEN 'Drawing ' || CAST(part AS STRING) ELSE 'Figura ' || CAST(part AS STRING) || ':  drawing' END AS text
+FROM (SELECT l_orderkey AS document, l_partkey AS part, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS pos FROM {lineitem}) x""",
     "statements": """SELECT p_partkey, 'INSERT INTO `roles` VALUES (' || CAST(p_partkey AS STRING) || ', ' || chr(39) || 'it' || chr(39) || chr(39) || 's ' || p_name || chr(39) || ', NULL), (-1.5, ' || chr(39) || 'a;b(c)' || chr(39) || ', ' || chr(39) || chr(39) || ');' AS statement FROM {part}""",
     "configured": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '{ob}"metadata":{ob}"title":"' || p_name || '","license":{ob}"name":"CC"}}}' WHEN 1 THEN '{ob}"title":"' || p_name || '","license":"BY"}'
   WHEN 2 THEN '{ob}"metadata":{ob}"title":""}}' ELSE 'no json' END AS json FROM {part}""",
@@ -36,7 +47,9 @@ VIEWS = {
   CASE p_partkey % 6 WHEN 0 THEN 'es' WHEN 1 THEN 'pt' WHEN 2 THEN 'en' WHEN 3 THEN 'it' WHEN 4 THEN 'fr' ELSE 'de' END AS idioma FROM {part} WHERE p_partkey % 11 > 2""",
     "entries": "SELECT p_type AS tipo, p_partkey AS codigo, p_name AS nombre, CASE WHEN p_partkey % 8 = 0 THEN 0 ELSE 1 END AS activo FROM {part}",
     "roles": "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'autor' WHEN 1 THEN 'traductor' WHEN 2 THEN 'compilador' END AS rol, CAST(c_custkey % 50 AS STRING) AS edad, c_name AS nota FROM {customer}",
-    "metadata": "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS title, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS author, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'pt' END AS lang FROM {customer}",
+    "metadata": """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name || ' & 5 %' END AS title, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS authors, CASE WHEN c_custkey % 5 = 0 THEN 'a_b' END AS subject,
+  CAST(NULL AS STRING) AS keywords, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'pt' END AS language, CASE c_custkey % 4 WHEN 0 THEN '10.1/a_' || CAST(c_custkey AS STRING) WHEN 1 THEN '' END AS doi,
+  CASE WHEN c_custkey % 6 = 0 THEN '978' END AS isbn, CASE WHEN c_custkey % 7 = 0 THEN '979' END AS isbn13 FROM {customer}""",
     "colecciones": "SELECT CAST(r_regionkey AS BIGINT) AS id_coleccion, CASE WHEN r_regionkey % 2 = 0 THEN '1234-5678' END AS issn FROM {region}",
     "series": "SELECT CAST(n_nationkey AS BIGINT) AS id_serie, CAST(n_regionkey + CASE WHEN n_nationkey % 6 = 0 THEN 100 ELSE 0 END AS BIGINT) AS id_coleccion, n_name AS issn FROM {nation}",
     "libros_md": """SELECT CAST(p_partkey AS BIGINT) AS id_libro, CAST(p_partkey % 150 AS BIGINT) AS id_proyecto, CASE WHEN p_partkey % 7 > 0 THEN CAST(p_partkey % 6 AS BIGINT) END AS id_coleccion,
@@ -44,7 +57,10 @@ VIEWS = {
     "libro_autor": """SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id_relacion, CAST(CASE WHEN l_partkey % 40 = 0 THEN -1 ELSE l_partkey END AS BIGINT) AS id_libro,
   CASE l_linenumber WHEN 1 THEN 'editor' WHEN 2 THEN 'otro' ELSE 'autor' END AS rol_libro FROM {lineitem}""",
 }
-TEMPLATES = (("box", '<boxed-text id="{{id}}"><caption>{{caption}}</caption>{{contenido}}{{more}}</boxed-text>'), ("figure", '<fig id="{{id}}">{{contenido}}</fig>'), ("other", None))
+TEMPLATES = (
+    ("box", '<boxed-text id="{{id}}">{{contenido}}{{more}}</boxed-text>', "::: box", None, "any"), ("figure", '<fig id="{{id}}"><caption>{{caption}}</caption>{{contenido}}</fig>', "::: {.fig #fig-id}", "id,caption", "any"),
+    ("other", None, None, None, "any"), ("back", "<ack>{{contenido}}</ack>", None, "", "back"),
+)
 SOURCES = ("customer", "nation", "lineitem", "part", "region", "supplier")
 
 
@@ -106,6 +122,12 @@ def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.refused_correspondents(links, links.filter("id_autor % 2 = 0").withColumn("es_correspondencia", F.lit(1))).select("id_articulo", "id_autor")
 
 
+def _shortcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = spark.createDataFrame(TEMPLATES, "name string, template string, opening string, required string, context string")
+    found = fences.expanded(_view(spark, sf_dir, "fenced"), templates, context="place")
+    return found.select("document", "text", F.array_join(F.transform("problems", lambda p: F.concat_ws(":", p["line"], p["name"], p["what"])), ",").alias("problems"))
+
+
 BOOKS = ("colecciones", "series", "libros_md", "libro_autor")
 
 
@@ -165,11 +187,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_marks": _marks,
     "doc_captions": _captions,
     "doc_chapter_order": _chapters,
-    "doc_shortcodes": lambda s, d: lookups.expanded(_view(s, d, "fenced"), s.createDataFrame(TEMPLATES, "name string, template string")),
+    "doc_shortcodes": _shortcodes,
+    "doc_tree_bibliographies": lambda s, d: tree.with_bibliographies(_view(s, d, "headed").withColumn("classes", F.array("class")), _view(s, d, "cited"), 2, "Works").select("document", F.array_join("path", ".").alias("path"), "kind", "level", "id", "text"),
+    "doc_tree_captions": lambda s, d: tree.bold_captions(tree.from_depths(_view(s, d, "figured"))).select("document", F.array_join("path", ".").alias("path"), "label", "rest"),
     "doc_profile_shortcodes": lambda s, d: lookups.profile_listing(_view(s, d, "profiles"), _view(s, d, "links"), _view(s, d, "codes")),
     "doc_localized_help": lambda s, d: lookups.localized(_view(s, d, "help"), "en"),
     "doc_vocabulary": lambda s, d: lookups.vocabulary(_view(s, d, "entries"), "ECONOMY"),
-    "doc_pdf_metadata": lambda s, d: lookups.pdf_metadata(_view(s, d, "metadata")),
+    "doc_pdf_metadata": lambda s, d: lookups.pdf_metadata(_view(s, d, "metadata"), "id"),
     "doc_name_index": lambda s, d: lookups.name_index(_references(s, d), ["author", "editor", "translator", "commentator"], "id_articulo"),
     "doc_reference_order": lambda s, d: lookups.numbered_references(_references(s, d), "id_articulo", ["author", "year", "volume", "title", "id"]).select("id", "id_articulo", "number"),
     "check_repeated_keys": lambda s, d: constraints.repeated_keys(_reviews(s, d), "id_articulo", "id_autor"),
@@ -254,22 +278,47 @@ SELECT p_partkey, regexp_extract(caption, '^(Figura\s+\d+:)', 1) AS label, regex
     "doc_chapter_order": rf"""{_with("marked")}
 SELECT p_partkey, CASE WHEN file_name LIKE 'fm-%' THEN 1 WHEN file_name LIKE 'a-%' THEN 2 WHEN file_name LIKE 'bm-%' THEN 3 ELSE 9 END AS part_rank,
   CASE WHEN file_name LIKE 'x%' THEN NULL ELSE CAST(split_part(file_name, '-', 2) AS INTEGER) END AS number FROM marked""",
-    "doc_shortcodes": """SELECT p_partkey AS document, CASE WHEN p_partkey % 5 = 0 THEN p_name
-  WHEN p_partkey % 3 = 0 THEN '<boxed-text id="i' || p_partkey || '"><caption>' || p_brand || '</caption>' || p_name || '{{more}}</boxed-text>'
-  WHEN p_partkey % 3 = 1 THEN '<fig id="i' || p_partkey || '">' || p_name || '</fig>'
-  ELSE '::: other id="i' || p_partkey || '" caption="' || p_brand || '"' || chr(10) || p_name || chr(10) || ':::' END AS text FROM part""",
+    "doc_shortcodes": """SELECT p_partkey AS document, replace(CASE p_partkey % 9 WHEN 0 THEN p_name WHEN 1 THEN '<boxed-text id="i' || p_partkey || '">' || p_name || '{{more}}</boxed-text>'
+  WHEN 2 THEN '<fig id="f' || p_partkey || '"><caption>' || p_brand || '</caption><boxed-text id="{{id}}">' || p_name || '{{more}}</boxed-text>~after</fig>'
+  WHEN 3 THEN 'a~<boxed-text id="x">' || p_name || '{{more}}</boxed-text>~b~<boxed-text id="q">' || p_brand || '{{more}}</boxed-text>~c'
+  WHEN 4 THEN '::: figure~' || p_name || '~:::' WHEN 5 THEN '::: figure caption="c" id="d"~<boxed-text id="{{id}}">' || p_name || '{{more}}</boxed-text>'
+  WHEN 6 THEN '::: other~' || p_name || '~:::~tail' WHEN 7 THEN p_name || '~:::'
+  ELSE CASE WHEN p_partkey % 2 = 1 THEN '<ack>' || p_name || '</ack>' ELSE '::: back~' || p_name || '~:::' END END, '~', chr(10)) AS text,
+  CASE p_partkey % 9 WHEN 4 THEN '0:figure:missing' WHEN 5 THEN '0:figure:unclosed' WHEN 6 THEN '0:other:unknown' WHEN 8 THEN CASE WHEN p_partkey % 2 = 1 THEN '' ELSE '0:back:context' END ELSE '' END AS problems FROM part""",
+    "doc_tree_bibliographies": rf"""{_with("headed", "cited")}, kept AS (SELECT * FROM headed WHERE NOT (kind = 'Header' AND coalesce(id, '') = 'bibliography') AND NOT (kind = 'Div' AND coalesce(id, '') = 'refs')),
+heads AS (SELECT document, pos, level, class <> 'unnumbered' AS numbered FROM kept WHERE kind = 'Header'),
+counted AS (SELECT *, sum(CASE WHEN numbered AND level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY document ORDER BY pos) AS c1 FROM heads),
+tops AS (SELECT document, pos, level, CASE WHEN NOT numbered THEN 'x' || pos WHEN level = 1 THEN c1::VARCHAR ELSE c1 || '.' || c2 END AS name
+  FROM (SELECT *, sum(CASE WHEN numbered AND level = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY document, c1 ORDER BY pos) AS c2 FROM counted) WHERE level <= 2),
+ended AS (SELECT t.document, t.pos, t.level, t.name, coalesce(min(b.pos), 1000000) AS stop FROM tops t LEFT JOIN heads b ON b.document = t.document AND b.pos > t.pos AND (t.level = 1 OR b.level <= 2) GROUP BY 1, 2, 3, 4),
+inside AS (SELECT e.document, e.pos AS head, e.level, e.name, k.pos, k.text FROM ended e JOIN kept k ON k.document = e.document AND k.pos >= e.pos AND k.pos < e.stop),
+keys AS (SELECT DISTINCT document, head, level, name, unnest(regexp_extract_all(text, '@([A-Za-z][\w:-]*)', 1)) AS key FROM inside),
+lists AS (SELECT document, head, level, name, entry, row_number() OVER (PARTITION BY document, head ORDER BY key, entry) AS n FROM keys JOIN cited USING (key)),
+lasts AS (SELECT document, head, max(pos) AS pos FROM inside GROUP BY 1, 2),
+rows AS (SELECT document, pos, 0 AS sub, 0 AS n, kind, level, id, text FROM kept
+  UNION ALL SELECT DISTINCT document, pos, 1, 0, 'Header', level + 1, 'bibliography-' || name, 'Works' FROM lists JOIN lasts USING (document, head)
+  UNION ALL SELECT DISTINCT document, pos, 2, 0, 'Div', 0, 'refs-' || name, '' FROM lists JOIN lasts USING (document, head)
+  UNION ALL SELECT document, pos, 2, n, 'Para', 0, NULL, entry FROM lists JOIN lasts USING (document, head))
+SELECT document, dense_rank() OVER (PARTITION BY document ORDER BY pos, sub) || CASE WHEN n > 0 THEN '.' || n ELSE '' END AS path, kind, level::INTEGER AS level, id, text FROM rows""",
+    "doc_tree_captions": f"""{_with("figured")}
+SELECT a.document, CASE a.pos WHEN 1 THEN '1' WHEN 2 THEN '1.1' WHEN 3 THEN '1.1.1' WHEN 4 THEN '1.1.1.1' WHEN 5 THEN '2' WHEN 6 THEN '2.1' ELSE CAST(a.pos - 4 AS VARCHAR) END AS path,
+  CASE WHEN a.pos = 2 AND b.text LIKE 'Figura%' THEN split_part(b.text, '  ', 1) WHEN a.pos = 5 AND a.text LIKE 'Figura%' THEN split_part(a.text, '  ', 1) END AS label,
+  CASE WHEN a.pos = 2 AND b.text LIKE 'Figura%' THEN 'drawing' WHEN a.pos = 5 AND a.text LIKE 'Figura%' THEN 'drawing' END AS rest
+FROM figured a LEFT JOIN figured b ON a.document = b.document AND b.pos = 4""",
     "doc_profile_shortcodes": f"""{_with("profiles", "links", "codes")}
 SELECT p.nombre AS profile, orden_en_perfil AS place, c.nombre AS shortcode FROM links JOIN profiles p USING (id_perfil) JOIN codes c USING (id_shortcode) WHERE p.activo = 1 AND c.activo = 1""",
     "doc_localized_help": f"""{_with("help")}
 SELECT componente, coalesce(e.idioma, s.idioma) AS idioma, CASE WHEN e.idioma IS NULL THEN s.ayuda ELSE e.ayuda END AS ayuda
 FROM (SELECT * FROM help WHERE idioma = 'en') e FULL JOIN (SELECT * FROM help WHERE idioma = 'es') s USING (componente)""",
     "doc_vocabulary": f"{_with('entries')} SELECT codigo, nombre FROM entries WHERE tipo = 'ECONOMY' AND activo = 1",
-    "doc_pdf_metadata": f"{_with('metadata')} SELECT id, coalesce(title, '') AS title, coalesce(author, '') AS author, CASE WHEN lang = 'pt' THEN 'pt' ELSE 'es' END AS lang FROM metadata",
+    "doc_pdf_metadata": rf"""{_with('metadata')} SELECT id, replace('\hypersetup{{~  pdftitle={{' || CASE WHEN title IS NULL THEN '' ELSE replace(title, ' & 5 %', ' \& 5 \%') END || '}},~  pdfauthor={{' || coalesce(authors, '') || '}},~  pdfsubject={{'
+  || CASE WHEN subject IS NULL THEN '' ELSE 'a\_b' END || '}},~  pdfkeywords={{}},~  pdflang={{' || coalesce(language, 'es') || '}},~  pdfinfo={{~' || CASE WHEN doi IS NULL THEN '' ELSE '    DOI={{' || replace(replace(doi, '_', '\_'), '#', '\#') || '}},~' END
+  || CASE WHEN isbn IS NULL THEN '' ELSE '    ISBN={{978}},~' END || CASE WHEN isbn13 IS NULL THEN '' ELSE '    ISBN13={{979}},~' END || '  }},~}}', '~', chr(10)) AS setup FROM (SELECT * REPLACE (replace(title, '#', '\#') AS title) FROM metadata)""",
     "doc_name_index": f"""{sql_views(["bibtex"])}, every AS (SELECT author AS name, id_articulo FROM bibtex UNION ALL SELECT editor, id_articulo FROM bibtex
   UNION ALL SELECT translator, id_articulo FROM bibtex UNION ALL SELECT commentator, id_articulo FROM bibtex)
 SELECT name, count(*) AS mentions, count(DISTINCT id_articulo) AS places FROM every WHERE name <> '' GROUP BY name""",
     "doc_reference_order": f"""{sql_views(["bibtex"])}
-SELECT id, id_articulo, row_number() OVER (PARTITION BY id_articulo ORDER BY author NULLS FIRST, year NULLS FIRST, volume NULLS FIRST, title NULLS FIRST, id) AS number FROM bibtex""",
+SELECT id, id_articulo, row_number() OVER (PARTITION BY id_articulo ORDER BY author NULLS FIRST, year NULLS FIRST, CAST(volume AS INTEGER) NULLS FIRST, title NULLS FIRST, id) AS number FROM bibtex""",
     "check_repeated_keys": f"{sql_views(['articulo_revisor'])} SELECT id_articulo, id_autor, count(*) AS n FROM articulo_revisor GROUP BY 1, 2 HAVING count(*) > 1",
     "check_orphans": f"{sql_views(['bibtex', 'articulos'])} SELECT id FROM bibtex b WHERE NOT EXISTS (SELECT 1 FROM articulos a WHERE a.id_articulo = b.id_articulo AND estado_articulo = 'publicado')",
     "check_cascade": f"{sql_views(['articulo_autor', 'articulos'])} SELECT id_articulo, id_autor FROM articulo_autor WHERE id_articulo IN (SELECT id_articulo FROM articulos WHERE estado_articulo = 'retractado')",

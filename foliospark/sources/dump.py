@@ -27,7 +27,7 @@ ROW = rf"(?s)\(\s*+(?:{VALUE})(?:\s*+,\s*+(?:{VALUE}))*+\s*+\)"
 NAME = r"[`\"]([^`\"]++)[`\"]"
 CREATE = rf"(?is)^\s*+CREATE\s++TABLE\s++(?:IF\s++NOT\s++EXISTS\s++)?{NAME}\s*+\((.*)\)[^)]*?$"
 COLUMN = rf"(?is)^\s*+{NAME}\s++([a-z]++(?:\s*+\((?:{TEXT}|[^')])*+\))?+(?:\s++unsigned)?+)(.*)$"
-KEY = rf"(?is)^\s*+(?:CONSTRAINT\s++{NAME}\s++)?+(PRIMARY|UNIQUE|FOREIGN)\s++(?:KEY|INDEX)?\s*+(?:{NAME})?\s*+\(([^)]*+(?:\(\d++\)[^)]*+)*+)\)(.*)$"
+KEY = rf"(?is)^\s*+(?:CONSTRAINT\s++{NAME}\s++)?+(PRIMARY|UNIQUE|FOREIGN)\s++(?:KEY|INDEX)?\s*+(?:{NAME})?\s*+\(((?:[^()]|\(\d++\))*+)\)(.*)$"
 PARENT = rf"(?is)REFERENCES\s++{NAME}\s*+\(([^)]*+)\)"
 #: Kinds of columns by the first word of their type. Texts, enumerations and JSON are strings.
 KINDS = {

@@ -11,10 +11,8 @@ def test_same_as_sql(spark, duck, name):
     assert plain(frame.collect()) == plain([r[i] for i in order] for r in other.fetchall())
 
 
-def test_shortcodes_on_odd_texts(spark):
-    templates = spark.createDataFrame([("box", "<b>{{contenido}}</b>"), ("none", None)], "name string, template string")
-    texts = ['::: box a="1" a="2"\nx\ny\n:::', "::: none\nx\n:::", "::: box\nopen", "", None, '::: box contenido="no"\nz\n:::']
-    blocks = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "document int, text string")
-    got = [r["text"] for r in lookups.expanded(blocks, templates).orderBy("document").collect()]
-    assert got == ["<b>x\ny</b>", *texts[1:5], "<b>z</b>"]
-    assert lookups.expanded(blocks.limit(0), templates).count() == 0
+def test_volumes_by_their_numbers(spark):
+    volumes = ["10", "9", None, "", "9bis", "010", "x", "2"]
+    rows = spark.createDataFrame([(i, 1, v) for i, v in enumerate(volumes)], "id int, d int, volume string")
+    got = lookups.numbered_references(rows, "d", ["volume", "id"]).orderBy("number").collect()
+    assert [r["volume"] for r in got] == [None, "", "x", "2", "9", "9bis", "010", "10"]
