@@ -76,6 +76,8 @@ class Aligner:
         self.bytes_a = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         named = [(i, self.b.id_to_piece(i)) for i in range(self.b.vocab_size())]
         self.bytes_b = {i: bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in named}
+        self.lengths_a, self.lengths_b = (np.array([len(own.get(i, b"")) for i in range(max(own) + 1)]) for own in (self.bytes_a, self.bytes_b))
+        self.decimals = list(map(str, range(max(len(self.lengths_a), len(self.lengths_b)))))
         self.blank = self.b.piece_to_id(BLANK)
         self.by_word = not any(re.search(f"[^ \\n\\t{BLANK}][ \\n\\t{BLANK}]|{BLANK}[\\n\\t]", p) for _, p in named)
         self.most_links = most_links
@@ -94,25 +96,35 @@ class Aligner:
         b = self.b.encode([w.removeprefix(" ") for w in words], num_threads=1)
         return a, [ids if w[:1] == " " else ids[1:] if ids[:1] == [self.blank] else [] for w, ids in zip(words, b, strict=True)]
 
+    @staticmethod
+    def _come_back(whole: list[bytes], ids: list[list[int]], own: dict[int, bytes], lengths: np.ndarray) -> np.ndarray:
+        """Which stretches are the bytes of their tokens, joined; most often all are, which one comparison shows."""
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, counts.sum())
+        upto = np.concatenate([[0], np.cumsum(lengths[flat])])[np.cumsum(counts)]
+        if np.array_equal(upto, np.cumsum([len(w) for w in whole])) and b"".join(map(own.__getitem__, flat.tolist())) == b"".join(whole):
+            return counts > 0
+        return np.array([bool(x) and b"".join(map(own.__getitem__, x)) == w for w, x in zip(whole, ids, strict=True)], bool)
+
     def _aligned(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """The sizes of each word, the pairs of all, and each word's groups as text."""
         whole = [w.encode("utf-8", "surrogatepass") for w in words]
         ids_a, ids_b = self._ids(words)
-        right = [bool(w) and b"".join(map(self.bytes_a.__getitem__, a)) == w and b"".join(map(self.bytes_b.__getitem__, b)) == w for w, a, b in zip(whole, ids_a, ids_b, strict=True)]
-        ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, right, strict=True)] for ids in (ids_a, ids_b))
+        right = self._come_back(whole, ids_a, self.bytes_a, self.lengths_a) & self._come_back(whole, ids_b, self.bytes_b, self.lengths_b)
+        if not right.all():
+            ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, right, strict=True)] for ids in (ids_a, ids_b))
         n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(words)) for ids in (ids_a, ids_b))
-        flat_a, flat_b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
-        ends_a = np.cumsum(np.fromiter((len(self.bytes_a[i]) for i in flat_a), np.int64, len(flat_a)))
-        ends_b = np.cumsum(np.fromiter((len(self.bytes_b[i]) for i in flat_b), np.int64, len(flat_b)))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        ends_a, ends_b = np.cumsum(self.lengths_a[flat_a]), np.cumsum(self.lengths_b[flat_b])
         of_a, of_b, closing = overlaps(ends_a, ends_b)
-        pairs = (np.array(flat_a, np.int64)[of_a] << LOW) | np.array(flat_b, np.int64)[of_b]
+        pairs = (flat_a[of_a] << LOW) | flat_b[of_b]
         word_of = np.repeat(np.arange(len(words)), n_a)[of_a]
         n_links, n_groups = np.bincount(word_of, minlength=len(words)), np.bincount(word_of[closing], minlength=len(words))
         upto_a, upto_b = (of_a[closing] + 1).tolist(), (of_b[closing] + 1).tolist()
-        text_a, text_b = list(map(str, flat_a)), list(map(str, flat_b))
+        text_a, text_b = ([self.decimals[i] for i in flat.tolist()] for flat in (flat_a, flat_b))
         made = [f"{text_a[i] if j - i == 1 else ','.join(text_a[i:j])}|{text_b[k] if m - k == 1 else ','.join(text_b[k:m])}" for i, j, k, m in zip([0, *upto_a], upto_a, [0, *upto_b], upto_b)]  # noqa: B905
         cuts = [0, *np.cumsum(n_groups).tolist()]
-        return np.stack([n_a, n_b, n_groups, n_links, np.array(right, np.int64)], 1), pairs, [";".join(made[i:j]) for i, j in zip(cuts, cuts[1:])]  # noqa: B905
+        return np.stack([n_a, n_b, n_groups, n_links, right.astype(np.int64)], 1), pairs, [";".join(made[i:j]) for i, j in zip(cuts, cuts[1:])]  # noqa: B905
 
     def _learn(self) -> None:
         sizes, pairs, groups = self._aligned(self.words.new)
