@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.docs import blocks, fences, lookups, marks, tree
+from foliospark.docs import blocks, fences, lookups, marks, names, tree
 from foliospark.quality import books, catalogue, constraints, evolution
-from foliospark.sources import dump, jsonside
+from foliospark.sources import dump, jsonside, lenient
 from foliospark.sources.bridge import VIEWS as EDITORIAL
 from foliospark.sources.bridge import editorial_tables, sql_views
 from foliospark.sources.workspace import new_path
@@ -30,6 +30,12 @@ VIEWS = {
   WHEN 3 THEN 'a~::: box id=x~' || p_name || '~:::~b~:::: {ob}.box #q}~' || p_brand || '~::::~c'
   WHEN 4 THEN '::: figure~' || p_name || '~:::' WHEN 5 THEN '::: figure caption="c" id="d"~::: box~' || p_name || '~:::'
   WHEN 6 THEN '::: other~' || p_name || '~:::~tail' WHEN 7 THEN p_name || '~:::' ELSE '::: back~' || p_name || '~:::' END, '~', chr(10)) AS text FROM {part}""",
+    "named": """SELECT p_partkey AS id, p_size AS place, CASE p_partkey % 6 WHEN 0 THEN 'Ana Maria Perez' || CAST(p_partkey % 10 AS STRING) || ' and {ob}Grupo and Co} AND Ana Maria Perez1' WHEN 1 THEN 'van der Berg' || CAST(p_partkey % 7 AS STRING) || ', Jan'
+  WHEN 2 THEN 'Jean de la Fontaine and others' WHEN 3 THEN 'King, Jr, Martin' WHEN 4 THEN '' END AS author,
+  CASE WHEN p_partkey % 5 = 0 THEN 'berg, Jan' WHEN p_partkey % 5 = 1 THEN 'Jan  van der Berg' || CAST(p_partkey % 7 AS STRING) END AS editor FROM {part}""",
+    "loose": """SELECT p_partkey AS id, replace(CASE p_partkey % 6 WHEN 0 THEN '{ob}"a": .5 /* half */ "b": [1 2, "x"], // end~}' WHEN 1 THEN '{ob}"a": "' || p_brand || '", "b": {ob}"c": null,},} tail'
+  WHEN 2 THEN '{ob}"a" 1}' WHEN 3 THEN '[1, {ob}"a": 2}]' WHEN 4 THEN '' ELSE '{ob}"a": ' || CAST(p_partkey AS STRING) || '}' END, '~', chr(10)) AS text,
+  p_name || CASE p_partkey % 3 WHEN 0 THEN chr(127) || '\u2028' WHEN 1 THEN '"' ELSE '' END AS plain, p_partkey % 30 AS hole FROM {part}""",
     "headed": """SELECT l_orderkey AS document, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS pos, CAST(1 + l_partkey % 3 AS INT) AS level,
   CASE WHEN l_partkey % 5 < 3 THEN 'Header' WHEN l_partkey % 10 = 3 THEN 'Div' ELSE 'Para' END AS kind, CASE WHEN l_partkey % 10 = 3 THEN 'refs' WHEN l_partkey % 15 = 2 THEN 'bibliography' END AS id,
   CASE WHEN l_suppkey % 4 = 1 THEN 'unnumbered' ELSE 'plain' END AS class, 'see @k' || CAST(l_partkey % 50 AS STRING) || ' and @k' || CAST(l_suppkey AS STRING) AS text FROM {lineitem}""",
@@ -128,6 +134,12 @@ def _shortcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("document", "text", F.array_join(F.transform("problems", lambda p: F.concat_ws(":", p["line"], p["name"], p["what"])), ",").alias("problems"))
 
 
+def _lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value, holes = lenient.variant(F.col("text")), F.create_map(F.lit(1).cast("long"), F.lit("1"), F.col("hole") + 2, F.lit('"x"'))
+    rows = _view(spark, sf_dir, "loose").withColumn("v", value)
+    return rows.select("id", F.try_variant_get("v", "$.a", "string").alias("a"), F.to_json(F.try_variant_get("v", "$.b", "variant")).alias("b"), lenient.escaped(F.col("plain")).alias("escaped"), lenient.array_or_object(holes).alias("holes"))
+
+
 BOOKS = ("colecciones", "series", "libros_md", "libro_autor")
 
 
@@ -195,6 +207,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_vocabulary": lambda s, d: lookups.vocabulary(_view(s, d, "entries"), "ECONOMY"),
     "doc_pdf_metadata": lambda s, d: lookups.pdf_metadata(_view(s, d, "metadata"), "id"),
     "doc_name_index": lambda s, d: lookups.name_index(_references(s, d), ["author", "editor", "translator", "commentator"], "id_articulo"),
+    "doc_person_index": lambda s, d: names.person_index(_view(s, d, "named"), ["author", "editor"], "place"),
+    "json_lenient": _lenient,
     "doc_reference_order": lambda s, d: lookups.numbered_references(_references(s, d), "id_articulo", ["author", "year", "volume", "title", "id"]).select("id", "id_articulo", "number"),
     "check_repeated_keys": lambda s, d: constraints.repeated_keys(_reviews(s, d), "id_articulo", "id_autor"),
     "check_orphans": lambda s, d: constraints.orphans(_references(s, d), "id_articulo", _articles(s, d).filter("estado_articulo = 'publicado'"), "id_articulo").select("id"),
@@ -317,6 +331,14 @@ FROM (SELECT * FROM help WHERE idioma = 'en') e FULL JOIN (SELECT * FROM help WH
     "doc_name_index": f"""{sql_views(["bibtex"])}, every AS (SELECT author AS name, id_articulo FROM bibtex UNION ALL SELECT editor, id_articulo FROM bibtex
   UNION ALL SELECT translator, id_articulo FROM bibtex UNION ALL SELECT commentator, id_articulo FROM bibtex)
 SELECT name, count(*) AS mentions, count(DISTINCT id_articulo) AS places FROM every WHERE name <> '' GROUP BY name""",
+    "doc_person_index": f"""{_with("named")},
+every AS (SELECT id, place, family, given, prefix, suffix FROM (SELECT id, place, author AS list, unnest(CASE id % 6 WHEN 0 THEN [{{'family': 'Perez' || id % 10, 'given': 'Ana Maria', 'prefix': NULL, 'suffix': NULL}}, {{'family': 'Grupo and Co', 'given': NULL, 'prefix': NULL, 'suffix': NULL}}, {{'family': 'Perez1', 'given': 'Ana Maria', 'prefix': NULL, 'suffix': NULL}}]
+    WHEN 1 THEN [{{'family': 'Berg' || id % 7, 'given': 'Jan', 'prefix': 'van der', 'suffix': NULL}}] WHEN 2 THEN [{{'family': 'Fontaine', 'given': 'Jean', 'prefix': 'de la', 'suffix': NULL}}] WHEN 3 THEN [{{'family': 'King', 'given': 'Martin', 'prefix': NULL, 'suffix': 'Jr'}}] END, recursive := true) FROM named)
+  UNION ALL SELECT id, place, CASE WHEN id % 5 = 0 THEN 'berg' ELSE 'Berg' || id % 7 END, 'Jan', CASE WHEN id % 5 = 1 THEN 'van der' END, NULL FROM named WHERE id % 5 < 2)
+SELECT family, given, prefix, suffix, count(*) AS mentions, count(DISTINCT place) AS places FROM every GROUP BY 1, 2, 3, 4""",
+    "json_lenient": r"""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN '0.5' WHEN 1 THEN p_brand WHEN 5 THEN p_partkey::VARCHAR END AS a, CASE p_partkey % 6 WHEN 0 THEN '[1,2,"x"]' WHEN 1 THEN '{"c":null}' END AS b,
+  '"' || p_name || CASE p_partkey % 3 WHEN 0 THEN '\u007f\u2028' WHEN 1 THEN '\"' ELSE '' END || '"' AS escaped,
+  CASE WHEN p_partkey % 30 <= 8 THEN '[1,' || repeat('null,', (p_partkey % 30)::INTEGER) || '"x"]' ELSE '{"1":1,"' || (p_partkey % 30 + 2) || '":"x"}' END AS holes FROM part""".replace("\\\\", "\\"),
     "doc_reference_order": f"""{sql_views(["bibtex"])}
 SELECT id, id_articulo, row_number() OVER (PARTITION BY id_articulo ORDER BY author NULLS FIRST, year NULLS FIRST, CAST(volume AS INTEGER) NULLS FIRST, title NULLS FIRST, id) AS number FROM bibtex""",
     "check_repeated_keys": f"{sql_views(['articulo_revisor'])} SELECT id_articulo, id_autor, count(*) AS n FROM articulo_revisor GROUP BY 1, 2 HAVING count(*) > 1",

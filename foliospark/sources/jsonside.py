@@ -15,7 +15,7 @@ def first_value(text: Column, paths: Sequence[str]) -> Column:
 
 def quoted(text: Column) -> Column:
     """The text as a JSON string: quotes, backslashes and control characters escaped. Null stays null."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))
 
 
 def first_values(rows: DataFrame, column: str, paths: Mapping[str, Sequence[str]]) -> DataFrame:
