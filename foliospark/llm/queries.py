@@ -130,15 +130,21 @@ WITH cut AS (
         WHEN '.' || host LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
         WHEN '.' || host LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule
     FROM parts
+), plain AS (
+    SELECT page_id, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':(80|443)?$', ''), '.') AS h,
+        array_to_string(list_transform(regexp_extract_all(lower(path), '%[0-9a-f]{2}|[\s\S]'), lambda p: CASE WHEN len(p) = 3 AND regexp_matches(p, '^%(2[de]|3[0-9]|[46][1-9a-f]|[57][0-9a]|5f|7e)$') THEN lower(chr(('0x' || p[2:3])::INTEGER)) ELSE p END), '') AS p
+    FROM ruled
+), stepped AS (
+    SELECT page_id, '.' || h AS h, regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '/(\./)+', '/', 'g'), '/[^/]+/\.\./', '/', 'g'), '/[^/]+/\.\./', '/', 'g'), '^/(\.\./)+', '/') AS p FROM plain
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches(host, 'spam|casino|poker|jackpot|cheap-pills|viagra|cialis|payday-loan|replica-watch|porn|xxx-video|warez|torrent') THEN 'block'
-    WHEN regexp_matches('.' || host || path, '^[^/]*\.(doubleclick|googlesyndication|adserver|adservice|adnxs|scorecardresearch)\.') THEN 'block'
-    WHEN regexp_matches('.' || host || path, '/wp-login\.php|/wp-admin/|/xmlrpc\.php|/cgi-bin/|/phpmyadmin|/\.git/|/\.env') THEN 'block'
-    WHEN regexp_matches('.' || host || path, '(\.exe|\.msi|\.apk|\.dmg|\.iso|\.zip|\.rar|\.7z|\.tar\.gz|\.mp3|\.mp4|\.avi|\.jpg|\.jpeg|\.png|\.gif|\.css|\.js)$') THEN 'block'
+    WHEN regexp_matches(h, '[.-](spam|casino|poker|jackpot|cheap-pills|viagra|cialis|payday-loan|replica-watch|porn|xxx-video|warez|torrent)[.-]') THEN 'block'
+    WHEN regexp_matches(h || p, '^[^/]*\.(doubleclick|googlesyndication|adserver|adservice|adnxs|scorecardresearch)\.') THEN 'block'
+    WHEN regexp_matches(h || p, '/wp-login\.php|/wp-admin/|/xmlrpc\.php|/cgi-bin/|/phpmyadmin|/\.git/|/\.env') THEN 'block'
+    WHEN regexp_matches(h || p, '/.*(\.exe|\.msi|\.apk|\.dmg|\.iso|\.zip|\.rar|\.7z|\.tar\.gz|\.mp3|\.mp4|\.avi|\.jpg|\.jpeg|\.png|\.gif|\.css|\.js)$') THEN 'block'
     ELSE 'allow' END AS verdict
-FROM ruled
+FROM ruled JOIN stepped USING (page_id)
 """,
     "op6_warc_index": """
 WITH own AS (

@@ -10,11 +10,13 @@ of the URL fits, leave the walk. The few longest URLs go on with their state as
 one Python integer, which takes less time a byte.
 
 A rule's pattern is matched against ``.host/path``: ``*`` fits any bytes but
-``/``, ``**`` any bytes, every other byte itself.
+``/``, ``**`` any bytes, every other byte itself. Domain rules take the URL as it
+stands, globs its canonical form, so that one spelling of a pattern is enough.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,18 +37,18 @@ class Rule:
     verdict: str
     name: str | None = None
     rank: int = 0
+    canonical: bool = True
 
     @staticmethod
     def domain(verdict: str, name: str) -> Rule:
         """``host/path``: the host, all its subdomains, and paths that start with that path. The longest such rule wins."""
         host, slash, path = name.partition("/")
-        return Rule(f"*.{host}{slash}{path}**", verdict, name, 1_000 + len(name))
-
+        return Rule(f"*.{host}{slash}{path}**", verdict, name, 1_000 + len(name), canonical=False)
 
     @staticmethod
     def word(verdict: str, word: str) -> list[Rule]:
-        """The word anywhere in the host."""
-        return [Rule(f"*{word}*", verdict), Rule(f"*{word}*/**", verdict)]
+        """The word between dots or hyphens of the host."""
+        return [Rule(f"*{a}{word}{b}*{end}", verdict) for a in ".-" for b in ".-" for end in ("", "/**")]
 
 
 # What judges URLs that no domain rule fits.
@@ -58,7 +60,7 @@ DEFAULT_RULES = (
     *(rule for w in SPAM_WORDS for rule in Rule.word("block", w)),
     *(Rule(f"*.{t}.**", "block") for t in TRACKERS),
     *(Rule(f"**{p}**", "block") for p in MACHINE_PATHS),
-    *(Rule(f"**{e}", "block") for e in BINARY_ENDINGS),
+    *(Rule(f"**/**{e}", "block") for e in BINARY_ENDINGS),
 )
 #: Words of state that numpy holds at once, and how many URLs of a batch go on as integers.
 MOST_WORDS, FEW = 1 << 18, 8
@@ -78,6 +80,29 @@ def rules_of(table: DataFrame, most: int = 100_000) -> list[Rule]:
     return [Rule.domain(r["verdict"], r["pattern"]) if r["kind"] == "domain" else Rule(r["pattern"], r["verdict"]) for r in sorted(rows)]
 
 
+#: Escapes of letters, digits and ``-._~``, which stand for themselves.
+_PLAIN = re.compile(r"%(?:2[de]|3\d|[46][1-9a-f]|[57][0-9a]|5f|7e)", re.I)
+_PORT = re.compile(r":(?:80|443)?$")
+
+
+def canonical(host: str, path: str) -> str:
+    """``.host/path`` as globs see it: without user, default port and dots at the host's end, in small letters, escapes of plain characters
+    decoded (once), and ``.`` and ``..`` steps of the path taken.
+    """
+    host = _PORT.sub("", host.rpartition("@")[2]).rstrip(".")
+    path = _PLAIN.sub(lambda m: chr(int(m[0][1:], 16)), path).lower()
+    if "/." in path:
+        steps: list[str] = []
+        own = path.split("/")[1:]
+        for step in own:
+            if step == "..":
+                del steps[-1:]
+            elif step != ".":
+                steps.append(step)
+        path = "".join("/" + s for s in steps) + ("/" if own[-1] in (".", "..") else "")
+    return f".{host.lower()}{path}"
+
+
 class Automaton:
     """The rules' states, packed into 64-bit words. Bit i is the state after the i-th pattern byte."""
 
@@ -173,7 +198,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def judge(df: DataFrame, url: str, rules: list[Rule]) -> DataFrame:
     """``df`` with ``host``, ``path``, ``rule`` and ``verdict`` (allow or block).
 
-    The matching rule of the highest rank decides (equal ranks: the earlier one); ``rule`` is its name.
+    The matching rule of the highest rank decides (equal ranks: the earlier one); ``rule`` is its name. Globs see the
+    ``canonical`` URL, domain rules ``host`` and ``path`` as they are returned.
     No match: allow. A null URL, or one without ``://``, has empty host and path; only
     patterns for the empty host could block it. Columns of ``df`` with those names are replaced.
     Repeated rows give a row each, an empty table none. URLs are judged whole, however long; memory is
@@ -186,11 +212,13 @@ def judge(df: DataFrame, url: str, rules: list[Rule]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_rank = sorted(rules, key=lambda r: -r.rank)
-        machine = Automaton(by_rank)
+        order = [[i for i, r in enumerate(by_rank) if r.canonical == c] for c in (False, True)]
+        raw, globs = (Automaton([by_rank[i] for i in own]) for own in order)
+        number = [np.array([*own, len(by_rank)]) for own in order]  # no match: behind all rules
         for batch in batches:
-            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            found = machine.match([f".{h}{p}".encode() for h, p in zip(hosts, paths, strict=True)])
-            own = [by_rank[i] if i >= 0 else None for i in found]
+            pairs = list(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True))
+            found = np.minimum(number[0][raw.match([f".{h}{p}".encode() for h, p in pairs])], number[1][globs.match([canonical(h, p).encode() for h, p in pairs])])
+            own = [by_rank[i] if i < len(by_rank) else None for i in found.tolist()]
             named = pa.array([r and r.name for r in own], pa.string())
             verdicts = pa.array([r.verdict if r else "allow" for r in own], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, named, verdicts], [*batch.schema.names, "rule", "verdict"])
