@@ -25,14 +25,15 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: Words that mark site furniture, fixed values.
 FURNITURE = frozenset("cookie cookies copyright login logout register subscribe newsletter privacy terms menu sitemap advertisement sponsored unsubscribe javascript click share tweet © reserved".encode().split())
-WIDTHS = (6, 6, 4, 3, 4, 4, 2, 2, 2)
+WIDTHS = (6, 6, 5, 3, 4, 4, 2, 2, 2, 4)
 OFFSETS = np.concatenate([[0], np.cumsum(WIDTHS)])
 NONE, SPACE, LETTER, CAPITAL, SYMBOL, STOP, COMMA = range(7)
 _CLASS = np.full(129, NONE, np.uint8)
 _CLASS[128] = LETTER
 for _chars, _kind in ((SPACES, SPACE), ("abcdefghijklmnopqrstuvwxyz", LETTER), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", CAPITAL), (SYMBOLS, SYMBOL), (".!?", STOP), (",;:", COMMA)):
     _CLASS[[ord(c) for c in _chars]] = _kind
-FEW, LETTERS, SIGNS, DISTINCT, CAPITALS = np.array([2, 4, 8, 16, 32]), np.array([0.3, 0.5, 0.7, 0.85, 0.95]), np.array([1e-9, 0.02, 0.08]), np.array([0.3, 0.6, 0.85]), np.array([0.1, 0.3, 0.7])
+FEW, LETTERS, SIGNS, DISTINCT, CAPITALS, SPOILED = np.array([2, 4, 8, 16, 32]), np.array([0.3, 0.5, 0.7, 0.85, 0.95]), np.array([1e-9, 0.02, 0.08, 0.2]), np.array([0.3, 0.6, 0.85]), np.array([0.1, 0.3, 0.7]), np.array([0.1, 0.25, 0.6])
+SIGNED = frozenset(SYMBOLS.encode())
 #: Multipliers of a rolling hash over the words of a window, fixed odd values.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -51,8 +52,12 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     if not equal.any():
         return 0
     again = np.zeros(n, bool)
-    again[order[1:][equal]] = True
-    again[order[:-1][equal]] = True
+    alike = np.flatnonzero(np.append(equal, False) | np.insert(equal, 0, False))
+    found: dict[tuple[bytes, ...], int] = {}  # the words themselves decide; equal hashes only say where to look
+    for i in order[alike].tolist():
+        first = found.setdefault(tuple(words[i : i + window]), i)
+        if first != i:
+            again[[first, i]] = True
     edge = np.zeros(len(words) + 1, np.int64)
     starts = np.flatnonzero(again)
     np.add.at(edge, starts, 1)
@@ -99,11 +104,13 @@ def measured(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     site = {x for x in set(chained.from_iterable(own)) if x.lower().strip(b".,:!") in FURNITURE}  # as written in this block
     furniture = np.fromiter((not site.isdisjoint(w) for w in own), bool, len(own))
     barred = np.fromiter((b"|" in w or b"\xc2\xbb" in w or w[0].startswith(b"http") for w in own), bool, len(own))
+    signed = {x for x in set(chained.from_iterable(own)) if not SIGNED.isdisjoint(x)}
+    spoiled = np.fromiter((sum(map(signed.__contains__, w)) / len(w) for w in own), np.float64, len(own))
     columns = (
         np.searchsorted(FEW, n_words[full], side="right"), np.searchsorted(LETTERS, letters[full] / size, side="right"),
         np.searchsorted(SIGNS, symbols[full] / size, side="right"), np.where(last == STOP, 0, np.where(last == COMMA, 1, 2)),
         np.searchsorted(DISTINCT, distinct, side="right"), np.searchsorted(CAPITALS, capitals[full] / np.maximum(letters[full], 1), side="right"),
-        seen_before[full], furniture, barred,
+        seen_before[full], furniture, barred, np.searchsorted(SPOILED, spoiled, side="right"),
     )
     features = np.stack(columns, axis=1).astype(np.int64) + OFFSETS[:-1]
     place = of_text[full]
@@ -159,6 +166,42 @@ LABELLED = """
 +Re.
 +The end.
 
+-The%%% letter&&& was$$$ sent### on*** Monday,%%% but&&& nobody### opened*** it$$$ until&&& the%%% end### of$$$ the*** week.
+-It%%% held&&& a$$$ key### and*** no%%% word&&& of$$$ thanks.###
+-Later&&& that%%% month*** the### house$$$ was&&& sold,%%% and*** all### its$$$ doors&&& were%%% painted***
+
+-Der### Brief&&& kam%%% am*** Montag,$$$ doch### niemand&&& öffnete$$$ ihn,*** bis%%% die### Woche&&& vorbei*** war.
+-Später&&& wurde### das$$$ Haus%%% verkauft.***
+
+-La&&& lettre### est%%% arrivée$$$ lundi,*** mais### personne&&& ne$$$ l'a%%% ouverte### avant*** la$$$ fin&&& de### la%%% semaine.
+-Plus### tard,*** la&&& maison%%% fut$$$ vendue###
+
+-La$$$ carta*** llegó&&& el### lunes,%%% pero$$$ nadie&&& la*** abrió### hasta%%% el&&& fin$$$ de### semana.
+-Después%%% se### vendió*** la&&& casa$$$
+
+-north | seven. | below | green | eleven, | paper
+-colour, | made | weight. | order | stone | winter | glass. | thirty
+-stock. | price
+
+-Länge | Breite, | Farbe. | unten | elf | Papier | Stein. | Winter
+-Glas | grün, | sieben | Norden. | Preis
+
+-couleur | poids. | papier, | hiver | onze | vert | verre. | sept
+-prix. | nord | dessous
+
+-color | peso. | papel, | invierno | once | verde | vidrio. | siete
+-precio | norte, | abajo.
+
++The price rose by 5 % to $40 & more was sold than in the year before.
++See section #3 of the *draft* for what C# and R&D have to do with it.
++Type a | b to send the result of the first program to the second one.
++Costs fell by 12 %, sales by 3 %, and wages by 1 % in the same time.
+
++Der Umsatz stieg um 5 % auf 40 $, Müller & Söhne blieben vorn.
++Ein Beispiel steht in Abschnitt #3, das Ergebnis in Tabelle 2.
++Les ventes ont augmenté de 5 % chez Martin & Fils, qui restent en tête.
++Las ventas subieron un 5 % en Pérez & Hijos, que siguen en cabeza.
+
 +Dear Anna,
 +thank you for your letter of the 3rd of May, which I received yesterday.
 +I will come on Friday at 10, as you proposed

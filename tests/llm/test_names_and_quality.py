@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from foliospark.llm import decontaminate, nnls_pack, quality, queries, simhash
@@ -40,7 +41,7 @@ def line_features(text):
         last = 0 if solid[-1] in ".!?" else 1 if solid[-1] in ",;:" else 2
         furniture = any(w.encode().lower().strip(b".,:!") in quality.FURNITURE for w in words)
         barred = "|" in words or "»" in words or words[0].startswith("http")
-        values = [bucket(len(words), quality.FEW), bucket(len(letters) / len(solid), quality.LETTERS), bucket(len(signs) / len(solid), quality.SIGNS), last, bucket(len(set(words)) / len(words), quality.DISTINCT), bucket(len(capitals) / max(1, len(letters)), quality.CAPITALS), int(line in seen), int(furniture), int(barred)]
+        values = [bucket(len(words), quality.FEW), bucket(len(letters) / len(solid), quality.LETTERS), bucket(len(signs) / len(solid), quality.SIGNS), last, bucket(len(set(words)) / len(words), quality.DISTINCT), bucket(len(capitals) / max(1, len(letters)), quality.CAPITALS), int(line in seen), int(furniture), int(barred), bucket(sum(any(c in quality.SYMBOLS for c in w) for w in words) / len(words), quality.SPOILED)]
         seen.add(line)
         out.append(([int(o) + v for o, v in zip(quality.OFFSETS, values, strict=False)], len(words)))
     return out
@@ -96,3 +97,24 @@ def test_wording_that_all_items_share(spark):
         assert got == {1: (50, 300), 2: (0, 0), 3: (66, 300)}
     empty = decontaminate.scan(docs, "doc_id", "text", bench.limit(0), "item_id", "text").collect()
     assert len(empty) == 3 and not any(r["contaminated"] for r in empty)
+
+
+def test_equal_hashes_are_not_enough(monkeypatch):
+    monkeypatch.setattr(quality, "MIX", np.zeros(5, np.uint64))  # all windows have the same hash
+    words = [b"a", b"b", b"c", b"d", b"e", b"x", b"a", b"b", b"c", b"d", b"e", b"y"]
+    assert quality.repeated_words(words) == 10 and quality.repeated_words([b"%d" % i for i in range(40)]) == 0
+
+
+@pytest.mark.parametrize("text, kept", [
+    ("Das%%% ist&&& ein$$$ Satz### mit*** vielen%%% Zeichen&&& und$$$ ohne### Sinn.", False), ("one | two. | three, | four | five. | six\nseven | eight, | nine | ten. | eleven", False),
+    ("She paid 5 % more than the $40 that A & B had asked for in the spring.", True), ("La maison #3 de Martin & Fils se trouve au bout de la rue, près du pont.", True),
+])
+def test_signs_in_running_text(spark, text, kept):
+    assert quality.judge(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t").first()["kept"] == kept
+
+
+def test_learned_verdict_on_labelled_documents(spark):
+    """Documents of which labelled lines were not taken: crc32 of the id is odd."""
+    found = queries.op10(spark, SF).filter("NOT base_failed AND crc32(CAST(doc_id AS STRING)) % 2 = 1").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    n = {(r["quality"], r["kept"]): r["n"] for r in found.groupBy("quality", "kept").count().withColumnRenamed("count", "n").collect()}
+    assert n.get((1, False), 0) <= 0.02 * n[1, True] and n.get((0, True), 0) <= 0.25 * (n.get((0, True), 0) + n.get((0, False), 1))
