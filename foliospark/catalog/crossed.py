@@ -15,13 +15,16 @@ def _published(t: Tables, *columns: str) -> DataFrame:
 
 
 def _coauthors(t: Tables, as_of: str, collation: str | None = None, least: int = 3) -> DataFrame:
-    """Pairs travel as ids alone; titles and names are joined only to the pairs that stay. An article of k authors gives
+    """Authors with fewer than ``least`` published articles are in no pair that stays, so they go first. Pairs of the others are counted
+    without their articles; these, titles and names are joined to the pairs that stay. An article of k such authors gives
     k * (k - 1) / 2 pairs.
     """
-    signed = t("articulo_autor").join(_published(t), "id_articulo", "left_semi").select("id_articulo", "id_autor")
+    signed = t("articulo_autor").join(_published(t), "id_articulo", "left_semi").select("id_articulo", "id_autor").distinct()
+    often = signed.groupBy("id_autor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("id_autor")
+    signed = signed.join(often, "id_autor", "left_semi")
     one, two = (signed.withColumnRenamed("id_autor", f"autor_{i}") for i in (1, 2))
-    pairs = one.join(two, "id_articulo").filter("autor_1 < autor_2").groupBy("autor_1", "autor_2").agg(F.collect_set("id_articulo").alias("ids"))
-    kept = pairs.filter(F.size("ids") >= least).select("autor_1", "autor_2", F.size("ids").cast("long").alias("articulos"), F.explode("ids").alias("id_articulo"))
+    pairs = one.join(two, "id_articulo").filter("autor_1 < autor_2").groupBy("autor_1", "autor_2").agg(F.count(F.lit(1)).alias("articulos")).filter(F.col("articulos") >= least)
+    kept = pairs.join(one, "autor_1").join(two, ["autor_2", "id_articulo"])
     titled = kept.join(t("articulos").select("id_articulo", "titulo_articulo"), "id_articulo").groupBy("autor_1", "autor_2", "articulos")
     out = titled.agg(F.expr(for_spark("joined(titulo_articulo, '; ')", as_of, collation)).alias("titulos"))
     names = t("autores").select("id_autor", "apellidos_nombre")

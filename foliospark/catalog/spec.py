@@ -7,7 +7,7 @@ is none), ``joined_down`` the same from last to first, ``listed`` all values in
 ``AS_OF`` the date of the report, ``like_issn(c)`` whether a text has the form of an ISSN. The date is a parameter, never the
 clock. Under a ``collation`` (see ``functions.collation``) texts that it holds equal are one in lists, and the form of an ISSN
 ignores case. SQL made from these forms says whether the plan is right, not whether the form is: ``expected`` holds SQL written
-by hand for the forms that could be misread.
+by hand for all queries of the catalogue; the forms serve queries that users register.
 """
 
 from __future__ import annotations

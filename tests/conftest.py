@@ -11,7 +11,9 @@ os.environ["PYTHONPATH"] = sys.path[0] + os.pathsep + os.environ.get("PYTHONPATH
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
-    session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate()
+    # Spark's default heap of 1 GB is too small for the payloads of tens of MB that some tests use: the JVM of all tests then ends
+    memory = os.environ.get("TEST_DRIVER_MEMORY", "4g")
+    session = SparkSession.builder.master("local[4]").config("spark.driver.memory", memory).config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
