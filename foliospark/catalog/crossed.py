@@ -19,9 +19,9 @@ def _coauthors(t: Tables, as_of: str, collation: str | None = None, least: int =
     without their articles; these, titles and names are joined to the pairs that stay. An article of k such authors gives
     k * (k - 1) / 2 pairs.
     """
-    signed = t("articulo_autor").join(_published(t), "id_articulo", "left_semi").select("id_articulo", "id_autor").distinct()
-    often = signed.groupBy("id_autor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("id_autor")
-    signed = signed.join(often, "id_autor", "left_semi")
+    links = t("articulo_autor").join(_published(t), "id_articulo", "left_semi").select("id_articulo", "id_autor")
+    often = links.groupBy("id_autor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("id_autor")
+    signed = links.join(often, "id_autor", "left_semi").repartition("id_articulo").distinct()  # dealt out once for both steps
     one, two = (signed.withColumnRenamed("id_autor", f"autor_{i}") for i in (1, 2))
     pairs = one.join(two, "id_articulo").filter("autor_1 < autor_2").groupBy("autor_1", "autor_2").agg(F.count(F.lit(1)).alias("articulos")).filter(F.col("articulos") >= least)
     kept = pairs.join(one, "autor_1").join(two, ["autor_2", "id_articulo"])
