@@ -11,6 +11,7 @@ documents by a shuffle of (document, pair) rows that is summed before it, and ea
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -32,6 +33,8 @@ WORD = re.compile(r"[ \n\t]+[^ \n\t]*")
 WHOLE = re.compile("[\\x0b-\\x0d\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000▁]")
 BLANK = "▁"
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times", "n_best", "count_sum")
+#: Words that the first tokenizer gets in one call; what it returns for each is large.
+AT_ONCE = 4096
 #: A pair of ids is one number: the first id's bits are above these.
 LOW = 32
 
@@ -69,6 +72,7 @@ class Aligner:
     """
 
     def __init__(self, byte_bpe: str, pieces: str, most_links: int = 1_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own would compete with other tasks
         self.a = Tokenizer.from_file(byte_bpe)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
@@ -92,7 +96,7 @@ class Aligner:
 
     def _ids(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of stretches that each begin with white space. The second tokenizer puts a blank before a stretch by itself."""
-        a = [e.ids for e in self.a.encode_batch(words, add_special_tokens=False)]
+        a = [e.ids for i in range(0, len(words), AT_ONCE) for e in self.a.encode_batch(words[i : i + AT_ONCE], add_special_tokens=False)]
         b = self.b.encode([w.removeprefix(" ") for w in words], num_threads=1)
         return a, [ids if w[:1] == " " else ids[1:] if ids[:1] == [self.blank] else [] for w, ids in zip(words, b, strict=True)]
 
@@ -170,7 +174,7 @@ class Aligner:
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
-def align(df: DataFrame, key: str, text: str, byte_bpe: str, pieces: str, block_chars: int = 1_000_000) -> DataFrame:
+def align(df: DataFrame, key: str, text: str, byte_bpe: str, pieces: str, block_chars: int = 500_000) -> DataFrame:
     """For each row: ``key``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``groups`` (``a1,a2|b1;a3|b2,b3``: ids of both sides in order), and
     the distinct linked ``pairs`` (first id times 2**32 plus second id) with how many ``times`` each is linked.
 
