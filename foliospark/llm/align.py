@@ -33,6 +33,8 @@ WORD = re.compile(r"[ \n\t]+[^ \n\t]*")
 WHOLE = re.compile("[\\x0b-\\x0d\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000▁]")
 BLANK = "▁"
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times", "n_best", "count_sum")
+#: A blank and letters, then signs, are two pieces to the first tokenizer, or one; its own splitting is not needed for them.
+PLAIN = re.compile("( [A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 #: Words that the first tokenizer gets in one call; what it returns for each is large.
 AT_ONCE = 4096
 #: A pair of ids is one number: the first id's bits are above these.
@@ -77,6 +79,7 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         letters = _byte_letters()
+        self.letters = {b: c for c, b in letters.items()}
         self.bytes_a = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         named = [(i, self.b.id_to_piece(i)) for i in range(self.b.vocab_size())]
         self.bytes_b = {i: bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in named}
@@ -96,10 +99,17 @@ class Aligner:
 
     def _ids(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of stretches that each begin with white space. The second tokenizer puts a blank before a stretch by itself."""
-        a = [e.ids for i in range(0, len(words), AT_ONCE) for e in self.a.encode_batch(words[i : i + AT_ONCE], add_special_tokens=False)]
+        plain = [PLAIN.fullmatch(w) for w in words]
+        others = [w for w, m in zip(words, plain, strict=True) if not m]
+        rest = iter([e.ids for i in range(0, len(others), AT_ONCE) for e in self.a.encode_batch(others[i : i + AT_ONCE], add_special_tokens=False)])
+        a = [self._piece(m[1]) + (self._piece(m[2]) if m[2] else []) if m else next(rest) for m in plain]
         b = self.b.encode([w.removeprefix(" ") for w in words], num_threads=1)
         return a, [ids if w[:1] == " " else ids[1:] if ids[:1] == [self.blank] else [] for w, ids in zip(words, b, strict=True)]
 
+    def _piece(self, piece: str) -> list[int]:
+        """Ids of what the first tokenizer takes as one piece."""
+        return [t.id for t in self.a.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+
     @staticmethod
     def _come_back(whole: list[bytes], ids: list[list[int]], own: dict[int, bytes], lengths: np.ndarray) -> np.ndarray:
         """Which stretches are the bytes of their tokens, joined; most often all are, which one comparison shows."""
