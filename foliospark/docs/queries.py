@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.docs import blocks, fences, lookups, marks, names, tree
 from foliospark.quality import books, catalogue, constraints, evolution
-from foliospark.sources import dump, jsonside, lenient
+from foliospark.sources import dump, jats, jsonside, lenient, sidefiles
 from foliospark.sources.bridge import VIEWS as EDITORIAL
 from foliospark.sources.bridge import editorial_tables, sql_views
 from foliospark.sources.workspace import new_path
@@ -62,12 +62,18 @@ FROM (SELECT l_orderkey AS document, l_partkey AS part, CAST(row_number() OVER (
   CASE WHEN p_partkey % 5 > 0 THEN CAST(p_partkey % 30 AS BIGINT) END AS id_serie, CASE p_partkey % 3 WHEN 0 THEN 'monografia' WHEN 1 THEN 'manual' ELSE 'novela' END AS tipo_libro FROM {part}""",
     "libro_autor": """SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id_relacion, CAST(CASE WHEN l_partkey % 40 = 0 THEN -1 ELSE l_partkey END AS BIGINT) AS id_libro,
   CASE l_linenumber WHEN 1 THEN 'editor' WHEN 2 THEN 'otro' ELSE 'autor' END AS rol_libro FROM {lineitem}""",
+    "partes_libro": "SELECT CAST(s_suppkey AS BIGINT) AS id_parte, CAST(CASE WHEN s_suppkey % 9 = 0 THEN -2 ELSE s_suppkey END AS BIGINT) AS id_libro, s_name AS titulo_parte FROM {supplier}",
+    "capitulos": """SELECT CAST(o_orderkey AS BIGINT) AS id_capitulo, CAST(CASE WHEN o_orderkey % 50 = 0 THEN -3 ELSE 1 + o_custkey % 100 END AS BIGINT) AS id_libro,
+  CASE WHEN o_orderkey % 3 > 0 THEN CAST(1 + o_orderkey % 12 AS BIGINT) END AS id_parte FROM {orders}""",
+    "capitulo_autor": "SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id_relacion, CAST(CASE WHEN l_suppkey % 8 = 0 THEN -4 ELSE l_orderkey END AS BIGINT) AS id_capitulo FROM {lineitem}",
+    "noted": """SELECT CAST(o_orderkey AS STRING) AS document, o_orderkey AS number, replace(CASE o_orderkey % 4 WHEN 0 THEN '# Note ' || CAST(o_orderkey AS STRING) || ' {ob}.own #n -}~~at ' || o_orderstatus || '~  more~# no heading~~```sql~select 1~~# nor here~```~## End ##~last'
+  WHEN 1 THEN '' WHEN 2 THEN CAST(NULL AS STRING) ELSE '## A~### B~text~```~open ' || CAST(o_orderkey AS STRING) END, '~', chr(10)) AS text FROM {orders}""",
 }
 TEMPLATES = (
     ("box", '<boxed-text id="{{id}}">{{contenido}}{{more}}</boxed-text>', "::: box", None, "any"), ("figure", '<fig id="{{id}}"><caption>{{caption}}</caption>{{contenido}}</fig>', "::: {.fig #fig-id}", "id,caption", "any"),
     ("other", None, None, None, "any"), ("back", "<ack>{{contenido}}</ack>", None, "", "back"),
 )
-SOURCES = ("customer", "nation", "lineitem", "part", "region", "supplier")
+SOURCES = ("customer", "nation", "lineitem", "orders", "part", "region", "supplier")
 
 
 def _sql(view: str, names: dict[str, str]) -> str:
@@ -147,6 +153,38 @@ def _books(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: _view(spark, sf_dir, name) for name in BOOKS}
 
 
+ALL_BOOKS = ("colecciones", "series", "libros_md", "partes_libro", "capitulos", "libro_autor", "capitulo_autor")
+
+
+def _all_books(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {name: _view(spark, sf_dir, name) for name in ALL_BOOKS}
+
+
+def _deleted_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _all_books(spark, sf_dir)
+    left = catalogue.after_deletion(tables, books.rules(spark), "libros_md", tables["libros_md"].filter("id_libro % 10 = 3"))
+    part = lambda name, parent: left[name].select(F.lit(name).alias("tabla"), F.col(books.PRIMARY[name]).alias("id"), F.col(parent).alias("padre"))
+    return part("libros_md", "id_serie").unionAll(part("partes_libro", "id_libro")).unionAll(part("capitulos", "id_parte")).unionAll(part("libro_autor", "id_libro")).unionAll(part("capitulo_autor", "id_capitulo"))
+
+
+def _jats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All articles, with signs in their titles that XML escapes or cannot hold, written as JATS and read again."""
+    own = {n: _editorial(n)(spark, sf_dir) for n in ("articulos", "revistas_md", "autores", "articulo_autor", "bibtex")}
+    titled = own["articulos"].withColumn("titulo_articulo", F.concat(F.col("titulo_articulo"), F.lit(' <i> & "\n\x01 ')))
+    path = new_path(spark, "jats")
+    jats.write(jats.articles(titled, own["revistas_md"], own["autores"], own["articulo_autor"], own["bibtex"]), path)
+    return jats.read(spark, path)
+
+
+def _file_colophon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A colophon that is a Markdown file, made of the regions' names, behind every document."""
+    path = new_path(spark, "colophon")
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet").agg(F.array_join(F.array_sort(F.collect_list("r_name")), "\n\n").alias("names"))
+    regions.select(F.concat(F.lit("# Imprint {-}\n\n"), "names").alias("value")).write.text(path)
+    own = sidefiles.markdown_blocks(sidefiles.texts(spark, path)).select("pos", "kind", "level", "classes", "text")
+    return blocks.with_colophon(_blocks(spark, sf_dir), own).select("document", "pos", "kind", "text")
+
+
 def _editorial(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: editorial_tables(spark, sf_dir).table(name)
 
@@ -216,6 +254,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "check_domain": lambda s, d: constraints.outside_domain(_articles(s, d), "tipo_articulo", DOMAIN).select("id_articulo", "tipo_articulo"),
     "check_correspondents": lambda s, d: constraints.several_correspondents(_flagged(s, d)),
     "check_correspondent_updates": _refused,
+    "xml_articles": lambda s, d: jats.heads(_jats(s, d)),
+    "xml_contributors": lambda s, d: jats.contributors(_jats(s, d)),
+    "xml_references": lambda s, d: jats.references(_jats(s, d)),
+    "doc_markdown_blocks": lambda s, d: sidefiles.markdown_blocks(_view(s, d, "noted")).withColumn("classes", F.array_join("classes", ",")),
+    "doc_file_colophon": _file_colophon,
+    "check_all_book_tables": lambda s, d: catalogue.broken(_all_books(s, d), books.rules(s)),
+    "delete_books": _deleted_books,
     "check_book_model": lambda s, d: books.violations(_books(s, d)),
     "delete_book_collection": lambda s, d: books.after_deletion(_books(s, d), "colecciones", _view(s, d, "colecciones").filter("id_coleccion = 2"))["libros_md"].select("id_libro", "id_coleccion", "id_serie"),
     "evolve_schema": _evolved,
@@ -348,6 +393,49 @@ SELECT id, id_articulo, row_number() OVER (PARTITION BY id_articulo ORDER BY aut
     "check_correspondents": f"{sql_views(['articulo_autor'])} SELECT id_articulo, count(*) AS n FROM articulo_autor WHERE id_autor % 3 = 0 GROUP BY 1 HAVING count(*) > 1",
     "check_correspondent_updates": f"""{sql_views(['articulo_autor'])} SELECT id_articulo, id_autor FROM articulo_autor a WHERE id_autor % 2 = 0 AND id_autor % 3 > 0
   AND EXISTS (SELECT 1 FROM articulo_autor b WHERE b.id_articulo = a.id_articulo AND b.id_autor % 3 = 0)""",
+    "xml_articles": f"""{sql_views(["articulos", "revistas_md"])}
+SELECT id_articulo, tipo_articulo, titulo_articulo || ' <i> & "' || chr(10) || '� ' AS titulo_articulo, doi, a.id_revista AS id_revista, titulo_revista, issn_impreso, e_issn,
+  fecha_recepcion, fecha_aceptacion, fecha_publicacion_online FROM articulos a LEFT JOIN revistas_md r ON a.id_revista = r.id_revista""",
+    "xml_contributors": f"""{sql_views(["articulos", "autores", "articulo_autor"])}
+SELECT l.id_articulo AS id_articulo, CAST(row_number() OVER (PARTITION BY l.id_articulo ORDER BY l.id_autor) AS INTEGER) AS place, l.id_autor AS id_autor, apellidos, orcid, scopus_id
+FROM articulo_autor l JOIN articulos a ON a.id_articulo = l.id_articulo LEFT JOIN autores p ON p.id_autor = l.id_autor""",
+    "xml_references": f"""{sql_views(["articulos", "bibtex"])}
+SELECT b.id_articulo AS id_articulo, id, tipo_de_entrada, title, year, volume FROM bibtex b JOIN articulos a ON a.id_articulo = b.id_articulo""",
+    "doc_markdown_blocks": f"""{_with("noted")}, made(remainder, pos, kind, level, id, classes, text) AS (VALUES
+  (0, 1, 'Header', 1, 'n', 'own,unnumbered', 'Note ~'), (0, 2, 'Para', 0, NULL, '', 'at ^ more # no heading'), (0, 3, 'CodeBlock', 0, NULL, 'sql', 'select 1' || chr(10) || chr(10) || '# nor here'),
+  (0, 4, 'Header', 2, NULL, '', 'End'), (0, 5, 'Para', 0, NULL, '', 'last'),
+  (3, 1, 'Header', 2, NULL, '', 'A'), (3, 2, 'Header', 3, NULL, '', 'B'), (3, 3, 'Para', 0, NULL, '', 'text'), (3, 4, 'CodeBlock', 0, NULL, '', 'open ~'))
+SELECT document, pos, kind, level, id, classes, replace(replace(m.text, '~', document), '^', o_orderstatus) AS text
+FROM noted JOIN made m ON number % 4 = remainder JOIN orders ON o_orderkey = number""",
+    "doc_file_colophon": f"""{_with("blocks")}, added(i, kind, text) AS (SELECT 1, 'Header', 'Imprint' UNION ALL SELECT 1 + row_number() OVER (ORDER BY r_name), 'Para', r_name FROM region)
+SELECT document, pos, kind, text FROM blocks
+UNION ALL SELECT document, CAST(last + i AS INTEGER), kind, text FROM (SELECT document, max(pos) AS last FROM blocks GROUP BY document), added""",
+    "check_all_book_tables": f"""{_with(*ALL_BOOKS)}
+SELECT 'colecciones' AS "table", 'primary' AS rule, 'id_coleccion' AS "columns", count(*) - count(DISTINCT id_coleccion) AS n FROM colecciones
+UNION ALL SELECT 'series', 'primary', 'id_serie', count(*) - count(DISTINCT id_serie) FROM series
+UNION ALL SELECT 'libros_md', 'primary', 'id_libro', count(*) - count(DISTINCT id_libro) FROM libros_md
+UNION ALL SELECT 'partes_libro', 'primary', 'id_parte', count(*) - count(DISTINCT id_parte) FROM partes_libro
+UNION ALL SELECT 'capitulos', 'primary', 'id_capitulo', count(*) - count(DISTINCT id_capitulo) FROM capitulos
+UNION ALL SELECT 'libro_autor', 'primary', 'id_relacion', count(*) FROM (SELECT 1 FROM libro_autor GROUP BY id_relacion HAVING count(*) > 1)
+UNION ALL SELECT 'capitulo_autor', 'primary', 'id_relacion', count(*) FROM (SELECT 1 FROM capitulo_autor GROUP BY id_relacion HAVING count(*) > 1)
+UNION ALL SELECT 'colecciones', 'unique', 'issn', count(*) FROM (SELECT 1 FROM colecciones WHERE issn IS NOT NULL GROUP BY issn HAVING count(*) > 1)
+UNION ALL SELECT 'series', 'unique', 'issn', count(*) FROM (SELECT 1 FROM series WHERE issn IS NOT NULL GROUP BY issn HAVING count(*) > 1)
+UNION ALL SELECT 'libros_md', 'unique', 'id_proyecto', count(*) FROM (SELECT 1 FROM libros_md WHERE id_proyecto IS NOT NULL GROUP BY id_proyecto HAVING count(*) > 1)
+UNION ALL SELECT 'series', 'reference', 'id_coleccion', count(*) FROM series WHERE id_coleccion NOT IN (SELECT id_coleccion FROM colecciones)
+UNION ALL SELECT 'libros_md', 'reference', 'id_coleccion', count(*) FROM libros_md WHERE id_coleccion NOT IN (SELECT id_coleccion FROM colecciones)
+UNION ALL SELECT 'libros_md', 'reference', 'id_serie', count(*) FROM libros_md WHERE id_serie NOT IN (SELECT id_serie FROM series)
+UNION ALL SELECT 'partes_libro', 'reference', 'id_libro', count(*) FROM partes_libro WHERE id_libro NOT IN (SELECT id_libro FROM libros_md)
+UNION ALL SELECT 'capitulos', 'reference', 'id_libro', count(*) FROM capitulos WHERE id_libro NOT IN (SELECT id_libro FROM libros_md)
+UNION ALL SELECT 'capitulos', 'reference', 'id_parte', count(*) FROM capitulos WHERE id_parte NOT IN (SELECT id_parte FROM partes_libro)
+UNION ALL SELECT 'libro_autor', 'reference', 'id_libro', count(*) FROM libro_autor WHERE id_libro NOT IN (SELECT id_libro FROM libros_md)
+UNION ALL SELECT 'capitulo_autor', 'reference', 'id_capitulo', count(*) FROM capitulo_autor WHERE id_capitulo NOT IN (SELECT id_capitulo FROM capitulos)""",
+    "delete_books": f"""{_with(*ALL_BOOKS)}, gone AS (SELECT id_libro FROM libros_md WHERE id_libro % 10 = 3)
+SELECT 'libros_md' AS tabla, id_libro AS id, id_serie AS padre FROM libros_md WHERE id_libro % 10 <> 3
+UNION ALL SELECT 'partes_libro', id_parte, id_libro FROM partes_libro WHERE id_libro NOT IN (SELECT id_libro FROM gone)
+UNION ALL SELECT 'capitulos', id_capitulo, CASE WHEN id_parte NOT IN (SELECT id_parte FROM partes_libro WHERE id_libro IN (SELECT id_libro FROM gone)) THEN id_parte END
+FROM capitulos WHERE id_libro NOT IN (SELECT id_libro FROM gone)
+UNION ALL SELECT 'libro_autor', id_relacion, id_libro FROM libro_autor WHERE id_libro NOT IN (SELECT id_libro FROM gone)
+UNION ALL SELECT 'capitulo_autor', id_relacion, id_capitulo FROM capitulo_autor WHERE id_capitulo NOT IN (SELECT id_capitulo FROM capitulos WHERE id_libro IN (SELECT id_libro FROM gone))""",
     "check_book_model": f"""{_with(*BOOKS)}
 SELECT 'colecciones' AS tabla, 'id_coleccion' AS columna, 'primary' AS regla, count(*) - count(DISTINCT id_coleccion) AS n FROM colecciones
 UNION ALL SELECT 'series', 'id_serie', 'primary', count(*) - count(DISTINCT id_serie) FROM series

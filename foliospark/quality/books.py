@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.quality import constraints
+from foliospark.quality import catalogue, constraints
 
 # Names, widths and domains of the book tables.
 WIDTHS = {"colecciones": 20, "series": 14, "libros_md": 68, "partes_libro": 11, "capitulos": 79, "libro_autor": 16, "capitulo_autor": 18}
@@ -38,6 +38,13 @@ DOMAINS = {
 }
 
 
+def rules(spark: SparkSession) -> DataFrame:
+    """The model's keys and references as constraints of the catalogue, which check, compare and delete by them."""
+    primary = [(t, "primary", [c], None, None, None) for t, c in PRIMARY.items()]
+    unique = [(t, "unique", [c], None, None, None) for t, c in UNIQUE]
+    return catalogue.declared(spark, [*primary, *unique, *[(t, "reference", [c], to, [PRIMARY[to]], action) for t, c, to, action in REFERENCES]])
+
+
 def violations(tables: Mapping[str, DataFrame]) -> DataFrame:
     """``tabla``, ``columna``, ``regla`` (primary, unique, reference, domain) and ``n``, the rows that break it (for repeated keys the
     keys); one row for each rule that the given tables and columns allow to check, 0 included. Each rule is a count, so nothing
