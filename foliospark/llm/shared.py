@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +26,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{(_run_folder.get() or base).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: The folder of the run that is open in this thread, if any.
+_run_folder: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
+
+@contextmanager
+def working_tables(spark: SparkSession, name: str) -> Iterator[str]:
+    """While it is open, tables that cut lineage go below one new folder, which is removed at the end, also after an error.
+
+    For jobs that write their result elsewhere before the end: a DataFrame made inside and read only afterwards has lost its
+    tables. Paths are taken by the driver's thread, so other threads and runs keep their own. Runs may be nested.
+    """
+    folder = shared_path(spark, name)
+    before = _run_folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _run_folder.reset(before)
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def own_name(key: str, results: Iterable[str]) -> str:

@@ -91,9 +91,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, distance_: int = DISTANC
     key is never the smallest unless all keys of the component are null. An empty table gives no rows. Other columns are
     ignored; a key with the name of a result is an error. A text of any length is one fingerprint, made whole.
 
-    Equal fingerprints are one node, so the pairs compared grow with distinct fingerprints alone: a signature leaves 31 bits
-    of a half, so n random fingerprints meet in about ``32 * n * n / 2**31`` pairs, which is n at 70 million of them and
-    more beyond. Pairs are compared in the join, so only linked ones are shuffled again.
+    Equal fingerprints are one node, so the work grows with distinct fingerprints alone. A signature leaves 31 bits of a half, so n
+    random fingerprints make ``64 * n`` index rows and meet in about ``n * n / 2**26`` pairs: fewer pairs than index rows up to
+    ``2**32`` fingerprints, six times as many at 25 billion. A pair costs one comparison of bits inside the join, and only linked
+    ones are shuffled again; a random signature then has about a dozen fingerprints.
     """
     docs = stored(fingerprints(df, own_name(key, ("fp", "fingerprint", "component_id")), text), "simhash")
     nodes = stored(docs.groupBy("fp").agg(F.min(F.col(f"`{key}`")).alias("least")), "simhash-nodes")
