@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import decontaminate, langid, nnls_pack, pii, simhash
 from foliospark.llm.queries import profiles, tokenizer_path
-from foliospark.llm.shared import shared_path, stored
+from foliospark.llm.shared import shared_path, stored, working_tables
 
 #: While the stages run, this many rows go to a Python worker at once, which bounds the memory beside the heap.
 BATCH_ROWS = 500
@@ -112,11 +112,14 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each result is written to the shared folder and read again."""
+    """Applies the stages to ``documents``; each result is written to the shared folder and read again. A stage's own tables are
+    removed once its result is written, so the folder keeps the results alone.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with _small_batches(spark):
         for name, stage in STAGES:
             path = shared_path(spark, f"stage-{name}")
-            stage(spark, docs, sf_dir).write.parquet(path)
+            with working_tables(spark, f"working-{name}"):
+                stage(spark, docs, sf_dir).write.parquet(path)
             docs = spark.read.parquet(path)
     return docs
