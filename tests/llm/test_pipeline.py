@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ import xxhash
 import zstandard
 from pyspark.sql.functions import lit
 
-from foliospark.llm import pii, queries
+from foliospark.llm import pii, queries, shared
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -101,6 +102,33 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
 
 
+def test_only_results_stay_in_the_shared_folder(spark, tmp_path):
+    def inside():
+        return set(Path(spark.conf.get("spark.checkpoint.dir")).iterdir())
+
+    awkward_tables(spark, tmp_path, [(i, f"the house number {i // 2} by the river and the old mill", "en", "s", 1) for i in range(6)], [(1, "one two")])
+    before = inside()
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.filter("start = 0").count() == 3  # short documents are cut to lengths that are powers of two
+    assert sorted(p.name.rsplit("-", 1)[0] for p in inside() - before) == sorted(f"stage-{name}" for name, _ in corpus_pipeline.STAGES)
+
+
+def test_working_tables_are_removed(spark):
+    rows = spark.range(5)
+    with shared.working_tables(spark, "outer") as outer:
+        first = shared.stored(rows, "first")
+        with pytest.raises(ZeroDivisionError), shared.working_tables(spark, "inner") as inner:
+            second = shared.stored(rows, "second")
+            assert inner.startswith(f"{outer}/") and second.count() == 5 and Path(inner).exists()
+            raise ZeroDivisionError
+        assert not Path(inner).exists() and first.count() == 5
+        assert shared.shared_path(spark, "third").startswith(f"{outer}/")
+    assert not Path(outer).exists() and not shared.shared_path(spark, "fourth").startswith(outer)
+    with shared.working_tables(spark, "unused"):
+        pass  # no table: nothing to remove
+    assert shared.stored(rows, "kept").count() == 5
+
+
 def known_language(text, profiles):
     if not text or not regex.search(r"\p{L}", text):
         return False
