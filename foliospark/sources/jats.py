@@ -55,10 +55,10 @@ def articles(articulos: DataFrame, revistas: DataFrame, autores: DataFrame, link
 
 
 def write(rows: DataFrame, path: str, articles_per_file: int = 20_000) -> None:
-    """Files of articles below a root ``articles``; an existing folder is an error. No row gives a folder without an article. A task that has
-    more articles than ``articles_per_file`` begins further files.
+    """Files of articles below a root ``articles``, compressed and without indentation; an existing folder is an error. No row gives a folder
+    without an article. A task that has more articles than ``articles_per_file`` begins further files.
     """
-    rows.write.format("xml").options(rootTag="articles", rowTag="article", maxRecordsPerFile=articles_per_file).save(path)
+    rows.write.format("xml").options(rootTag="articles", rowTag="article", maxRecordsPerFile=articles_per_file, compression="gzip", indent="").save(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

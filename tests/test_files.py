@@ -39,6 +39,15 @@ def test_jats_comes_back(spark, tmp_path):
         jats.write(rows, str(tmp_path / "x"))
 
 
+def test_jats_files_are_small(spark, tmp_path):
+    rows = own_articles(spark, ["A title"] * 27 + ["w"]).coalesce(1)
+    many = rows.crossJoin(spark.range(300).select(jats.F.col("id").alias("n"))).drop("n").coalesce(1)
+    jats.write(many, str(tmp_path / "x"))
+    written, back = sum(p.stat().st_size for p in (tmp_path / "x").glob("part-*")), jats.read(spark, str(tmp_path / "x"))
+    text = back.select(jats.F.sum(jats.F.length(jats.F.to_json(jats.F.struct("*"))))).first()[0]
+    assert back.count() == 28 * 300 and written < text / 10
+
+
 def test_jats_of_others_and_of_none(spark, tmp_path):
     (tmp_path / "other.xml").write_text('<?xml version="1.0"?><articles><article id="3" xml:lang="es"><front><article-meta><article-title>T</article-title><subject>no</subject></article-meta></front></article></articles>')
     assert [(r["id_articulo"], r["titulo_articulo"], r["doi"]) for r in jats.heads(jats.read(spark, str(tmp_path / "other.xml"))).collect()] == [(3, "T", None)]
