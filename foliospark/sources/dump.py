@@ -17,14 +17,18 @@ from pyspark.sql import types as T
 #: What ends a statement. Dumps write a line feed within a text as an escape, so a text holds no such end.
 END = ";\n"
 #: Comments and blank lines before a statement.
-LEAD = r"(?s)^(?:\s++|--[^\n]*+(?:\n|$)|/\*.*?\*/;?)++"
-TABLE = r"(?is)^\s*+INSERT\s++(?:IGNORE\s++)?INTO\s++[`\"]?([A-Za-z_]\w*+)[`\"]?\s*+(\([^()']*+\))?\s*+VALUES\s*+(.*?);?\s*$"
+BLANK = r"(?:\s++|--[^\n]*+(?:\n|$)|/\*.*?\*/;?)"
+LEAD = rf"(?s)^{BLANK}++"
+#: What stands before the rows of a statement, comments included: its match ends at the first row, however long the statement is.
+HEAD = rf"(?is)^{BLANK}*+INSERT\s++(?:IGNORE\s++)?INTO\s++[`\"]?([A-Za-z_]\w*+)[`\"]?\s*+(\([^()']*+\))?\s*+VALUES\s*+"
 # Possessive: a text of any length is matched in a loop, not by recursion.
 TEXT = r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'"
 #: A quoted text (quotes doubled or escaped), perhaps with its character set, or a bare value.
 VALUE = rf"(?:_[a-z]\w*+\s*+)?{TEXT}|[^\s,()']++"
 ROW = rf"(?s)\(\s*+(?:{VALUE})(?:\s*+,\s*+(?:{VALUE}))*+\s*+\)"
 NAME = r"[`\"]([^`\"]++)[`\"]"
+#: Matches any statement at its start, so that the text of a long one is not searched; the group is empty for others than definitions.
+DEFINES = rf"(?is)^{BLANK}*+(CREATE|)"
 CREATE = rf"(?is)^\s*+CREATE\s++TABLE\s++(?:IF\s++NOT\s++EXISTS\s++)?{NAME}\s*+\((.*)\)[^)]*?$"
 COLUMN = rf"(?is)^\s*+{NAME}\s++([a-z]++(?:\s*+\((?:{TEXT}|[^')])*+\))?+(?:\s++unsigned)?+)(.*)$"
 KEY = rf"(?is)^\s*+(?:CONSTRAINT\s++{NAME}\s++)?+(PRIMARY|UNIQUE|FOREIGN)\s++(?:KEY|INDEX)?\s*+(?:{NAME})?\s*+\(((?:[^()]|\(\d++\))*+)\)(.*)$"
@@ -45,10 +49,11 @@ def inserted(statements: DataFrame, column: str) -> DataFrame:
     Text that is no such statement, and null, give no rows.
     """
     rest = [F.col(f"`{c}`") for c in statements.columns if c != column]
-    text = F.regexp_replace(column, LEAD, "")
-    head = statements.select(*rest, *[F.regexp_extract(text, TABLE, i).alias(c) for i, c in enumerate(("table", "__columns", "__body"), 1)]).filter("table <> ''")
-    names = F.when(F.col("__columns") != "", _names(F.col("__columns"))).alias("columns")
-    rows = head.select(*rest, "table", names, F.posexplode(F.regexp_extract_all("__body", F.lit(ROW), F.lit(0))).alias("__i", "__row"))
+    head = F.regexp_extract(column, HEAD, 0)
+    found = statements.select(*rest, F.col(f"`{column}`").alias("__text"), head.alias("__head"), F.regexp_extract(head, HEAD, 1).alias("table")).filter("table <> ''")
+    listed = F.regexp_extract("__head", HEAD, 2)
+    body = F.expr("substring(__text, length(__head) + 1)")
+    rows = found.select(*rest, "table", F.when(listed != "", _names(listed)).alias("columns"), F.posexplode(F.regexp_extract_all(body, F.lit(ROW), F.lit(0))).alias("__i", "__row"))
     raw = F.regexp_extract_all(F.expr("substring(__row, 2, length(__row) - 2)"), F.lit(f"(?s){VALUE}"), F.lit(0))
     parsed = rows.select(*rest, "table", (F.col("__i") + 1).cast("long").alias("row"), F.transform(raw, _value).alias("values"), "columns")
     return parsed.withColumn("fields", F.array_join("values", "|", "NULL"))
@@ -67,10 +72,12 @@ def _unescaped(inner: Column) -> Column:
 
 
 def _value(value: Column) -> Column:
-    text = F.regexp_replace(value, r"(?s)^_[a-z]\w*+\s*+(?=')", "")
+    """Few values have a character set or a backslash, and only these go through the patterns."""
+    text = F.when(value.startswith("_"), F.regexp_replace(value, r"(?s)^_[a-z]\w*+\s*+(?=')", "")).otherwise(value)
     inner = F.substring(text, F.lit(2), F.length(text) - 2)
-    plain = F.array_join(F.transform(F.split(inner, r"\\\\"), _unescaped), "\\")
-    return F.when(F.upper(text) == "NULL", F.lit(None).cast("string")).when(text.startswith("'"), plain).otherwise(text)
+    escaped = F.array_join(F.transform(F.split(inner, r"\\\\"), _unescaped), "\\")
+    plain = F.when(inner.contains("\\"), escaped).otherwise(F.replace(inner, F.lit("''"), F.lit("'")))
+    return F.when(text.startswith("'"), plain).when(F.upper(text) != "NULL", text)
 
 
 def statements(spark: SparkSession, path: str) -> DataFrame:
@@ -80,7 +87,7 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
 
 def _bodies(dump: DataFrame, column: str) -> DataFrame:
     text = F.regexp_replace(column, LEAD, "")
-    found = dump.select(F.regexp_extract(text, CREATE, 1).alias("table"), F.regexp_extract(text, CREATE, 2).alias("body")).filter("`table` <> ''")
+    found = dump.filter(F.regexp_extract(column, DEFINES, 1) != "").select(F.regexp_extract(text, CREATE, 1).alias("table"), F.regexp_extract(text, CREATE, 2).alias("body")).filter("`table` <> ''")
     return found.select("table", F.posexplode(F.split("body", r",[ \t]*\r?\n")).alias("at", "line"))
 
 
@@ -132,16 +139,14 @@ def _typed(value: Column, kind: str) -> Column:
     return value.try_cast(kind)
 
 
-def _rows(found: DataFrame, own: Sequence[T.Row]) -> list[Column]:
-    """The columns of a table from ``values``, by the statement's list of names or by place."""
-    out = []
+def _rows(found: DataFrame, own: Sequence[T.Row]) -> DataFrame:
+    """The rows of a table from ``values``, put by the statement's list of names or by place. A row is looked at once for all its columns."""
+    wanted = F.array(*[F.struct(F.lit(d["column"]).alias("name"), F.lit(d["default"]).cast("string").alias("default")) for d in own])
+    named = F.transform(wanted, lambda d: F.when(F.array_position("columns", d["name"]) > 0, F.get("values", (F.array_position("columns", d["name"]) - 1).cast("int"))).otherwise(d["default"]))
+    wrong = F.raise_error(F.concat(F.lit(f"a row of {own[0]['table']} has another number of values than columns: "), F.array_join("values", "|", "NULL"))).cast("array<string>")
     right = F.size("values") == F.coalesce(F.size("columns"), F.lit(len(own)))
-    for d in own:
-        at = F.when(F.col("columns").isNull(), F.lit(d["place"])).otherwise(F.array_position("columns", d["column"]).cast("int"))
-        value = F.when(at > 0, F.get("values", at - 1)).otherwise(F.lit(d["default"]))
-        whole = F.when(right, value).otherwise(F.raise_error(F.concat(F.lit(f"a row of {d['table']} has another number of values than columns: "), F.col("fields"))).cast("string"))
-        out.append(_typed(whole, d["kind"]).alias(d["column"]))
-    return out
+    placed = found.select(F.when(~right, wrong).when(F.col("columns").isNull(), F.col("values")).otherwise(named).alias("__placed"))
+    return placed.select(*[_typed(F.get("__placed", F.lit(i)), d["kind"]).alias(d["column"]) for i, d in enumerate(own)])
 
 
 def load(dump: DataFrame, column: str = "statement") -> Loaded:
@@ -155,7 +160,7 @@ def load(dump: DataFrame, column: str = "statement") -> Loaded:
     for r in known.orderBy("table", "place").collect():  # as many as the dump has columns
         own.setdefault(r["table"], []).append(r)
     rows = inserted(dump.select(column), column)
-    return Loaded({name: rows.filter(F.col("table") == name).select(*_rows(rows, d)) for name, d in own.items()}, known, constraints(dump, column))
+    return Loaded({name: rows.filter(F.col("table") == name).transform(_rows, d) for name, d in own.items()}, known, constraints(dump, column))
 
 
 def rejected(dump: DataFrame, column: str = "statement") -> DataFrame:
@@ -177,15 +182,27 @@ def _quoted(value: Column) -> Column:
     return F.concat(F.lit("'"), out, F.lit("'"))
 
 
-def _written(field: T.StructField) -> Column:
+#: Signs that a text in a dump does not hold as they are.
+ESCAPED = "[\\\\'\n\r\\x00\\x1a]"
+
+
+def _plain(field: T.StructField) -> Column:
+    """A value that needs no quotes."""
     value = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, T.BinaryType):
-        text = F.concat(F.lit("0x"), F.hex(value))
-    elif isinstance(field.dataType, T.NumericType):
-        text = value.cast("string")
-    else:
-        text = _quoted(value.cast("string"))
-    return F.coalesce(text, F.lit("NULL"))
+    return F.coalesce(F.concat(F.lit("0x"), F.hex(value)) if isinstance(field.dataType, T.BinaryType) else value.cast("string"), F.lit("NULL"))
+
+
+def _lines(table: DataFrame) -> DataFrame:
+    """``row``, the values of each row in parentheses. A row's texts are searched once for signs to escape, and few rows have any; all texts go
+    through one short expression, as one for each column makes code that the JVM does not compile.
+    """
+    quoted = [f for f in table.schema if not isinstance(f.dataType, (T.BinaryType, T.NumericType))]
+    texts = F.array(*[F.col(f"`{f.name}`").cast("string") for f in quoted]).cast("array<string>")
+    own = lambda quote: F.transform("__texts", lambda v: F.coalesce(quote(v), F.lit("NULL")))
+    escaped = F.when(F.array_join("__texts", "").rlike(ESCAPED), own(_quoted)).otherwise(own(lambda v: F.concat(F.lit("'"), v, F.lit("'"))))
+    rows = table.select("*", texts.alias("__texts")).withColumn("__quoted", escaped)
+    at = {f.name: i for i, f in enumerate(quoted)}
+    return rows.select(F.concat(F.lit("("), F.concat_ws(",", *[F.get("__quoted", F.lit(at[f.name])) if f.name in at else _plain(f) for f in table.schema]), F.lit(")")).alias("row"))
 
 
 #: Types of a dump by kind; others are texts.
@@ -206,8 +223,7 @@ def write(tables: Mapping[str, DataFrame], path: str, keys: Mapping[str, Sequenc
     parts = []
     for name, table in tables.items():
         spark = table.sparkSession
-        row = F.concat(F.lit("("), F.concat_ws(",", *[_written(f) for f in table.schema]), F.lit(")"))
-        numbered = table.select(row.alias("row"), F.floor(F.monotonically_increasing_id() / rows_each).alias("n"))
+        numbered = _lines(table).select("row", F.floor(F.monotonically_increasing_id() / rows_each).alias("n"))
         filled = numbered.groupBy("n").agg(F.concat_ws(",", F.collect_list("row")).alias("rows"))
         parts += [spark.createDataFrame([(created(name, table.schema, (keys or {}).get(name, ())),)], "value string"), filled.select(F.concat(F.lit(f"INSERT INTO `{name}` VALUES "), "rows").alias("value"))]
     whole = parts[0]

@@ -118,3 +118,14 @@ def test_catalogue_pending_applied_and_deletions(spark):
     assert counted == {("a", "id"): (2, 0), ("b", "id"): (3, 0), ("b", "a"): (3, 1), ("c", "id"): (3, 0), ("c", "b"): (3, 1)}
     broken = {(r["table"], r["columns"]): r["n"] for r in catalogue.broken({**tables, "a": frame([(1,), (1,), (None,)], "id int")}, want).collect()}
     assert broken == {("a", "id"): 2, ("b", "id"): 0, ("b", "a"): 1, ("c", "b"): 0}
+
+
+def test_work_on_a_row_does_not_grow_with_columns(spark, capsys):
+    names = [f"c{i}" for i in range(30)]
+    made = spark.createDataFrame([("CREATE TABLE `t` (\n  " + ",\n  ".join(f"`{n}` text" for n in names) + "\n)",), ("/* x */ insert into `t` (`c1`,`c0`) VALUES ('a\\\\'';b',_utf8mb4 'it''s'),(null,'NULL');",)], "statement string")
+    back = dump.load(made).tables["t"]
+    assert sorted(map(tuple, back.select("c0", "c1", "c2").collect()), key=str) == [("it's", "a\\';b", None), ("NULL", None, None)]
+    back.explain()
+    assert capsys.readouterr().out.count("raise_error") <= 2
+    dump._lines(back).explain()
+    assert capsys.readouterr().out.count("replace(") < 4 * len(names)
