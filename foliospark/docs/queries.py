@@ -209,10 +209,12 @@ def _loaded(spark: SparkSession, sf_dir: str, *names: str) -> dump.Loaded:
 
 
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each table is parsed once and kept as Parquet, as several constraints read it."""
+    """Each table is parsed once, and the columns that constraints name are kept as Parquet, as several constraints read them."""
     own = _loaded(spark, sf_dir, *EDITORIAL)
+    named = {(t, c) for r in own.constraints.collect() for t, columns in ((r["table"], r["columns"]), (r["parent"], r["parent_columns"] or ())) for c in columns}
     tables = {}
     for name, table in own.tables.items():
+        table = table.select(*[c for c in table.columns if (name, c) in named])
         table.write.parquet(path := new_path(spark, name))
         tables[name] = spark.read.schema(table.schema).parquet(path)
     return catalogue.broken(tables, own.constraints).withColumnRenamed("table", "table_name")
