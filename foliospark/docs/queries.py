@@ -84,7 +84,7 @@ def _sql(view: str, names: dict[str, str]) -> str:
 
 
 #: Views whose documents are put in order by windows or by what is made of them: the source and its column that tells documents apart.
-DEALT = {"blocks": ("lineitem", "l_orderkey"), "headed": ("lineitem", "l_orderkey"), "figured": ("lineitem", "l_orderkey"), "noted": ("orders", "o_orderkey")}
+DEALT = {"blocks": ("lineitem", "l_orderkey"), "headed": ("lineitem", "l_orderkey"), "figured": ("lineitem", "l_orderkey")}
 #: Source rows that a task gets of these, so that its memory does not grow with the input.
 ROWS_A_TASK = 100_000
 
