@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import stored
+from foliospark.llm.shared import sized, stored
 
 
-def _toward_least(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked to the least node of its neighbourhood instead."""
+def _toward_least(edges: DataFrame, n: int) -> DataFrame:
+    """Each node's larger neighbours are linked to the least node of its neighbourhood instead. ``n``: the number of edges."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    larger = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    larger = both.filter("v > u").join(sized(least, n), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return larger.filter("u <> v").distinct()
 
 
-def _among_smaller(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours are linked to the least of these. ``edges``: u > v."""
+def _among_smaller(edges: DataFrame, n: int) -> DataFrame:
+    """Each node and its smaller neighbours are linked to the least of these. ``edges``: u > v, ``n`` at most."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(sized(least, n), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -37,7 +37,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        now = stored(_among_smaller(_toward_least(now)), "edges")
+        now = stored(_among_smaller(_toward_least(now, state[0]), state[0]), "edges")
     else:
         raise RuntimeError("the components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct()

@@ -170,10 +170,10 @@ def _found_by_broadcast(rows: DataFrame, grams: DataFrame) -> DataFrame:
 
 def _found_by_shuffle(rows: DataFrame, grams: DataFrame) -> DataFrame:
     """The same rows for a table of k-grams that must not be broadcast: k-grams are shuffled without their neighbours,
-    which the hits then get from the documents."""
+    which the hits then get from the documents. Neither join is a broadcast, whatever Spark takes its sides for."""
     docs = stored(rows.withColumn("kept", F.slice("kept", F.lit(1), F.size("kept") - 1)), "documents")
     exploded = docs.select("__row", F.explode_outer("kept").alias("k")).select("__row", F.shiftright("k", LOW).alias("gram"), _position(F.col("k")).alias("pos"))
-    places = exploded.join(grams, "gram").select("__row", "pos", "items", "item_words", "at", "need")
-    hits = docs.join(places, "__row").withColumn("near", _near(F.col("pos"))[1]).select(*FOUND)
+    places = exploded.join(grams.hint("merge"), "gram").select("__row", "pos", "items", "item_words", "at", "need")
+    hits = docs.join(places.hint("merge"), "__row").withColumn("near", _near(F.col("pos"))[1]).select(*FOUND)
     none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in hits.schema if f.name not in docs.columns}
     return hits.unionByName(docs.select(*[none.get(c, F.col(c)) for c in FOUND]))

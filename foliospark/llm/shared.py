@@ -65,6 +65,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of more rows is not broadcast.
+BROADCAST_ROWS = 300_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` for a join, given how many rows it may have: beyond ``BROADCAST_ROWS`` the join is by sorting. Spark goes by the bytes of
+    compressed files, and does not count rows that an explode adds, so a table that it takes for small can fill the driver.
+    """
+    return df.hint("merge") if rows > BROADCAST_ROWS else df
+
+
 def give_back() -> None:
     """At the end of a task: gives freed memory back to the system, as idle Python workers would hold it while others work."""
     pa.default_memory_pool().release_unused()

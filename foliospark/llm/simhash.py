@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.components import components
-from foliospark.llm.shared import give_back, own_name, stored
+from foliospark.llm.shared import give_back, own_name, sized, stored
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 
@@ -75,11 +75,13 @@ def distance(a: str, b: str) -> Column:
 
 
 def links(fps: DataFrame, distance_: int = DISTANCE) -> DataFrame:
-    """Pairs u < v of distinct fingerprints (column fp) that differ in 1 to ``distance_`` (3 at most) bits, each once."""
+    """Pairs u < v of distinct fingerprints (column fp) that differ in 1 to ``distance_`` (3 at most) bits, each once. The index has 64 times
+    as many rows as Spark takes it for, so it is never broadcast.
+    """
     if not 0 <= distance_ <= 3:
         raise ValueError("two halves find distances up to 3")
     index = fps.select("fp", F.explode(signatures(F.col("fp"))).alias("sig"))
-    a, b = index.select("sig", F.col("fp").alias("u")), index.select("sig", F.col("fp").alias("v"))
+    a, b = index.select("sig", F.col("fp").alias("u")), index.select("sig", F.col("fp").alias("v")).hint("merge")
     met = a.join(b, (a["sig"] == b["sig"]) & (F.col("u") < F.col("v")) & (distance("u", "v") <= distance_))
     return met.select("u", "v").distinct()
 
@@ -98,9 +100,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, distance_: int = DISTANC
     """
     docs = stored(fingerprints(df, own_name(key, ("fp", "fingerprint", "component_id")), text), "simhash")
     nodes = stored(docs.groupBy("fp").agg(F.min(F.col(f"`{key}`")).alias("least")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), distance_))
+    n = nodes.count()
+    roots = sized(components(links(nodes.select("fp"), distance_)), n)
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = stored(placed, "simhash-roots")
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = sized(placed.groupBy("root").agg(F.min("least").alias("component_id")), n)
     found = stored(placed.join(smallest, "root").select("fp", "component_id"), "simhash-components")
-    return docs.join(found, "fp").select(F.col(f"`{key}`"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return docs.join(sized(found, n), "fp").select(F.col(f"`{key}`"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -237,6 +237,28 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(found[f] == find(f) for f in found) and set(found) == {x for p in want for x in p}
 
 
+def test_large_tables_are_not_broadcast(spark, monkeypatch, capsys):
+    """Whatever Spark takes their size for: these are small enough for it to broadcast them."""
+
+    def broadcasts(df):
+        df.collect()
+        df.explain()
+        return "Broadcast" in capsys.readouterr().out
+
+    fps = spark.createDataFrame([(1 << i,) for i in range(9)], "fp long")
+    assert not broadcasts(simhash.links(fps)) and simhash.links(fps).count() == 36
+    edges = spark.createDataFrame([(2, 1), (3, 2)], "u long, v long")
+    assert [broadcasts(step(edges, n)) for step in (components._toward_least, components._among_smaller) for n in (2, 10**9)] == [True, False] * 2
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "x y z")], "doc_id long, text string")
+    want = sorted(map(tuple, simhash.near_duplicates(docs, "doc_id", "text").collect()))
+    monkeypatch.setattr("foliospark.llm.shared.BROADCAST_ROWS", 0)
+    found = simhash.near_duplicates(docs, "doc_id", "text")
+    assert not broadcasts(found) and sorted(map(tuple, found.collect())) == want
+    grams, _ = decontaminate.fingerprints(docs, "doc_id", "text")
+    rows = decontaminate.with_kept(decontaminate.with_words(docs.withColumn("__row", F.col("doc_id")).withColumnRenamed("doc_id", "__key"), "text")).withColumn("n_words", F.size("words"))
+    assert not broadcasts(decontaminate._found_by_shuffle(rows.select("__row", "__key", "n_words", "words", F.concat("kept", F.array(F.lit(0).cast("long"))).alias("kept")), grams))
+
+
 def test_quality_counts(spark):
     def counts(t):
         w, seen, repeated = re.findall(r"[^\x20\x09-\x0D]+", t), set(), 0
