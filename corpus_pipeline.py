@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import decontaminate, langid, nnls_pack, pii, simhash
 from foliospark.llm.queries import profiles, tokenizer_path
-from foliospark.llm.shared import shared_path, stored, working_tables
+from foliospark.llm.shared import shared_path, sized, stored, working_tables
 
 #: While the stages run, this many rows go to a Python worker at once, which bounds the memory beside the heap.
 BATCH_ROWS = 500
@@ -28,8 +28,9 @@ def _identity() -> Column:
 
 
 def _matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of ``docs`` with a stored table of identities. Spark broadcasts that table if it is small."""
+    """Semi or anti join of ``docs`` with a stored table of identities, column ``id``. Spark may broadcast that table if it has few rows."""
     marked = docs.withColumn("__id", _identity())
+    rows = sized(rows, rows.count())
     return marked.join(rows, marked["__id"].eqNullSafe(rows["id"]), how).drop("__id")
 
 

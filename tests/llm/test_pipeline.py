@@ -97,6 +97,19 @@ def test_texts_without_words_in_later_stages(spark, tmp_path):
     assert stages["packing"](spark, docs, str(tmp_path)).count() == 3
 
 
+def test_tables_of_many_identities_are_not_broadcast(spark, monkeypatch, capsys):
+    docs = spark.createDataFrame([(1, "a", 7), (2, "b", 8), (None, "c", 9)], "doc_id long, text string, id long")
+    ids = docs.limit(2).select(corpus_pipeline._identity().alias("id"))
+    plans = []
+    for most in (300_000, 0):
+        monkeypatch.setattr("foliospark.llm.shared.BROADCAST_ROWS", most)
+        found = corpus_pipeline._matching(docs, ids, "left_anti")
+        assert [tuple(r) for r in found.collect()] == [(None, "c", 9)]
+        found.explain()
+        plans.append("Broadcast" in capsys.readouterr().out)
+    assert plans == [True, False]
+
+
 def test_empty_tables(spark, tmp_path):
     awkward_tables(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
