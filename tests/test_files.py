@@ -48,6 +48,22 @@ def test_jats_files_are_small(spark, tmp_path):
     assert back.count() == 28 * 300 and written < text / 10
 
 
+def test_article_with_many_references_goes_on(spark, tmp_path):
+    make, dates = spark.createDataFrame, "fecha_recepcion date, fecha_aceptacion date, fecha_publicacion_online date"
+    articulos = make([(i, None, "t", f"A{i}", None, None, None, None) for i in (0, 1, 1, 2)], f"id_articulo long, id_revista long, tipo_articulo string, titulo_articulo string, doi string, {dates}")
+    revistas, autores = make([], "id_revista long, titulo_revista string, issn_impreso string, e_issn string"), make([], "id_autor long, apellidos string, orcid string, scopus_id string")
+    links = make([(0, 5), (1, 6)], "id_articulo long, id_autor long")
+    kept = [(i, i % 2, "x", None, None, "1") for i in range(23)]
+    cited = make([*kept, *[(i, 99, None, None, None, None) for i in range(23, 40)]], "id long, id_articulo long, tipo_de_entrada string, title string, year string, volume string")
+    rows = jats.articles(articulos, revistas, autores, links, cited, refs_each=5)
+    assert rows.select(jats.F.max(jats.F.size("back.ref-list.ref"))).first()[0] == 5 and rows.count() == 1 + 1 + 1 + 1 + 2 + 2 * 2
+    jats.write(rows, str(tmp_path / "x"))
+    back = jats.read(spark, str(tmp_path / "x"))
+    assert sorted((r["id_articulo"], r["titulo_articulo"]) for r in jats.heads(back).collect()) == [(0, "A0"), (1, "A1"), (1, "A1"), (2, "A2")]
+    assert sorted((r["id_articulo"], r["id"]) for r in jats.references(back).collect()) == sorted((a, i) for i, a, *_ in kept for _ in range(1 + a))
+    assert sorted((r["id_articulo"], r["id_autor"]) for r in jats.contributors(back).collect()) == [(0, 5), (1, 6), (1, 6)]
+
+
 def test_jats_of_others_and_of_none(spark, tmp_path):
     (tmp_path / "other.xml").write_text('<?xml version="1.0"?><articles><article id="3" xml:lang="es"><front><article-meta><article-title>T</article-title><subject>no</subject></article-meta></front></article></articles>')
     assert [(r["id_articulo"], r["titulo_articulo"], r["doi"]) for r in jats.heads(jats.read(spark, str(tmp_path / "other.xml"))).collect()] == [(3, "T", None)]
