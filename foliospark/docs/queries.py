@@ -216,23 +216,28 @@ KEYS = {
 }
 
 
+def _dumped(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """The tables written to a dump, and its statements."""
+    path = new_path(spark, "dump")
+    dump.write({n: _editorial(n)(spark, sf_dir) for n in names}, path, KEYS, compression="gzip")
+    return dump.statements(spark, path)
+
+
 def _loaded(spark: SparkSession, sf_dir: str, *names: str) -> dump.Loaded:
     """The tables written to a dump and loaded from it."""
-    path = new_path(spark, "dump")
-    dump.write({n: _editorial(n)(spark, sf_dir) for n in names}, path, KEYS)
-    return dump.load(dump.statements(spark, path))
+    return dump.load(_dumped(spark, sf_dir, *names))
 
 
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each table is parsed once, and the columns that constraints name are kept as Parquet, as several constraints read them."""
-    own = _loaded(spark, sf_dir, *EDITORIAL)
-    named = {(t, c) for r in own.constraints.collect() for t, columns in ((r["table"], r["columns"]), (r["parent"], r["parent_columns"] or ())) for c in columns}
-    tables = {}
-    for name, table in own.tables.items():
-        table = table.select(*[c for c in table.columns if (name, c) in named])
-        table.write.parquet(path := new_path(spark, name))
-        tables[name] = spark.read.schema(table.schema).parquet(path)
-    return catalogue.broken(tables, own.constraints).withColumnRenamed("table", "table_name")
+    """The dump's rows are parsed once, and the columns that constraints name are kept as Parquet, as several constraints read them."""
+    read = _dumped(spark, sf_dir, *EDITORIAL)
+    rules = dump.constraints(read).collect()
+    named: dict[str, set[str]] = {}
+    for r in rules:
+        for table, columns in ((r["table"], r["columns"]), (r["parent"], r["parent_columns"])):
+            named.setdefault(table, set()).update(columns or ())
+    tables = dump.kept(read, named, new_path(spark, "constrained"))
+    return catalogue.broken(tables, catalogue.declared(spark, rules)).withColumnRenamed("table", "table_name")
 
 
 DOMAIN = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]

@@ -7,9 +7,12 @@ definitions, a row a column, reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,14 +142,30 @@ def _typed(value: Column, kind: str) -> Column:
     return value.try_cast(kind)
 
 
-def _rows(found: DataFrame, own: Sequence[T.Row]) -> DataFrame:
-    """The rows of a table from ``values``, put by the statement's list of names or by place. A row is looked at once for all its columns."""
+def _placed(own: Sequence[T.Row]) -> Column:
+    """A row's ``values`` in the order of the table's columns, put by the statement's list of names or by place."""
     wanted = F.array(*[F.struct(F.lit(d["column"]).alias("name"), F.lit(d["default"]).cast("string").alias("default")) for d in own])
     named = F.transform(wanted, lambda d: F.when(F.array_position("columns", d["name"]) > 0, F.get("values", (F.array_position("columns", d["name"]) - 1).cast("int"))).otherwise(d["default"]))
     wrong = F.raise_error(F.concat(F.lit(f"a row of {own[0]['table']} has another number of values than columns: "), F.array_join("values", "|", "NULL"))).cast("array<string>")
     right = F.size("values") == F.coalesce(F.size("columns"), F.lit(len(own)))
-    placed = found.select(F.when(~right, wrong).when(F.col("columns").isNull(), F.col("values")).otherwise(named).alias("__placed"))
-    return placed.select(*[_typed(F.get("__placed", F.lit(i)), d["kind"]).alias(d["column"]) for i, d in enumerate(own)])
+    return F.when(~right, wrong).when(F.col("columns").isNull(), F.col("values")).otherwise(named)
+
+
+def _cells(own: Sequence[T.Row], of: Sequence[str] | None = None) -> list[Column]:
+    """The typed columns of ``__placed``, or those that ``of`` names."""
+    return [_typed(F.get("__placed", F.lit(i)), d["kind"]).alias(d["column"]) for i, d in enumerate(own) if of is None or d["column"] in of]
+
+
+def _rows(found: DataFrame, own: Sequence[T.Row]) -> DataFrame:
+    """The rows of a table. A row is looked at once for all its columns."""
+    return found.select(_placed(own).alias("__placed")).select(*_cells(own))
+
+
+def _by_table(known: DataFrame) -> dict[str, list[T.Row]]:
+    own: dict[str, list[T.Row]] = {}
+    for r in known.orderBy("table", "place").collect():  # as many as the dump has columns
+        own.setdefault(r["table"], []).append(r)
+    return own
 
 
 def load(dump: DataFrame, column: str = "statement") -> Loaded:
@@ -156,11 +175,24 @@ def load(dump: DataFrame, column: str = "statement") -> Loaded:
     values than its columns is an error. A table without rows is empty. Columns that a statement does not list have their default.
     """
     known = definitions(dump, column)
-    own: dict[str, list[T.Row]] = {}
-    for r in known.orderBy("table", "place").collect():  # as many as the dump has columns
-        own.setdefault(r["table"], []).append(r)
     rows = inserted(dump.select(column), column)
-    return Loaded({name: rows.filter(F.col("table") == name).transform(_rows, d) for name, d in own.items()}, known, constraints(dump, column))
+    return Loaded({name: rows.filter(F.col("table") == name).transform(_rows, d) for name, d in _by_table(known).items()}, known, constraints(dump, column))
+
+
+def kept(dump: DataFrame, wanted: Mapping[str, Sequence[str]], path: str, column: str = "statement") -> dict[str, DataFrame]:
+    """The ``wanted`` columns of the tables that the dump defines, as ``load`` makes them, by one pass over the dump that stores them at
+    ``path``: rows of Parquet with a struct for each table, null in rows of others.
+    """
+    own = {name: d for name, d in _by_table(definitions(dump, column)).items() if name in wanted}
+    if not own:
+        return {}
+    is_of = {name: F.col("table") == name for name in own}
+    placed = F.coalesce(*[F.when(is_of[name], _placed(d)) for name, d in own.items()])
+    rows = inserted(dump.select(column), column).filter(F.col("table").isin(*own)).select("table", placed.alias("__placed"))
+    parts = rows.select("table", *[F.when(is_of[name], F.struct(*_cells(d, wanted[name]))).alias(name) for name, d in own.items()])
+    parts.write.parquet(path)
+    stored = dump.sparkSession.read.schema(parts.schema).parquet(path)
+    return {name: stored.filter(is_of[name]).select(f"`{name}`.*") for name in own}
 
 
 def rejected(dump: DataFrame, column: str = "statement") -> DataFrame:
@@ -218,15 +250,30 @@ def created(name: str, schema: T.StructType, keys: Sequence[str] = ()) -> str:
     return f"CREATE TABLE `{name}` (\n" + ",\n".join([*lines, *(f"  {k}" for k in keys)]) + "\n) ENGINE=InnoDB DEFAULT CHARSET=utf8mb4"
 
 
-def write(tables: Mapping[str, DataFrame], path: str, keys: Mapping[str, Sequence[str]] | None = None, rows_each: int = 500) -> None:
-    """The tables as a dump: a folder of text files, with ``rows_each`` rows a statement at most. An existing folder is an error."""
+def _filled(rows: DataFrame, name: str, rows_each: int) -> DataFrame:
+    """``value``, an ``INSERT`` for each ``rows_each`` neighbouring rows of a task at most: rows are not shuffled for it."""
+    head = f"INSERT INTO `{name}` VALUES "
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cuts = np.append(np.arange(0, batch.num_rows, rows_each), batch.num_rows)
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), batch.column(0)), ",")
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.scalar(head, joined.type), joined, pa.scalar("", joined.type))], ["value"])
+
+    return rows.mapInArrow(run, "value string")
+
+
+def write(tables: Mapping[str, DataFrame], path: str, keys: Mapping[str, Sequence[str]] | None = None, rows_each: int = 500, compression: str | None = None, statements_each: int = 400) -> None:
+    """The tables as a dump: a folder of text files, with ``rows_each`` rows a statement at most. An existing folder is an error. Compressed
+    files (``gzip``, say) are not split when they are read, so a task begins a further one after ``statements_each`` statements.
+    """
     parts = []
     for name, table in tables.items():
         spark = table.sparkSession
-        numbered = _lines(table).select("row", F.floor(F.monotonically_increasing_id() / rows_each).alias("n"))
-        filled = numbered.groupBy("n").agg(F.concat_ws(",", F.collect_list("row")).alias("rows"))
-        parts += [spark.createDataFrame([(created(name, table.schema, (keys or {}).get(name, ())),)], "value string"), filled.select(F.concat(F.lit(f"INSERT INTO `{name}` VALUES "), "rows").alias("value"))]
+        parts += [spark.createDataFrame([(created(name, table.schema, (keys or {}).get(name, ())),)], "value string"), _filled(_lines(table), name, rows_each)]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    whole.write.text(path, lineSep=END)
+    packed = {"compression": compression, "maxRecordsPerFile": statements_each} if compression else {}
+    whole.write.options(**packed).text(path, lineSep=END)

@@ -98,6 +98,29 @@ def test_round_trip_of_a_split_file(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_compressed_dump_without_a_shuffle(spark, tmp_path, capsys):
+    rows = [(i, f"it's {i % 7};\n" if i % 5 else None) for i in range(1003)]
+    table = spark.createDataFrame(rows, "id long, t string").coalesce(1)
+    dump._filled(dump._lines(table), "t", 7).explain()
+    assert "Exchange" not in capsys.readouterr().out
+    dump.write({"t": table, "none": table.limit(0)}, f"{tmp_path}/d", rows_each=7, compression="gzip", statements_each=50)
+    dump.write({"t": table}, f"{tmp_path}/plain", rows_each=7)
+    files = sorted(p for p in (tmp_path / "d").glob("part-*"))
+    size = lambda folder: sum(p.stat().st_size for p in (tmp_path / folder).glob("part-*"))
+    assert all(p.name.endswith(".gz") for p in files) and len(files) >= 3 and size("d") < size("plain") / 3
+    read = dump.statements(spark, f"{tmp_path}/d")
+    assert read.filter("statement LIKE 'INSERT%'").count() == 144
+    assert sorted(map(tuple, dump.load(read).tables["t"].collect())) == rows and dump.load(read).tables["none"].count() == 0
+
+
+def test_columns_kept_by_one_pass(loaded, tmp_path):
+    kept = dump.kept(loaded[1], {"works": ["id", "day", "text"], "empty": {"b"}, "missing": ["x"], None: ()}, f"{tmp_path}/k")
+    whole = loaded[0].tables["works"].select("id", "day", "text")
+    assert kept["works"].dtypes == whole.dtypes and sorted(map(str, kept["works"].collect())) == sorted(map(str, whole.collect()))
+    assert list(kept) == ["empty", "works"] and kept["empty"].count() == 0 and kept["empty"].dtypes == [("b", "int")]
+    assert dump.kept(loaded[1], {}, f"{tmp_path}/none") == {}
+
+
 def test_catalogue_pending_applied_and_deletions(spark):
     have = catalogue.declared(spark, [("a", "primary", ["id"], None, None, None), ("b", "reference", ["a"], "a", ["id"], "restrict")])
     want = catalogue.declared(spark, [("a", "primary", ["id"], None, None, None), ("b", "primary", ["id"], None, None, None), ("b", "reference", ["a"], "a", ["id"], "cascade"), ("c", "reference", ["b"], "b", ["id"], "set null"), ("d", "reference", ["b"], "b", ["id"], "restrict")])
